@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import langid, mixing, pu_quality, rules, toxicity
+from corpusloom.llm import langid, mixing, packing, pu_quality, rules, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_tokens(tokenfile.write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_source_mix, op6_weak_quality, op7_toxicity, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_source_mix, op6_weak_quality, op7_toxicity, op8_token_file, op9_packing, op10_quality)}
 ORACLES: dict[str, str] = {}
