@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import langid, mixing, packing, pu_quality, rules, tokenfile, toxicity
+from corpusloom.llm import ann, langid, mixing, packing, pu_quality, rules, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=20)
+
+
 def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.weak_quality(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_source_mix, op6_weak_quality, op7_toxicity, op8_token_file, op9_packing, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_source_mix, op3_nearest, op6_weak_quality, op7_toxicity, op8_token_file, op9_packing, op10_quality)}
 ORACLES: dict[str, str] = {}
