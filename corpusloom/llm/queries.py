@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import ann, langid, mixing, packing, pu_quality, rules, tokenfile, toxicity
+from corpusloom.llm import ann, langid, mixing, packing, pu_quality, rules, setsketch, substring, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=20)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_digest(table(spark, sf_dir, "documents"), window=50)
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.weak_quality(table(spark, sf_dir, "documents"))
 
@@ -52,5 +60,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_source_mix, op3_nearest, op6_weak_quality, op7_toxicity, op8_token_file, op9_packing, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_source_mix, op3_nearest, op4_substring, op5_near_duplicates, op6_weak_quality, op7_toxicity, op8_token_file, op9_packing, op10_quality)}
 ORACLES: dict[str, str] = {}
