@@ -8,15 +8,15 @@ a register at least as often as their similarity. Sketches are cut into bands;
 texts that agree on a band share a bucket.
 
 1. Equal sets become one class, named by its smallest id.
-2. In each bucket every class is paired with the bucket's smallest class, so
+2. In each bucket every class is paired with the one that shares most bands with others, so
    a bucket of n gives n - 1 pairs. The joint likelihood of both sketches,
    given the set sizes, estimates their similarity; pairs far below the
    threshold go, all others are verified on the full sets.
 3. A bucket of three or more classes that those links leave in different groups
    isn't settled. Its classes are compared exactly by prefix filtering: with
    shingles in order of rarity, two sets over the threshold share one of their
-   first (1 - t) n + 1, so shingles that only one group has drop out, and
-   only classes of different groups are paired and verified.
+   first (1 - t) n + 1, at places that leave enough of both sets to come, so shingles that
+   only one group has drop out, and only classes of different groups are paired and verified.
 4. Groups are the connected components of the verified links.
 
 Shingles are kept as 64-bit hashes of words; verification compares whole sets
@@ -181,12 +181,15 @@ def _unsettled_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFr
     # rarity ranks every shingle of a set; only the first n - ceil(t n) + 1 are looked up
     ordered = held.groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s", (F.col("low") < F.col("high")).alias("shared")))).alias("all"))
     reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = ordered.select("id", "component", "n", F.explode(F.filter(F.slice("all", F.lit(1), reach), lambda x: x["shared"])).alias("x")).select("id", "component", "n", F.col("x.s").alias("s"))
+    placed = F.transform(F.slice("all", F.lit(1), reach), lambda x, i: F.struct(x["s"].alias("s"), i.alias("at"), x["shared"].alias("shared")))
+    prefix = ordered.select("id", "component", "n", F.explode(F.filter(placed, lambda x: x["shared"])).alias("x")).select("id", "component", "n", F.col("x.s").alias("s"), F.col("x.at").alias("at"))
     # the full count made a shingle shared; what matters is whether prefixes of two groups hold it
     ends = prefix.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("s")
-    prefix = write_table(prefix.join(ends, "s"), "prefixes")
-    a, b = prefix.toDF("s", "a", "ca", "na"), prefix.toDF("s", "b", "cb", "nb")
-    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    prefix = write_table(prefix.join(ends, "s").select("s", "id", "component", "n", "at"), "prefixes")
+    a, b = prefix.toDF("s", "a", "ca", "na", "pa"), prefix.toDF("s", "b", "cb", "nb", "pb")
+    # at the first shingle that two sets share, what follows in the shorter rest bounds the intersection
+    enough = (100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= percent * (F.col("na") + F.col("nb"))
+    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & enough
     return a.join(b, "s").filter(fits).select("a", "b").distinct()
 
 
@@ -198,9 +201,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = write_table(named.join(names.select(F.col("id").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"]).select(F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"]), "classes")
 
     bands = band_keys(classes)
-    buckets = bands.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("members")).filter("members > 1")
-    members = write_table(bands.join(buckets, "band"), "members")  # (band, id, first, members)
-    stars = members.filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    buckets = bands.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+    members = write_table(bands.join(buckets, "band"), "members")  # (band, id, members)
+    # a class that shares many bands with many others is near the middle of its group
+    central = members.groupBy("id").agg(F.sum("members").alias("weight"))
+    weighted = members.join(central, "id")
+    first = weighted.groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("m")).select("band", (-F.col("m.id")).alias("first"))
+    stars = weighted.join(first, "band").filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     likely = write_table(_likely(stars, classes, percent / 100), "likely")
     crowded = members.filter("members > 2").select("id").distinct()
     wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded).distinct()
