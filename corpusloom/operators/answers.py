@@ -92,7 +92,7 @@ def citations(evidence: DataFrame) -> DataFrame:
             " | ", F.element_at(F.split("source", "/"), -1),
             F.when(F.coalesce(F.col("page").cast("string"), F.lit("")) != "", F.concat(F.lit("page "), F.col("page").cast("string"))),
             F.concat(F.lit("chunk "), F.col("chunk_id")),
-            F.when(F.col("score").isNotNull(), F.concat(F.lit("score "), F.format_string("%.4f", F.col("score")))),
+            F.when(F.col("score").isNotNull(), F.concat(F.lit("score "), F.format_string("%.4f", F.bround("score", 4)))),
         )
     )
     return evidence.select("query_id", F.col("rank").cast("long").alias("citation"), line.alias("reference"))

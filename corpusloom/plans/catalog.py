@@ -207,7 +207,7 @@ def score_histogram(spark, d):
     return tables.histogram(variant_rankings(spark, d), "score")
 
 
-@query(f"with {S.DEDUP}, {S.SEEDS}, {S.EXPANDED} select 0 as stage_order, 'retrieved' as stage, count(*) as rows from rankings union all select 1, 'deduplicated', count(*) from dedup union all select 2, 'seeds', count(*) from seeds union all select 3, 'expanded', count(*) from expanded")
+@query(f"with {S.DEDUP}, {S.SEEDS}, {S.EXPANDED} select 0::bigint as stage_order, 'retrieved' as stage, count(*) as rows from rankings union all select 1, 'deduplicated', count(*) from dedup union all select 2, 'seeds', count(*) from seeds union all select 3, 'expanded', count(*) from expanded")
 def stage_funnel(spark, d):
     s = seeds(spark, d)
     return tables.funnel({"retrieved": variant_rankings(spark, d), "deduplicated": fusion.deduplicate(results(spark, d)), "seeds": s, "expanded": context.neighbor_expand(s, lines(spark, d))})
@@ -359,7 +359,7 @@ def assistant_answers(spark, d) -> DataFrame:
     return table(spark, d, "conversations").filter("role = 'assistant'").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("answer_id"), body.alias("text"))
 
 
-@query(f"with {S.ANSWERS} select answer_id, array_to_string(case when len(v) = 0 then [1, 2, 3, 4, 5] else v end, ',') as cited from (select answer_id, list_filter({S.ordered_distinct('regexp_extract_all(text, ' + chr(39) + chr(92) + '[(' + chr(92) + 'd{1,9})' + chr(92) + ']' + chr(39) + ', 1)')}, lambda x: x::bigint between 1 and 5) as v from answers)")
+@query(f"with {S.ANSWERS} select answer_id, array_to_string(case when len(v) = 0 then ['1', '2', '3', '4', '5'] else v end, ',') as cited from (select answer_id, list_filter({S.ordered_distinct('regexp_extract_all(text, ' + chr(39) + chr(92) + '[(' + chr(92) + 'd{1,9})' + chr(92) + ']' + chr(39) + ', 1)')}, lambda x: x::bigint between 1 and 5) as v from answers)")
 def cited_numbers(spark, d):
     known = F.array(*[F.lit(i).cast("long") for i in range(1, 6)])
     return assistant_answers(spark, d).select("answer_id", F.array_join(answers.cited_numbers(F.col("text"), known).cast("array<string>"), ",").alias("cited"))
