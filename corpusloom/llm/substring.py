@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, mixed, over_rows, utf8, windows, write_table
+from corpusloom.llm.common import WordHashes, drop_table, over_rows, release, utf8, windows, write_table
 
 RUN = 20
 SHARD_WORDS, PART_ROWS = 20_000, 512
@@ -150,6 +150,7 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
 
         return row
 
+    spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     profiles = write_table(over_rows(keyed, profile, "doc_id long, text_key long, n_words long, digest string, marks array<bigint>"), "profiles")
 
@@ -157,6 +158,7 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
     shared = marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("mark")
     candidates = marks.join(shared, "mark").groupBy("doc_id", "text_key").agg(F.collect_set("mark").alias("marks"))
     held = write_table(keyed.join(candidates, ["doc_id", "text_key"]), "held-texts")
+    release(spark)
 
     def window_hashes(batches):
         hashes = WordHashes()
@@ -170,6 +172,7 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
     found = held.select("doc_id", "text", "marks").mapInArrow(window_hashes, "hash long, doc_id long")
     found = write_table(found, "windows", "uncompressed")
     owned = write_table(found.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("hash", "owner"), "owned", "uncompressed")
+    release(spark)
 
     # the owners' passages: runs of windows that they own
     def passages(batches):
@@ -198,7 +201,10 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
 
     # which documents go to which shards: those with a window that a smaller document in it owns
     sources = found.join(owned, "hash").filter("owner < doc_id").select("doc_id", "owner").distinct()
-    visits = sources.join(where, "owner").select("doc_id", F.explode("shards").alias("shard")).distinct()
+    visits = write_table(sources.join(where, "owner").select("doc_id", F.explode("shards").alias("shard")).distinct(), "visits")
+    for done in (found, owned):
+        drop_table(done)
+    release(spark)
     routed = held.select("doc_id", "text_key", "text").join(visits, "doc_id")
     count = visits.groupBy("shard").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     routed = routed.join(count, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
