@@ -89,6 +89,7 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, pri
     rate = np.empty((2, 3, patterns.shape[1]))  # class, vote, rule
     rate[1] = np.stack([0.2 * (1 - mean[1]), mean[1], 0.8 * (1 - mean[1])])
     rate[0] = np.stack([0.8 * (1 - mean[1]), mean[1], 0.2 * (1 - mean[1])])
+    rate = np.maximum(rate, 1e-6)  # a vote that never occurs
     strength = np.array([[4.0, 1.0, 1.0], [1.0, 1.0, 4.0]])[:, :, None] / 600 + 1e-6
     good = np.full(p, prior)
     for _ in range(rounds):
