@@ -120,11 +120,6 @@ def dense_topk(spark, d):
     return dense.dense_topk(asked, points.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector")), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("select page_id, length(html) > 0 as present from pages")
-def page_scan(spark, d):
-    return table(spark, d, "pages").select("page_id", (F.length("html") > 0).alias("present"))
-
-
 @query()
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", corpus.html_text("html").alias("text"))
