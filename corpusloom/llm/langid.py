@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -175,24 +176,37 @@ def train(docs: DataFrame, pieces: list[str], per_language: int = PER_LANGUAGE,
     return languages, table, np.log(share / share.sum())
 
 
+#: What this Python worker knows of the latest model: it serves the worker's next tasks too.
+_WORKER: dict[str, tuple] = {}
+
+
+def worker_memory() -> dict[str, tuple]:
+    """Tasks reach the worker's own dictionary through this function; a closure would carry a copy."""
+    return _WORKER
+
+
 def identify(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document by its whole text."""
     pieces = vocabulary(vocabulary_path)
     languages, table, prior = train(docs, pieces)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, languages, table, prior))  # vocabulary times languages
 
+    model = uuid.uuid4().hex
+
     def run(batches):
         pieces, languages, table, prior = shared.value
-        lattice = Lattice(pieces, table) if languages else None
-        known: dict[str, int] = {}
-        held = np.empty((0, len(languages)))
+        memory = worker_memory()
+        if model not in memory:
+            memory.clear()
+            memory[model] = (Lattice(pieces, table) if languages else None, {}, np.empty((0, len(languages))))
+        lattice, known, held = memory[model]
         for batch in batches:
             ids = batch.column(0)
             for at in range(0, batch.num_rows, 256):
                 texts = batch.column(1).slice(at, 256).to_pylist()
                 words = [normal_words(t) if languages and t is not None and _LETTER.search(t) else None for t in texts]
                 new = list({w: None for some in words if some for w in some if w not in known})
-                if len(known) + len(new) > 300_000:  # forget, rather than grow with the vocabulary
+                if len(known) + len(new) > 600_000:  # forget, rather than grow with the vocabulary
                     known, held = {}, held[:0]
                     new = list({w: None for some in words if some for w in some})
                 known |= {w: len(held) + i for i, w in enumerate(new)}
@@ -200,6 +214,7 @@ def identify(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 for j in range(0, len(new), 2048):
                     new_rows += [lattice.log_probabilities(same) for same in _by_length(new[j : j + 2048])]
                 held = np.concatenate(new_rows)
+                memory[model] = (lattice, known, held)
                 best, score = [], []
                 for some in words:
                     if some is None:

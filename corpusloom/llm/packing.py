@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import write_table
-from corpusloom.llm.tokens import Encoder
+from corpusloom.llm.tokens import encoder
 
 SEQUENCE, DIMS, DEPTH = 1024, 4, 12
 
@@ -74,11 +74,11 @@ def encode(docs: DataFrame, vocabulary_path: str, word_ends: bool = False, end_i
     """Written table (doc_id, key, ids): ids as little-endian unsigned 32-bit integers with the end id."""
 
     def run(batches):
-        encoder, table = Encoder(vocabulary_path, word_ends), projections(1 << 16)
+        tokens, table = encoder(vocabulary_path, word_ends), projections(1 << 16)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                ids = [encoder(t) for t in piece.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                ids = tokens.many(piece.column(1).to_pylist())
                 key = hilbert_key(np.stack([cell(x, table) for x in ids]), DEPTH)
                 data = [np.append(x, np.uint32(end_id)).astype("<u4").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(key), pa.array(data, pa.binary())], ["doc_id", "key", "ids"])

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import write_table
-from corpusloom.llm.tokens import Encoder
+from corpusloom.llm.tokens import encoder
 
 BLOCK, COVERED, SEGMENT_IDS = 128, 0.9, 1 << 17
 _HEAD = np.dtype([("magic", "S4"), ("docs", "<u4"), ("ids", "<u8"), ("blocks", "<u4")])
@@ -128,7 +128,7 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, word_ends: bool = True,
     """Writes all texts' ids in ascending doc_id order. Returns the written table (part, local_start, n_ids, data)."""
 
     def run(batches):
-        encode = Encoder(vocabulary_path, word_ends)
+        encode = encoder(vocabulary_path, word_ends)
         part, done, size = TaskContext.get().partitionId(), 0, 0
         names: list = []
         held: list[np.ndarray] = []
@@ -138,10 +138,10 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, word_ends: bool = True,
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "local_start", "n_ids", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                for name, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    ids = np.append(encode(text), np.uint32(end_id))
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                for name, text_ids in zip(piece.column(0).to_pylist(), encode.many(piece.column(1).to_pylist()), strict=True):
+                    ids = np.append(text_ids, np.uint32(end_id))
                     names.append(name), held.append(ids)
                     size += len(ids)
                     if size >= SEGMENT_IDS:
