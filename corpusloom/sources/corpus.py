@@ -41,7 +41,7 @@ def _quoted(root: str) -> str:
 
 def lossy_text(content: Column) -> Column:
     """UTF-8 without its mark where the bytes are valid, else Latin-1."""
-    text = F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, F.lit("ISO-8859-1")))
+    text = F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
     return F.regexp_replace(text, "^﻿", "")
 
 
