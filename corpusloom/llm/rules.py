@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import WordHashes, over_rows, utf8, windows, write_table
 
 MIN_WORDS = 50
+#: Weight of the initial belief about the rules, as a share of the texts.
+BELIEF = 0.5
 SYMBOLS = "#*$%&|<>"
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_end_lines long, n_alpha_words long, n_upper long"
@@ -46,7 +48,7 @@ def text_features(docs: DataFrame, keep: list[str]) -> DataFrame:
                 repeat = int(hit.sum())
             lines = [x for x in text.split("\n") if x.encode("utf-8", "surrogatepass").strip()]
             ended = sum(1 for x in lines if x.rstrip()[-1:] in ".!?\"':;")
-            alpha = sum(map(bytes.isalpha, words)) if text.isascii() else sum(1 for w in words if w.decode("utf-8", "replace").strip(".,;:!?\"'()").isalpha())
+            alpha = sum(1 for w in text.split() if w.strip(".,;:!?\"'()").isalpha())
             upper = sum(1 for w in words if len(w) > 1 and w.isupper())
             return (*values[:n_keep], n, len(text) - spaces, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, len(lines), ended, alpha, upper)
 
@@ -70,15 +72,16 @@ def votes() -> dict[str, Column]:
         "duplicate_lines": vote(F.col("n_dup_lines") * 20 <= lines, F.col("n_dup_lines") * 3 > lines),
         "repetition": vote(10 * F.col("n_repeat_words") <= words, 10 * F.col("n_repeat_words") > 3 * words),
         "line_ends": vote(10 * F.col("n_end_lines") >= 7 * lines, 10 * F.col("n_end_lines") < 3 * lines),
+        "letters": vote(10 * F.col("n_alpha_words") >= 8 * words, 10 * F.col("n_alpha_words") < 6 * words),
         "capitals": vote(20 * F.col("n_upper") <= words, 10 * F.col("n_upper") > 3 * words),
     }
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.7) -> tuple[np.ndarray, np.ndarray, float]:
+def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.7, belief: float = BELIEF) -> tuple[np.ndarray, np.ndarray, float]:
     """EM for rules that are independent given the quality. Returns (posterior of each pattern, accuracy of each rule, prior).
 
-    Accuracies start at 0.8 and carry a Beta prior (8 right, 2 wrong); a rule
-    may vote in only one class, so each class has its own rate of each vote.
+    Each class has its own rate of each vote. Rates start from a belief that weighs as much as ``BELIEF`` of
+    all texts: a rule seldom objects to good text, and misses more than half of the bad.
     """
     p = len(counts)
     if p == 0:
@@ -86,11 +89,12 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, pri
     share = counts / counts.sum()
     is_vote = np.stack([patterns == v for v in (-1, 0, 1)]).astype(float)  # vote, pattern, rule
     mean = np.einsum("p,vpr->vr", share, is_vote)
+    spoken = 1 - mean[1]
     rate = np.empty((2, 3, patterns.shape[1]))  # class, vote, rule
-    rate[1] = np.stack([0.2 * (1 - mean[1]), mean[1], 0.8 * (1 - mean[1])])
-    rate[0] = np.stack([0.8 * (1 - mean[1]), mean[1], 0.2 * (1 - mean[1])])
+    rate[1] = np.stack([0.02 * spoken, mean[1], 0.98 * spoken])
+    rate[0] = np.stack([0.4 * spoken, mean[1], 0.6 * spoken])
     rate = np.maximum(rate, 1e-6)  # a vote that never occurs
-    strength = np.array([[4.0, 1.0, 1.0], [1.0, 1.0, 4.0]])[:, :, None] / 600 + 1e-6
+    start = rate / rate.sum(1, keepdims=True)
     good = np.full(p, prior)
     for _ in range(rounds):
         logs = np.log(rate)
@@ -99,9 +103,9 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, pri
         done = np.abs(new - good).max() < 1e-10
         good = new
         mass = np.stack([share * (1 - good), share * good])
-        rate = np.einsum("cp,vpr->cvr", mass, is_vote) + strength
+        rate = np.einsum("cp,vpr->cvr", mass, is_vote) + belief * start
         rate /= rate.sum(1, keepdims=True)
-        prior = float(np.clip(mass[1].sum(), 0.05, 0.95))
+        prior = float(np.clip(mass[1].sum(), 0.1, 0.9))
         if done:
             break
     right = np.einsum("p,pr->r", share * good, patterns == 1) + np.einsum("p,pr->r", share * (1 - good), patterns == -1)
@@ -119,7 +123,7 @@ def weak_quality(docs: DataFrame) -> DataFrame:
     for n in names:
         code = code * 3 + F.col(f"vote_{n}") + 1
     voted = voted.withColumn("pattern", code.cast("int"))
-    table = voted.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** 7 rows
+    table = voted.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** 8 rows
     patterns = np.array([[(r["pattern"] // 3 ** (len(names) - 1 - i)) % 3 - 1 for i in range(len(names))] for r in table], int).reshape(len(table), len(names))
     good, _, _ = label_model(patterns, np.array([r["count"] for r in table], float))
     posterior = spark.createDataFrame([(int(r["pattern"]), float(g)) for r, g in zip(table, good, strict=True)], "pattern int, quality double")

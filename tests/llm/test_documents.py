@@ -174,7 +174,7 @@ def test_label_model_finds_accurate_rules():
     good = rng.random(4000) < 0.7
     votes = np.stack([np.where(rng.random(4000) < p, np.where(good, 1, -1), np.where(good, -1, 1)) for p in (0.95, 0.9, 0.85, 0.6)], 1)
     patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    posterior, accuracy, prior = rules.label_model(patterns, counts.astype(float))
+    posterior, accuracy, prior = rules.label_model(patterns, counts.astype(float), belief=0.01)
     assert ((posterior[back.ravel()] >= 0.5) == good).mean() > 0.9 and accuracy[0] > accuracy[3] and abs(prior - 0.7) < 0.1
 
 
