@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import ann, langid, mixing, packing, pu_quality, rules, setsketch, substring, tokenfile, toxicity
+from corpusloom.llm import ann, langid, mixing, oracles, packing, pu_quality, rules, setsketch, substring, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,4 +61,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_source_mix, op3_nearest, op4_substring, op5_near_duplicates, op6_weak_quality, op7_toxicity, op8_token_file, op9_packing, op10_quality)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_substring": oracles.OP4, "op5_near_duplicates": oracles.OP5}
