@@ -154,24 +154,31 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     profiles = write_table(over_rows(keyed, profile, "doc_id long, text_key long, n_words long, digest string, marks array<bigint>"), "profiles")
 
-    marks = profiles.filter("size(marks) > 0").select("doc_id", "text_key", F.explode("marks").alias("mark"))
-    shared = marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("mark")
-    candidates = marks.join(shared, "mark").groupBy("doc_id", "text_key").agg(F.collect_set("mark").alias("marks"))
-    held = write_table(keyed.join(candidates, ["doc_id", "text_key"]), "held-texts")
+    # equal word sequences are indexed once, by their smallest and largest id; each of them is streamed
+    marked = profiles.filter("size(marks) > 0")
+    texts = marked.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    leaders = marked.join(texts, "digest").filter("doc_id = first").dropDuplicates(["doc_id", "digest"])
+    marks = leaders.select("digest", "first", "last", F.explode("marks").alias("mark"))
+    shared = marks.groupBy("mark").agg(F.min("first").alias("low"), F.max("last").alias("high")).filter("low < high").select("mark")
+    candidates = marks.join(shared, "mark").groupBy("digest", "first", "last").agg(F.collect_set("mark").alias("marks"))
+    members = marked.select("doc_id", "text_key", "digest").distinct().join(candidates, "digest")
+    members = members.select("doc_id", "text_key", "first", "last", F.when(F.col("doc_id") == F.col("first"), F.col("marks")).alias("marks"))
+    held = write_table(keyed.join(members, ["doc_id", "text_key"]), "held-texts")
     release(spark)
 
     def window_hashes(batches):
         hashes = WordHashes()
         for batch in batches:
-            for doc_id, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for first, last, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 h = hashes.of(utf8(text).split())
                 at = near_fingerprints(h, marks.values.to_numpy().view(np.uint64), window)
                 w = np.unique(windows(h, window)[at])
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(w)), pa.array(np.full(len(w), doc_id, np.int64))], ["hash", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(w)), *(pa.array(np.full(len(w), x, np.int64)) for x in (first, last))], ["hash", "first", "last"])
 
-    found = held.select("doc_id", "text", "marks").mapInArrow(window_hashes, "hash long, doc_id long")
-    found = write_table(found, "windows", "uncompressed")
-    owned = write_table(found.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("hash", "owner"), "owned", "uncompressed")
+    found = held.filter("marks is not null").select("first", "last", "text", "marks").mapInArrow(window_hashes, "hash long, first long, last long")
+    found = write_table(found, "windows")
+    owned = found.groupBy("hash").agg(F.min("first").alias("owner"), F.max("last").alias("last")).filter("owner < last").select("hash", "owner")
+    owned = write_table(owned, "owned")
     release(spark)
 
     # the owners' passages: runs of windows that they own
@@ -192,7 +199,7 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["owner", "passage", "n"])
 
     own = owned.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("hash").alias("own"))
-    reference = write_table(held.select("doc_id", "text").join(own, "doc_id").mapInArrow(passages, "owner long, passage binary, n long"), "passages")
+    reference = write_table(held.filter("marks is not null").select("doc_id", "text").join(own, "doc_id").mapInArrow(passages, "owner long, passage binary, n long"), "passages")
     total = reference.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
     # a share of a shard for each part of an owner, by a hash, so owners with much text are spread too
@@ -200,13 +207,16 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
     where = write_table(reference.groupBy("owner").agg(F.collect_set("shard").alias("shards")), "owner-shards")
 
     # which documents go to which shards: those with a window that a smaller document in it owns
-    sources = found.join(owned, "hash").filter("owner < doc_id").select("doc_id", "owner").distinct()
-    visits = write_table(sources.join(where, "owner").select("doc_id", F.explode("shards").alias("shard")).distinct(), "visits")
+    sources = found.join(owned, "hash").select("first", "owner").distinct()
+    visits = sources.join(where, "owner").select("first", F.explode("shards").alias("shard"), (F.col("owner") == F.col("first")).alias("own"))
+    visits = write_table(visits.groupBy("first", "shard").agg(F.bool_and("own").alias("own")), "visits")
     for done in (found, owned):
         drop_table(done)
     release(spark)
-    routed = held.select("doc_id", "text_key", "text").join(visits, "doc_id")
-    count = visits.groupBy("shard").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    # what a document owns itself matters to its copies alone
+    routed = held.select("doc_id", "text_key", "text", "first").join(visits, "first").filter("not (own and doc_id = first)").select("doc_id", "text_key", "text", "shard")
+    loads = held.select("first").groupBy("first").agg(F.count("*").alias("n")).join(visits, "first")
+    count = loads.groupBy("shard").agg(F.ceil(F.sum("n") / PART_ROWS).cast("int").alias("parts"))
     routed = routed.join(count, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     dealt = reference.join(count, "shard").select("shard", "owner", "passage", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
@@ -219,8 +229,10 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
             out += [(doc_id, text_key, a, b) for a, b in automaton.spans(utf8(text).split(), window, doc_id)]
         return pd.DataFrame(out, columns=["doc_id", "text_key", "begin", "end"])
 
-    spans = routed.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInPandas(stream, "doc_id long, text_key long, begin long, end long")
-    return profiles, held, spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    streamed = routed.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInPandas(stream, "doc_id long, text_key long, begin long, end long")
+    spans = write_table(streamed.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    release(spark)
+    return profiles, held, spans
 
 
 def _kept(words: list[bytes], spans: list) -> list[bytes]:
@@ -245,7 +257,7 @@ def dedup_digest(docs: DataFrame, window: int = 50) -> DataFrame:
         return row
 
     cut = over_rows(held.select("doc_id", "text_key", "text").dropDuplicates(["doc_id", "text_key"]).join(spans, ["doc_id", "text_key"]), make, "doc_id long, text_key long, n_removed long, kept_sha256 string")
-    both = profiles.drop("marks").join(cut, ["doc_id", "text_key"], "left")
+    both = profiles.select("doc_id", "text_key", "n_words", "digest").join(cut, ["doc_id", "text_key"], "left")
     return both.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"))
 
 
