@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import answers, chunks, context, dense, evaluation, evidence, formats, fusion, incremental, lexical, reviews, tables, variants
+from corpusloom.operators import answers, chunks, context, dense, evaluation, evidence, formats, fusion, incremental, lexical, records, reviews, tables, variants
 from corpusloom.plans import sql as S
 from corpusloom.sources import corpus
 from corpusloom.streaming import events as E
@@ -604,3 +604,63 @@ def section_coverage(spark, d):
 @query("select conv_id, turn, case when length(text) <= 140 then text else rtrim(left(text, 139)) || '…' end as preview from conversations")
 def previews(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.preview(F.col("text")).alias("preview"))
+
+
+# --- records -------------------------------------------------------------------------------------
+
+
+@query("""select page_id::varchar as id, left(html, 20) as text, try_cast(case when page_id % 3 = 0 then 'x' else (page_id / 4.0)::varchar end as double) as score, case when page_id % 5 = 0 then 'n/' || page_id || '.pdf' else url end as source_path,
+string_split(case when page_id % 2 = 0 or page_id % 5 = 0 then 'n/' || page_id || '.pdf' else url end, '/')[-1] as source, (page_id % 4)::varchar as page_number, 'c' || page_id as chunk_id from pages""")
+def normalized_results(spark, d):
+    c = F.col
+    name = F.concat(F.lit("n/"), c("page_id").cast("string"), F.lit(".pdf"))
+    return records.normalized(table(spark, d, "pages").select(
+        c("page_id").cast("string").alias("id"), F.left("html", F.lit(20)).alias("text"), F.when(c("page_id") % 3 == 0, "x").otherwise((c("page_id") / 4.0).cast("string")).alias("score"),
+        F.when(c("page_id") % 5 == 0, " ").otherwise(c("url")).alias("source"), F.when((c("page_id") % 2 == 0) | (c("page_id") % 5 == 0), name).otherwise("").alias("file_name"),
+        (c("page_id") % 4).alias("page_number"), F.concat(F.lit("c"), c("page_id").cast("string")).alias("chunk_id"),
+    ))
+
+
+@query("""select page_id, case when page_id % 2 = 0 then '/data/a b/' || page_id || '.pdf' end as path, case when page_id % 2 = 0 then 'file:///data/a%20b/' || page_id || '.pdf' || case when page_id % 3 > 0 then '#page=' || (page_id % 3) else '' end end as link,
+'http://localhost:8000/' || page_id || '.pdf' || case when page_id % 3 > 0 then '#page=' || (page_id % 3) else '' end as hosted, case when regexp_matches(url, '^(?i)(https?|file):') then url end as href from pages""")
+def citation_links(spark, d):
+    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/data/a b/"), F.col("page_id").cast("string"), F.lit(".pdf")))
+    other = F.concat(F.col("page_id").cast("string"), F.lit(".pdf"))
+    page = F.concat((F.col("page_id") % 3).cast("string"), F.lit(", 9"))
+    return table(spark, d, "pages").select("page_id", path.alias("path"), records.citation_link(path, page).alias("link"), records.citation_link(other, page, "http://localhost:8000/").alias("hosted"), records.safe_href(F.col("url")).alias("href"))
+
+
+@query("select class, count(*) as rows from (select case when label in (0, 1) then 'both' when label % 2 = 0 then 'dense' when label % 3 = 0 then 'bm25' when label = 5 then 'unknown' else 'fallback' end as class from embeddings) group by 1")
+def retrieval_classes(spark, d):
+    n = F.col("label")
+    sources = F.when(n.isin(0, 1), F.array(F.lit("dense"), F.lit("bm25"))).when(n % 2 == 0, F.array(F.lit("dense"))).when(n % 3 == 0, F.array(F.lit("bm25"), F.lit("x"))).when(n == 5, F.array().cast("array<string>")).otherwise(F.array(F.lit("x")))
+    return table(spark, d, "embeddings").groupBy(records.retrieval_class(sources).alias("class")).agg(F.count("*").alias("rows"))
+
+
+@query("select m.modality, count(c.role) as rows from (values ('text'), ('table'), ('image'), ('chart'), ('diagram'), ('ocr'), ('audio'), ('video')) m(modality) left join (select case role when 'user' then 'text' when 'assistant' then 'image' else 'none' end as role from conversations) c on c.role = m.modality group by 1")
+def modality_mix(spark, d):
+    kind = F.when(F.col("role") == "user", "text").when(F.col("role") == "assistant", "image").otherwise("none")
+    return records.modality_mix(table(spark, d, "conversations").select(kind.alias("modality")))
+
+
+@query("select event_type as name, cast(sum(json_extract(props, '$.k')::int) as bigint) as total from events group by 1")
+def merged_distributions(spark, d):
+    e = table(spark, d, "events").select(F.create_map("event_type", F.get_json_object("props", "$.k").cast("int")).alias("counts"))
+    return records.merged_counts(e, "counts")
+
+
+@query(f"with {S.RANKINGS} select technique, round(min(score), 6) as least, round(quantile_cont(score, 0.25), 6) as q1, round(quantile_cont(score, 0.5), 6) as median, round(quantile_cont(score, 0.75), 6) as q3, round(max(score), 6) as most from rankings group by 1")
+def score_spread(spark, d):
+    return records.spread_by(variant_rankings(spark, d), "technique", "score")
+
+
+@query("select doc_id, source <> '' and lang = 'en' and n_chars > 0 as complete, source <> '' as citable from documents")
+def metadata_completeness(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", F.when(F.col("lang") == "en", "1").otherwise(" ").alias("page_number"), F.col("doc_id").alias("chunk_id"))
+    return records.completeness(rows).select("doc_id", "complete", "citable")
+
+
+@query("select l.doc_id, round(greatest(100 * (1 - least(length(text), 500) / length(text)), 0), 2) as reduction from labels l join documents d using (doc_id)")
+def token_efficiency(spark, d):
+    rows = table(spark, d, "labels").select("doc_id").join(table(spark, d, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
+    return rows.select("doc_id", tables.token_efficiency(F.col("n").cast("double"), F.least("n", F.lit(500)).cast("double")).alias("reduction"))
