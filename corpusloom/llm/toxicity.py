@@ -21,7 +21,7 @@ from corpusloom.llm.common import over_rows
 from corpusloom.llm.labelled import held_out, labelled_texts
 
 #: Training texts of each class, about; n-gram lengths; hash bits; features kept and their least z-score.
-PER_CLASS, LENGTHS, BITS, FEATURES, LEAST_Z = 6000, (4, 5, 6), 18, 3000, 5.0
+PER_CLASS, LENGTHS, BITS, FEATURES, LEAST_Z = 4000, (4, 5, 6), 18, 2000, 5.0
 _CHUNK = 1 << 20
 
 
@@ -69,10 +69,10 @@ def _document_counts(sample: DataFrame) -> DataFrame:
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 2e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weighted logistic regression by accelerated gradient descent with the step that the data's norm allows."""
     total = weight.sum()
-    norm = x * np.sqrt(weight / total)[:, None]
+    share = (weight / total).astype(x.dtype)
     v = np.full(x.shape[1], 1 / np.sqrt(max(x.shape[1], 1)), x.dtype)
     for _ in range(20):
-        v = norm.T @ (norm @ v)
+        v = x.T @ (share * (x @ v))
         size = float(np.linalg.norm(v)) or 1.0
         v /= size
     step = 1 / (0.25 * (size + 1) + l2)
@@ -104,10 +104,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed:
         return slot, np.empty(0), float(np.log(share / (1 - share)))
     slot[[r["gram"] for r in best]] = np.arange(len(best))
     ratio = np.array([np.log((r["toxic"] + 1) / (n1 + 2)) - np.log((r["other"] + 1) / (n0 + 2)) for r in best])
-    found = over_rows(sample.select("text", "label"), lambda: lambda text, label: (label, present(text, slot).tolist()), "label int, features array<int>").orderBy("label", "features").collect()
-    x, y = np.zeros((len(found), len(best)), np.float32), np.array([r["label"] for r in found], float)
-    for i, r in enumerate(found):
-        x[i, r["features"]] = 1
+    def features(text, label):
+        return label, present(text, slot).astype(np.uint16).tobytes()
+
+    found = over_rows(sample.select("text", "label"), lambda: features, "label int, features binary").orderBy("label", "features").toArrow()
+    x, y = np.zeros((found.num_rows, len(best)), np.float32), found.column("label").to_numpy().astype(float)
+    for i, some in enumerate(found.column("features")):
+        x[i, np.frombuffer(some.as_py(), np.uint16)] = 1
+    del found
     x *= ratio.astype(np.float32)
     # the sample balances the classes; weights bring back their shares
     known = {r["toxic"]: r["count"] for r in labels.filter(~held_out()).groupBy("toxic").count().collect()}
