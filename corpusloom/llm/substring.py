@@ -185,9 +185,10 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
     def passages(batches):
         hashes = WordHashes()
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for doc_id, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = utf8(text).split()
+                sent = 0
                 at = np.flatnonzero(np.isin(windows(hashes.of(words), window), own.values.to_numpy().view(np.uint64)))
                 for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                     # a long passage goes in parts that overlap by a window less one word
@@ -195,29 +196,32 @@ def repeated_spans(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
                         part = run[i : i + SHARD_WORDS // 4]
                         if len(part):
                             some = words[part[0] : part[-1] + window]
-                            out[0].append(doc_id), out[1].append(b" ".join(some)), out[2].append(len(some))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["owner", "passage", "n"])
+                            out[0].append(doc_id), out[1].append(b" ".join(some)), out[2].append(len(some)), out[3].append(sent // SHARD_WORDS)
+                            sent += len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["owner", "passage", "n", "batch"])
 
     own = owned.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("hash").alias("own"))
-    reference = write_table(held.filter("marks is not null").select("doc_id", "text").join(own, "doc_id").mapInArrow(passages, "owner long, passage binary, n long"), "passages")
+    reference = write_table(held.filter("marks is not null").select("doc_id", "text").join(own, "doc_id").mapInArrow(passages, "owner long, passage binary, n long, batch long"), "passages")
     total = reference.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    # a share of a shard for each part of an owner, by a hash, so owners with much text are spread too
-    reference = reference.withColumn("shard", F.pmod(F.xxhash64("owner", "passage"), F.lit(shards)))
+    # an owner's passages stay together, but for owners with more words than a shard has
+    reference = reference.withColumn("shard", F.pmod(F.xxhash64("owner", "batch"), F.lit(shards)))
     where = write_table(reference.groupBy("owner").agg(F.collect_set("shard").alias("shards")), "owner-shards")
 
     # which documents go to which shards: those with a window that a smaller document in it owns
     sources = found.join(owned, "hash").select("first", "owner").distinct()
     visits = sources.join(where, "owner").select("first", F.explode("shards").alias("shard"), (F.col("owner") == F.col("first")).alias("own"))
-    visits = write_table(visits.groupBy("first", "shard").agg(F.bool_and("own").alias("own")), "visits")
+    visits = visits.groupBy("first", "shard").agg(F.bool_and("own").alias("own"))
+    copies = held.groupBy("first").agg(F.count("*").alias("copies"))
+    visits = write_table(visits.join(copies, "first"), "visits")
     for done in (found, owned):
         drop_table(done)
     release(spark)
+    count = visits.groupBy("shard").agg(F.ceil(F.sum("copies") / PART_ROWS).cast("int").alias("parts"))
     # what a document owns itself matters to its copies alone
-    routed = held.select("doc_id", "text_key", "text", "first").join(visits, "first").filter("not (own and doc_id = first)").select("doc_id", "text_key", "text", "shard")
-    loads = held.select("first").groupBy("first").agg(F.count("*").alias("n")).join(visits, "first")
-    count = loads.groupBy("shard").agg(F.ceil(F.sum("n") / PART_ROWS).cast("int").alias("parts"))
-    routed = routed.join(count, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    parted = visits.join(count, "shard").select("first", "shard", "own", "parts")
+    routed = held.select("doc_id", "text_key", "text", "first").join(parted, "first").filter("not (own and doc_id = first)")
+    routed = routed.select("doc_id", "text_key", "text", "shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
     dealt = reference.join(count, "shard").select("shard", "owner", "passage", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def stream(key, texts: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
