@@ -34,10 +34,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes their words, rounded: a document of which it takes less than half goes."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0))).cast("int").alias("_times"))
-    repeated = docs.join(taken, "doc_id").filter("_times > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Documents as often as the mix takes their words: remainders are rounded without bias, so each source keeps its target."""
+    return mixing.repeat_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

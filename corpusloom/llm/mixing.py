@@ -95,7 +95,33 @@ def mix(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shard_w
     ``docs`` needs doc_id, text and source. Sources in code point order, null
     last, weigh 1, 2, 3, 1, ... No document is taken more than ``max_repeats`` times.
     """
-    sizes = write_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    return _taken(docs, seed, block_words, shard_words, max_repeats, []).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeat_documents(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """``docs`` with each row as often as the mix takes its words, at most ``max_repeats`` times.
+
+    A row appears floor(taken / size) times, and once more with the remainder as
+    its probability: in a shard the remainders are cumulated by size and then in
+    a seeded order, and a row whose sum passes the next whole number (from a
+    seeded start) gets the extra copy. Sizes ascend, so the words of a shard
+    differ from what the mix takes of it by less than its longest document.
+    Rows with null or repeated ids are told apart by their content and a row number.
+    """
+    rows = write_table(docs.withColumns({"_row": F.monotonically_increasing_id(), "_content": F.xxhash64(*docs.columns)}), "mix-rows")
+    taken = _taken(rows, seed, block_words, shard_words, max_repeats, ["_content", "_row"]).filter("taken > 0")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("long")
+    order = W.partitionBy("source", "shard").orderBy("size", F.xxhash64(F.lit(seed + 2), "doc_id", "_content"), "doc_id", "_content", "_row")
+    start = F.pmod(F.xxhash64(F.lit(seed + 3), "source", "shard"), F.lit(1 << 30)) / float(1 << 30)
+    taken = taken.withColumn("_times", whole).withColumn("_rest", F.col("taken") / F.col("size") - F.col("_times"))
+    upto, before = (F.floor(start + F.coalesce(F.sum("_rest").over(order.rowsBetween(W.unboundedPreceding, end)), F.lit(0.0))) for end in (0, -1))
+    times = taken.select("_row", (F.col("_times") + upto - before).cast("int").alias("_times")).filter("_times > 0")
+    return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def _taken(docs: DataFrame, seed: int, block_words: int, shard_words: int, max_repeats: int, keep: list[str]) -> DataFrame:
+    """The columns of ``mix`` with source, shard and those in ``keep``, which also settle the order of rows with the same id."""
+    sizes = write_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep), "mix-sizes")
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = weight_targets(by_source.withColumn("weight", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1), max_repeats)
     sources = sources.withColumn("shards", F.ceil(F.col("source_size") / F.lit(shard_words)).cast("long")).select("source", "source_size", "target", "shards")
@@ -103,8 +129,8 @@ def mix(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shard_w
     # a document's place in its shard: words of the shard before it, in a seeded order
     placed = sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     placed = placed.withColumn("_mix", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod(F.col("_mix"), F.greatest("shards", F.lit(1))))
-    in_shard = W.partitionBy("source", "shard").orderBy("_mix", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = placed.withColumn("end", F.sum("size").over(in_shard)).select("doc_id", "source", "size", "source_size", "target", "shard", "end")
+    in_shard = W.partitionBy("source", "shard").orderBy("_mix", "doc_id", "size", *keep).rowsBetween(W.unboundedPreceding, 0)
+    placed = placed.withColumn("end", F.sum("size").over(in_shard)).select("doc_id", "source", "size", "source_size", "target", "shard", "end", *keep)
     placed = write_table(placed, "mix-placed")
 
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")).filter("shard_size > 0")
@@ -134,4 +160,4 @@ def mix(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shard_w
     same = (F.xxhash64("source") == F.col("_sh")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block"))
     taken = pieces.join(blocks, same).groupBy(F.col("source").alias("_s"), F.col("shard").alias("_shard"), F.col("end").alias("_end")).agg(F.sum(overlap * F.col("times")).cast("long").alias("_taken"))
     out = placed.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard")) & (F.col("end") == F.col("_end")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "shard", *keep, "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
