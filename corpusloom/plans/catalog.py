@@ -116,7 +116,7 @@ s as (select query_id, point_id, round(list_dot_product(a, b) / sqrt(list_dot_pr
 select query_id, point_id, score, row_number() over (partition by query_id order by score desc, point_id) as rank from s qualify rank <= 10""")
 def dense_topk(spark, d):
     points = table(spark, d, "embeddings")
-    asked = points.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = points.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return dense.dense_topk(asked, points.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector")), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
