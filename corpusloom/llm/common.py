@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,13 +20,20 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN_FOLDERS: dict[str, str] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets an own one (tests); on a cluster that is an error, since
+    executors on other machines couldn't read what is written there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-")
@@ -35,9 +43,25 @@ def shared_folder(spark: SparkSession) -> str:
 def write_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` into the shared folder and reads it back: the lineage ends at files that outlive an executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def _app_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all tables this application wrote into the shared folder. For the end of a job: results that are still to be read need them."""
+    _delete(spark, _app_folder(spark))
 
 
 def release(spark: SparkSession) -> None:
@@ -48,10 +72,7 @@ def release(spark: SparkSession) -> None:
 
 def drop_table(df: DataFrame) -> None:
     """Deletes the files behind a frame of ``write_table`` once nothing reads them any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(df.sparkSession, _PATHS.pop(df))
 
 
 def over_rows(df: DataFrame, make: Callable[[], Callable[..., list | None]], schema: str, many: bool = False) -> DataFrame:
@@ -143,6 +164,18 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
             step = step * step
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names for temporary columns that none of ``columns`` has in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8, empty for null."""
     return (text or "").encode("utf-8", "surrogatepass")
