@@ -5,15 +5,18 @@ sample of all documents, whatever their labels. With the class prior p the risk
 
     p E+[loss(f)] + max(0, E[loss(-f)] - p E+[loss(-f)])
 
-needs no negative examples. The prior is estimated from the training labels
-where both classes occur there (the share of good ones), else it is 0.7. Features are
+needs no negative examples. The prior is estimated from the same two samples: a
+classifier of positives against unlabelled texts is cross-fitted on two halves, and
+the share of unlabelled texts over the share of positives at the top scores bounds the
+prior from above; the threshold with the least upper confidence bound decides. Features are
 shapes of words (runs of upper case, lower case, digits; other characters as
 they are) and of neighbouring words, and counts over the whole text.
 
 Both samples are bounded (``PER_SIDE``); scoring reads every whole text.
 Defined cases: null and empty texts are scored as texts without words; without
-positives every score is 0; repeated rows are scored alike; an empty table
-gives no rows.
+positives, or without the text of any, every score is 0; repeated rows are scored
+alike; a word of any length counts whole; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WordHashes, over_rows, spread, utf8, windows, write_table
-from corpusloom.llm.labelled import held_out, labelled_texts, training_labels
+from corpusloom.llm.labelled import held_out, labelled_texts
 
 #: Texts of each side of the sample, about; hashed shape features of words and of pairs.
 PER_SIDE, ONES, PAIRS = 4000, 192, 192
@@ -37,10 +40,10 @@ class Shapes(dict):
     """word -> number of its shape; remembers frequent words up to a fixed room."""
 
     def __missing__(self, word: bytes) -> int:
-        text = word[:64].decode("utf-8", "replace")
+        text = word.decode("utf-8", "replace")
         shape = _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text))
         n = zlib.crc32(shape.encode("utf-8", "replace"))
-        if len(self) < 300_000:
+        if len(self) < 300_000 and len(word) < 64:
             self[word] = n
         return n
 
@@ -100,13 +103,47 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return w, b
 
 
+def contrast(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 200, l2: float = 1e-3, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Linear logistic scorer of positives against unlabelled rows, both sides weighing the same."""
+    x = np.concatenate([positive, unlabelled])
+    y = np.r_[np.ones(len(positive)), np.zeros(len(unlabelled))]
+    weight = np.r_[np.full(len(positive), 0.5 / len(positive)), np.full(len(unlabelled), 0.5 / len(unlabelled))]
+    w = np.zeros(x.shape[1] + 1)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for k in range(1, rounds + 1):
+        g = weight * (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -60, 60))) - y)
+        g = np.append(x.T @ g + l2 * w[:-1], g.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    return w[:-1], float(w[-1])
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives among unlabelled rows: the best bin of a cross-fitted contrast.
+
+    At a threshold that q_p of the positives and q_u of the unlabelled rows
+    reach, q_u / q_p is at least the prior, and near it where hardly a
+    negative scores as high. The threshold with the least bound q_u / q_p + slack / q_p is
+    taken, slack being the deviation that both shares may have with probability ``delta``.
+    """
+    sp, su = np.empty(len(positive)), np.empty(len(unlabelled))
+    for side in (0, 1):
+        train_p, train_u = positive[side::2], unlabelled[side::2]
+        if not len(train_p) or not len(train_u):  # one row: nothing to cross-fit
+            train_p, train_u = positive, unlabelled
+        w, b = contrast(train_p, train_u)
+        sp[1 - side :: 2], su[1 - side :: 2] = positive[1 - side :: 2] @ w + b, unlabelled[1 - side :: 2] @ w + b
+    # q at every positive's score, from the highest down
+    at = np.sort(sp)[::-1]
+    q_p = np.arange(1, len(at) + 1) / len(at)
+    q_u = 1 - np.searchsorted(np.sort(su), at, "left") / len(su)
+    slack = 1.01 * (np.sqrt(np.log(4 / delta) / 2 / len(su)) + np.sqrt(np.log(4 / delta) / 2 / len(sp)))
+    best = np.argmin((q_u + slack) / q_p)
+    return float(np.clip(q_u[best] / q_p[best], 0.01, 0.99))
+
+
 def train(docs: DataFrame, labels: DataFrame, per_side: int = PER_SIDE, seed: int = 11) -> tuple[np.ndarray, float] | None:
     """(weights, bias), or None without positives. Fits on the driver over two bounded samples."""
-    spark = docs.sparkSession
-    known = {r["label"]: r["count"] for r in training_labels(labels, "quality").groupBy("label").count().collect()}
-    if not known.get(1):
-        return None
-    prior = known[1] / (known[1] + known[0]) if known.get(0) else 0.7
     positives = labelled_texts(docs, labels.filter("quality = 1"), "quality", per_side, seed).select("text", F.lit(1).alias("side"))
     share = min(1.0, per_side / max(docs.count(), 1))
     unlabelled = write_table(docs.filter(spread("doc_id", seed + 1) < share).select("text", F.lit(0).alias("side")), "unlabelled")
@@ -116,11 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, per_side: int = PER_SIDE, seed: in
         return lambda text, side: (side, features(text, shapes, hashes).tobytes())
 
     rows = over_rows(positives.unionByName(unlabelled), make, "side int, x binary").orderBy("side", "x").collect()
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(float)
-    side = np.array([r["side"] for r in rows])
-    if not (side == 1).any() or not (side == 0).any():
+    parts = [[np.frombuffer(r["x"], np.float32) for r in rows if r["side"] == k] for k in (1, 0)]
+    if not all(parts):
         return None
-    return fit(x[side == 1], x[side == 0], min(prior, 0.98))
+    # sorted features would make the halves of a cross-fit alike; a fixed shuffle doesn't
+    rng = np.random.default_rng(seed)
+    positive, whole = (rng.permutation(np.stack(x).astype(float)) for x in parts)
+    return fit(positive, whole, class_prior(positive, whole))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, keep: list[str]) -> DataFrame:
