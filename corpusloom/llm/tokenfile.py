@@ -17,7 +17,7 @@ holds them. Documents are dealt by ranges of doc_id and sorted inside; a segment
 place among all ids is the total of the ranges before plus that of its own range.
 
 Defined cases: null and empty texts hold just the end id; rows with the same
-doc_id stand in the order of their texts; null ids come first; an empty table
+doc_id, which may spread over ranges, stand in the order of a hash of their texts; null ids come first; an empty table
 gives no rows. A document lies in one segment, whatever its length.
 """
 
@@ -36,6 +36,8 @@ from corpusloom.llm.common import write_table
 from corpusloom.llm.tokens import encoder
 
 BLOCK, COVERED, SEGMENT_IDS = 128, 0.9, 1 << 17
+#: Blocks packed or decoded in one go.
+TOGETHER = 2048
 _HEAD = np.dtype([("magic", "S4"), ("docs", "<u4"), ("ids", "<u8"), ("blocks", "<u4")])
 _BLOCK_HEAD = 6
 _NULL = np.iinfo(np.int64).min
@@ -46,15 +48,9 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.where(x == 0, 0, np.frexp(x.astype(np.float64))[1]).astype(np.int64)
 
 
-def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    """One segment from documents' ids."""
-    lengths = np.array([len(x) for x in ids], "<u8")
-    flat = np.concatenate(ids).astype(np.uint32) if ids else np.empty(0, np.uint32)
+def _pack_blocks(flat: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes of the blocks of ``flat`` and the size of each."""
     n_blocks = -(-len(flat) // BLOCK)
-    head = np.array([(b"PFB1", len(ids), len(flat), n_blocks)], _HEAD).tobytes()
-    named = np.array([_NULL if x is None else x for x in doc_ids], "<i8").tobytes()
-    if not n_blocks:
-        return head + named + lengths.tobytes() + np.zeros(1, "<u8").tobytes()
     grid = np.concatenate([flat, np.full(n_blocks * BLOCK - len(flat), flat[-1], np.uint32)]).reshape(n_blocks, BLOCK)
     low = grid.min(1)
     diff = grid - low[:, None]
@@ -62,9 +58,9 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     width = _bits(np.partition(diff, rank, axis=1)[:, rank])
     outlier = _bits(diff) > width[:, None]
     exceptions = outlier.sum(1)
-    starts = np.concatenate([[0], np.cumsum(_BLOCK_HEAD + BLOCK // 8 * width + 5 * exceptions)]).astype(np.int64)
-    out = np.zeros(starts[-1], np.uint8)
-    at = starts[:-1]
+    size = _BLOCK_HEAD + BLOCK // 8 * width + 5 * exceptions
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
     out[at[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(-1, 4)
     out[at + 4], out[at + 5] = width, exceptions
     for w in np.unique(width[width > 0]):
@@ -77,7 +73,19 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     tail = at + _BLOCK_HEAD + BLOCK // 8 * width
     out[tail[row] + nth] = column
     out[(tail[row] + exceptions[row] + 4 * nth)[:, None] + np.arange(4)] = diff[row, column].astype("<u4").view(np.uint8).reshape(-1, 4)
-    return head + named + lengths.tobytes() + starts.astype("<u8").tobytes() + out.tobytes()
+    return out.tobytes(), size
+
+
+def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
+    """One segment from documents' ids. Blocks are packed ``TOGETHER`` at a time, so bits of a long document are never expanded at once."""
+    lengths = np.array([len(x) for x in ids], "<u8")
+    flat = np.concatenate(ids).astype(np.uint32) if ids else np.empty(0, np.uint32)
+    n_blocks = -(-len(flat) // BLOCK)
+    head = np.array([(b"PFB1", len(ids), len(flat), n_blocks)], _HEAD).tobytes()
+    named = np.array([_NULL if x is None else x for x in doc_ids], "<i8").tobytes()
+    parts = [_pack_blocks(flat[at : at + TOGETHER * BLOCK]) for at in range(0, len(flat), TOGETHER * BLOCK)]
+    starts = np.cumsum(np.concatenate([[0], *(size for _, size in parts)])).astype("<u8")
+    return b"".join([head, named, lengths.tobytes(), starts.tobytes(), *(data for data, _ in parts)])
 
 
 class Segment:
@@ -95,7 +103,11 @@ class Segment:
         self.body = np.frombuffer(data, np.uint8, offset=at + 16 * n + 8 * (blocks + 1))
 
     def blocks(self, first: int, last: int) -> np.ndarray:
-        """The ids of the blocks first..last-1."""
+        """The ids of the blocks first..last-1, ``TOGETHER`` blocks at a time."""
+        parts = [self._decode(at, min(at + TOGETHER, last)) for at in range(first, last, TOGETHER)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.empty(0, np.uint32)])
+
+    def _decode(self, first: int, last: int) -> np.ndarray:
         at = self.starts[first:last]
         out = np.zeros((len(at), BLOCK), np.uint32)
         low = self.body[at[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
@@ -150,7 +162,8 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, word_ends: bool = True,
         if names:
             yield segment()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_tie"), "text")
+    ordered = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text")
     return write_table(ordered.mapInArrow(run, "part int, local_start long, n_ids long, data binary"), "token-segments", "uncompressed")
 
 

@@ -31,8 +31,8 @@ class Encoder:
 
     A vocabulary never joins characters across the pieces that its pre-tokenizer
     cuts, so a text's ids are those of its pieces in turn. ``word_ends``:
-    pieces are what stands between white space; else the byte-level pieces. Strings
-    of special tokens in a text are ordinary text. New pieces are encoded many at a time, as
+    pieces are what stands between white space; else the byte-level pieces. A text that holds the
+    string of an added token, in any case, goes to the library whole. New pieces are encoded many at a time, as
     one text in which a separator of one known id stands between them.
     """
 
@@ -43,7 +43,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
+        #: what all of them begin with, up to the first letter: rarer and quicker to look for
+        self.hint = re.match(r"[^\w]*", os.path.commonprefix(added))[0]
         self.split: Callable[[str], list[str]] = (_WORDS if word_ends else _BYTE_LEVEL).findall
         # byte-level pieces without white space inside them stay apart at a line's end, words at a bar between spaces
         self.mark, self.apart = ("|", " | ") if word_ends else ("\n", "\n")
@@ -78,7 +81,8 @@ class Encoder:
 
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [self.split(t) if t else [] for t in texts]
+        whole = {i for i, t in enumerate(texts) if t and self.hint in t and self.special(t)}
+        cut = [self.split(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         new = list(set().union(*cut).difference(self.known)) if self.known else list(set().union(*cut))
         if len(self.known) + len(new) > self.ROOM and self.known:
             self.known = {}
@@ -86,7 +90,8 @@ class Encoder:
         if new:
             self._learn(new)
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), np.uint32) for pieces in cut]
+        alone = {i: np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in whole}
+        return [alone[i] if i in whole else np.frombuffer(b"".join(map(get, pieces)), np.uint32) for i, pieces in enumerate(cut)]
 
     def __call__(self, text: str | None) -> np.ndarray:
         return self.many([text])[0]
