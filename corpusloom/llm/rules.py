@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import WordHashes, over_rows, utf8, windows, write_table
 
 MIN_WORDS = 50
-#: Weight of the initial belief about the rules, as a share of the texts.
-BELIEF = 0.5
+#: Weight of the starting rates, in documents: it keeps rates off zero and vanishes beside any corpus.
+PSEUDO = 1.0
 SYMBOLS = "#*$%&|<>"
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_end_lines long, n_alpha_words long, n_upper long"
@@ -54,7 +54,7 @@ def text_features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
         return row
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return over_rows(docs.select(*keep, "text"), make, f"{schema}, {FEATURES}")
 
 
@@ -77,16 +77,18 @@ def votes() -> dict[str, Column]:
     }
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.7, belief: float = BELIEF) -> tuple[np.ndarray, np.ndarray, float]:
+def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, prior: float = 0.7, pseudo: float = PSEUDO) -> tuple[np.ndarray, np.ndarray, float]:
     """EM for rules that are independent given the quality. Returns (posterior of each pattern, accuracy of each rule, prior).
 
-    Each class has its own rate of each vote. Rates start from a belief that weighs as much as ``BELIEF`` of
-    all texts: a rule seldom objects to good text, and misses more than half of the bad.
+    Each class has its own rate of each vote of each rule. They start where a rule seldom objects to good text and
+    misses more than half of the bad; that tells the classes apart and weighs no more than ``pseudo`` documents, so
+    the votes of the corpus decide the rates.
     """
     p = len(counts)
     if p == 0:
         return np.empty(0), np.full(patterns.shape[1] if patterns.ndim == 2 else 0, 0.8), prior
-    share = counts / counts.sum()
+    total = counts.sum()
+    share = counts / total
     is_vote = np.stack([patterns == v for v in (-1, 0, 1)]).astype(float)  # vote, pattern, rule
     mean = np.einsum("p,vpr->vr", share, is_vote)
     spoken = 1 - mean[1]
@@ -95,6 +97,7 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, pri
     rate[0] = np.stack([0.4 * spoken, mean[1], 0.6 * spoken])
     rate = np.maximum(rate, 1e-6)  # a vote that never occurs
     start = rate / rate.sum(1, keepdims=True)
+    rate = start
     good = np.full(p, prior)
     for _ in range(rounds):
         logs = np.log(rate)
@@ -103,9 +106,9 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, pri
         done = np.abs(new - good).max() < 1e-10
         good = new
         mass = np.stack([share * (1 - good), share * good])
-        rate = np.einsum("cp,vpr->cvr", mass, is_vote) + belief * start
+        rate = np.einsum("cp,vpr->cvr", mass, is_vote) + pseudo / total * start
         rate /= rate.sum(1, keepdims=True)
-        prior = float(np.clip(mass[1].sum(), 0.1, 0.9))
+        prior = float(np.clip(mass[1].sum(), 0.001, 0.999))
         if done:
             break
     right = np.einsum("p,pr->r", share * good, patterns == 1) + np.einsum("p,pr->r", share * (1 - good), patterns == -1)
