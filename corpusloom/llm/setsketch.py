@@ -26,7 +26,7 @@ of them. A pair at the threshold is missed by all bands with probability
 Defined cases: texts without words, and null ones, have an empty set, are linked with
 nothing and kept; texts shorter than a shingle are one shingle; rows with a null
 id are linked with nothing and kept, with a null group; rows that repeat an id
-belong to one group with it; an empty table gives no rows.
+belong to one group with it, and the links of all their texts count; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -175,16 +175,22 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
 def _unsettled_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """All pairs of different groups that could be linked, by prefix filtering; ``groups`` has (id, component)."""
-    words = sets.join(groups, "id").select("id", "component", "shingles")
+    # an id that several texts share has several sets
+    words = sets.join(groups, "id").select("id", "component", "shingles", F.xxhash64("shingles").alias("set"))
+    # a shingle of one group matches nothing: it ranks first, and only the counts of the others are joined, from a
+    # table of their own, so that a very common one is a skewed join that can be split
     rarity = words.select("component", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
-    held = words.select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(rarity, "s")
+    rarity = write_table(rarity.filter("low < high").select("s", "often"), "shared-shingles")
+    held = words.select("id", "set", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(rarity, "s", "left")
     # rarity ranks every shingle of a set; only the first n - ceil(t n) + 1 are looked up
-    ordered = held.groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s", (F.col("low") < F.col("high")).alias("shared")))).alias("all"))
+    ranked = F.struct(F.coalesce("often", F.lit(0)).alias("often"), "s", F.col("often").isNotNull().alias("shared"))
+    ordered = held.groupBy("id", "set", "component", "n").agg(F.sort_array(F.collect_list(ranked)).alias("all"))
     reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     placed = F.transform(F.slice("all", F.lit(1), reach), lambda x, i: F.struct(x["s"].alias("s"), i.alias("at"), x["shared"].alias("shared")))
     prefix = ordered.select("id", "component", "n", F.explode(F.filter(placed, lambda x: x["shared"])).alias("x")).select("id", "component", "n", F.col("x.s").alias("s"), F.col("x.at").alias("at"))
     # the full count made a shingle shared; what matters is whether prefixes of two groups hold it
-    ends = prefix.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("s")
+    prefix = write_table(prefix, "all-prefixes")
+    ends = write_table(prefix.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("s"), "shared-prefixes")
     prefix = write_table(prefix.join(ends, "s").select("s", "id", "component", "n", "at"), "prefixes")
     a, b = prefix.toDF("s", "a", "ca", "na", "pa"), prefix.toDF("s", "b", "cb", "nb", "pb")
     # at the first shingle that two sets share, what follows in the shorter rest bounds the intersection
@@ -198,7 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sketched = sketches(docs, shingle)
     named = sketched.filter("n_shingles > 0 and doc_id is not null")
     names = named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"))
-    classes = write_table(named.join(names.select(F.col("id").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"]).select(F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"]), "classes")
+    classes = write_table(named.join(names.select(F.col("id").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"]).select(F.col("doc_id").alias("id"), "n_shingles", "sketch").distinct(), "classes")
 
     bands = band_keys(classes)
     buckets = bands.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
