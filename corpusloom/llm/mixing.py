@@ -3,14 +3,15 @@
 Every document belongs to a source. A source's target is its share by weight of
 all words, at most ``max_repeats`` times its size; what it can't use goes to
 the others by weight. The words of a source lie in shards (a seeded hash of the
-document), and each shard is cut into blocks of ``block_words`` words. Equal
+document) of bounded words and rows, and each shard is cut into blocks of ``block_words`` words. Equal
 blocks are allotted to sources, and within a source to its shards, by the
 highest quotients target / (2 seats + 1). In a shard all blocks are taken as
 often as its quota fills it, and a seeded choice of blocks once more.
 
 Defined cases: null text has size 0; a null source is a source of its own, last
 in order; documents without words take nothing; an empty table gives no rows;
-rows with the same id are separate rows; other columns are ignored.
+rows with the same id are separate rows; other columns are ignored. Windows over all
+sources hold one small row of each source.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, write_table
+from corpusloom.llm.common import WORD, free_names, write_table
 
 BLOCK_WORDS = 64
 SHARD_WORDS = 2_000_000
+SHARD_ROWS = 10_000
 MAX_REPEATS = 3
 
 
@@ -108,26 +110,30 @@ def repeat_documents(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_W
     differ from what the mix takes of it by less than its longest document.
     Rows with null or repeated ids are told apart by their content and a row number.
     """
-    rows = write_table(docs.withColumns({"_row": F.monotonically_increasing_id(), "_content": F.xxhash64(*docs.columns)}), "mix-rows")
-    taken = _taken(rows, seed, block_words, shard_words, max_repeats, ["_content", "_row"]).filter("taken > 0")
+    row, content, copy, count = free_names(docs.columns, "_row", "_content", "_copy", "_times")
+    rows = write_table(docs.withColumns({row: F.monotonically_increasing_id(), content: F.xxhash64(*docs.columns)}), "mix-rows")
+    taken = _taken(rows.select("doc_id", "text", "source", F.col(row).alias("_row"), F.col(content).alias("_content")), seed, block_words, shard_words, max_repeats, ["_content", "_row"]).filter("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size")).cast("long")
     order = W.partitionBy("source", "shard").orderBy("size", F.xxhash64(F.lit(seed + 2), "doc_id", "_content"), "doc_id", "_content", "_row")
     start = F.pmod(F.xxhash64(F.lit(seed + 3), "source", "shard"), F.lit(1 << 30)) / float(1 << 30)
     taken = taken.withColumn("_times", whole).withColumn("_rest", F.col("taken") / F.col("size") - F.col("_times"))
     upto, before = (F.floor(start + F.coalesce(F.sum("_rest").over(order.rowsBetween(W.unboundedPreceding, end)), F.lit(0.0))) for end in (0, -1))
-    times = taken.select("_row", (F.col("_times") + upto - before).cast("int").alias("_times")).filter("_times > 0")
-    return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = taken.select(F.col("_row").alias(row), (F.col("_times") + upto - before).cast("int").alias(count)).filter(F.col(count) > 0)
+    return rows.join(times, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count)))).select(*docs.columns)
 
 
 def _taken(docs: DataFrame, seed: int, block_words: int, shard_words: int, max_repeats: int, keep: list[str]) -> DataFrame:
     """The columns of ``mix`` with source, shard and those in ``keep``, which also settle the order of rows with the same id."""
     sizes = write_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep), "mix-sizes")
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("_rows"))
     sources = weight_targets(by_source.withColumn("weight", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1), max_repeats)
-    sources = sources.withColumn("shards", F.ceil(F.col("source_size") / F.lit(shard_words)).cast("long")).select("source", "source_size", "target", "shards")
+    sources = sources.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / F.lit(shard_words)), F.ceil(F.col("_rows") / F.lit(SHARD_ROWS))).cast("long")).select("source", "source_size", "target", "shards")
 
     # a document's place in its shard: words of the shard before it, in a seeded order
-    placed = sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    # documents without words take nothing and lie in no shard
+    located = sizes.join(sources.select(F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    empty = located.filter("size = 0").withColumns({"shard": F.lit(0).cast("long"), "_taken": F.lit(0).cast("long")})
+    placed = sizes.filter("size > 0").join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     placed = placed.withColumn("_mix", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod(F.col("_mix"), F.greatest("shards", F.lit(1))))
     in_shard = W.partitionBy("source", "shard").orderBy("_mix", "doc_id", "size", *keep).rowsBetween(W.unboundedPreceding, 0)
     placed = placed.withColumn("end", F.sum("size").over(in_shard)).select("doc_id", "source", "size", "source_size", "target", "shard", "end", *keep)
@@ -155,9 +161,11 @@ def _taken(docs: DataFrame, seed: int, block_words: int, shard_words: int, max_r
     # a document takes, of each block it reaches into, its own words as often as the block is taken
     n = F.lit(block_words)
     begin = F.col("end") - F.col("size")
-    pieces = placed.filter("size > 0").select("doc_id", "source", "shard", "end", "size", F.explode(F.sequence(F.floor(begin / n), F.floor((F.col("end") - 1) / n))).alias("block"))
+    pieces = placed.select("doc_id", "source", "shard", "end", "size", F.explode(F.sequence(F.floor(begin / n), F.floor((F.col("end") - 1) / n))).alias("block"))
     overlap = F.least(F.col("end"), (F.col("block") + 1) * n) - F.greatest(begin, F.col("block") * n)
     same = (F.xxhash64("source") == F.col("_sh")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block"))
     taken = pieces.join(blocks, same).groupBy(F.col("source").alias("_s"), F.col("shard").alias("_shard"), F.col("end").alias("_end")).agg(F.sum(overlap * F.col("times")).cast("long").alias("_taken"))
-    out = placed.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard")) & (F.col("end") == F.col("_end")) & (F.col("size") > 0), "left")
+    out = placed.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard")) & (F.col("end") == F.col("_end")), "left")
+    columns = ["doc_id", "source", "shard", *keep, "size", "source_size", "target", "_taken"]
+    out = out.select(*columns).unionByName(empty.select(*columns))
     return out.select("doc_id", "source", "shard", *keep, "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
