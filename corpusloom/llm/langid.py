@@ -10,30 +10,32 @@ posterior of its best language.
 Defined cases: null texts and texts without a letter are ``und`` with score 0,
 as are all texts when nothing was learned; repeated rows are scored alike; an
 empty table gives no rows; runs of characters without white space are scored
-whole, whatever their length.
+whole, whatever their length, in steps of ``STEP`` characters; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import id_hash, over_rows, spread, write_table
 
-#: Training texts of each language, about; EM rounds; languages at most, by training rows.
-PER_LANGUAGE, ROUNDS, LANGUAGES = 300, 3, 200
+#: Training texts of each language, about; EM rounds.
+PER_LANGUAGE, ROUNDS = 300, 3
 FOLDS, HELD = 3, 1
 _MARK, _LONGEST = "▁", 16
-_LETTER = re.compile(r"[^\W\d_]")
-#: Training looks at the first characters of a word without white space; scoring at all of them.
-_TRAINED = 30
+_LETTER = regex.compile(r"\p{L}")
+#: A word is a run without white space and marks, or one mark: without marks attached, words recur more often.
+_WORD = regex.compile(r"""[^\s.,;:!?"()\[\]{}|#$%&*<>/\\=+~^_`]+|[.,;:!?"()\[\]{}|#$%&*<>/\\=+~^_`]""")
+#: Words of more characters are scored in steps; training cuts them into parts, all of which count.
+_LONG, _PART = 64, 30
 _OTHER = 1e-7  # probability of a character that only bytes could spell
 
 
@@ -54,11 +56,13 @@ class Lattice:
     ones are cut into steps of ``SHORT`` ends whose sums are rescaled.
     """
 
-    SCALE, SHORT = 30.0, 32
+    SCALE, SHORT, STEP = 30.0, 32, 4096
 
     def __init__(self, pieces: list[str], table: np.ndarray):
         # piece -> row; -1 for what only begins a piece
         self.at = dict.fromkeys((p[:i] for p in pieces for i in range(1, len(p))), -1) | {p: i for i, p in enumerate(pieces)}
+        if len(pieces) >= 1 << 16:
+            raise ValueError("the pieces of a larger vocabulary don't fit into the number of an arc")
         lengths = np.array([len(p) for p in pieces] + [1])
         # the last row stands for a character that no piece spells
         self.table = np.vstack([table, np.full((1, table.shape[1]), _OTHER)]) * self.SCALE ** lengths[:, None]
@@ -112,6 +116,38 @@ class Lattice:
         size = arcs[4]
         return np.log(sums[np.arange(len(size)), size]) + (out - size * math.log(self.SCALE))[:, None]
 
+    def log_probability(self, word: str, step: int = STEP) -> np.ndarray:
+        """As ``log_probabilities`` of one long word: the sums of ``step`` ends at a time, the last of which begin the next step."""
+        text = _MARK + word
+        at, unknown = self.at.get, len(self.table) - 1
+        # sums of the ends up to where a step begins; the last is the empty prefix at first
+        before, out = np.zeros((_LONGEST, self.table.shape[1])), np.zeros(self.table.shape[1])
+        before[-1] = 1
+        for begin in range(0, len(text), step):
+            end = min(begin + step, len(text))
+            arcs: list[list[tuple[int, int]]] = [[] for _ in range(begin, end)]  # (start, piece) by end
+            for i in range(max(0, begin - _LONGEST + 1), end):
+                if i >= begin and at(text[i], -1) < 0:
+                    arcs[i - begin].append((i, unknown))
+                for j in range(i + 1, min(end, i + _LONGEST) + 1):
+                    k = at(text[i:j])
+                    if k is None:
+                        break
+                    if k >= 0 and j > begin:
+                        arcs[j - 1 - begin].append((i, k))
+            sums = np.concatenate([before, np.zeros((end - begin, self.table.shape[1]))])
+            shift = _LONGEST - 1 - begin
+            for j, some in enumerate(arcs, _LONGEST):
+                for i, k in some:
+                    sums[j] += sums[i + shift] * self.table[k]
+                sums[j] = np.maximum(sums[j], 1e-290)
+                if j % self.SHORT == 0 or j == len(sums) - 1:
+                    most = sums[j].copy()
+                    sums[j - _LONGEST + 1 : j + 1] /= most
+                    out += np.log(most)
+            before = sums[-_LONGEST:]
+        return np.log(before[-1]) + out - len(text) * math.log(self.SCALE)
+
     def expected(self, words: list[str], weight: np.ndarray) -> np.ndarray:
         """Expected number of each piece over the segmentations of short words; ``weight`` (word, language) counts the words."""
         arcs = word, start, end, piece, size = self.arcs(words)
@@ -131,35 +167,24 @@ class Lattice:
         return np.stack([np.bincount(piece, share[:, k], len(self.table))[:-1] for k in range(share.shape[1])], 1)
 
 
-#: Marks that part words here, as white space does: they tell languages apart hardly, and words recur more often without them.
-_MARKS = str.maketrans(dict.fromkeys(".,;:!?\"()[]{}|#$%&*<>/\\=+~^_`", " "))
-
-
 def normal_words(text: str | None) -> list[str]:
-    return (text or "").lower().translate(_MARKS).split()
+    return _WORD.findall((text or "").lower())
 
 
-def _by_length(words: list[str]) -> list[list[str]]:
-    """Runs of words in their order, so that a long one stands alone and a table of sums stays small."""
-    out: list[list[str]] = []
-    for w in words:
-        if len(w) > 64 or not out or len(out[-1][-1]) > 64:
-            out.append([])
-        out[-1].append(w)
-    return out
+def parts(word: str) -> list[str]:
+    return [word[i : i + _PART] for i in range(0, len(word), _PART)]
 
 
 def train(docs: DataFrame, pieces: list[str], per_language: int = PER_LANGUAGE, seed: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, piece probabilities, log priors) from rows that are not held out and have a language."""
     known = docs.filter(F.col("lang").isNotNull() & F.coalesce(id_hash("doc_id", FOLDS) != HELD, F.lit(False)))
-    counts = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    counts.sort()
+    counts = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())  # a row for each language
     languages = [c[0] for c in counts]
     if not languages:
         return [], np.empty((0, 0)), np.empty(0)
     keep = reduce(lambda a, b: a | b, [(F.col("lang") == k) & (spread("doc_id", seed) < min(1.0, per_language / n)) for k, n in counts])
     sample = known.filter(keep).select("lang", "text")
-    words = over_rows(sample, lambda: lambda lang, text: [(lang, w[:_TRAINED]) for w in set(normal_words(text))], "lang string, word string", many=True)
+    words = over_rows(sample, lambda: lambda lang, text: [(lang, p) for w in set(normal_words(text)) for p in parts(w)], "lang string, word string", many=True)
     rows = write_table(words.groupBy("word", "lang").count(), "language-words").collect()  # of the bounded sample
     place = {k: i for i, k in enumerate(languages)}
     by_word: dict[str, np.ndarray] = {}
@@ -195,6 +220,7 @@ def identify(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def run(batches):
         pieces, languages, table, prior = shared.value
+        room = min(600_000, 20_000_000 // max(len(languages), 1))  # words to remember: their rows take 160 MB at most
         memory = worker_memory()
         if model not in memory:
             memory.clear()
@@ -205,22 +231,23 @@ def identify(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 texts = batch.column(1).slice(at, 256).to_pylist()
                 words = [normal_words(t) if languages and t is not None and _LETTER.search(t) else None for t in texts]
+                long = [[w for w in some if len(w) > _LONG] if some else [] for some in words]
+                words = [[w for w in some if len(w) <= _LONG] if extra else some for some, extra in zip(words, long, strict=True)]
                 new = list({w: None for some in words if some for w in some if w not in known})
-                if len(known) + len(new) > 600_000:  # forget, rather than grow with the vocabulary
+                if len(known) + len(new) > room:  # forget, rather than grow with the vocabulary
                     known, held = {}, held[:0]
                     new = list({w: None for some in words if some for w in some})
                 known |= {w: len(held) + i for i, w in enumerate(new)}
-                new_rows = [held]
-                for j in range(0, len(new), 2048):
-                    new_rows += [lattice.log_probabilities(same) for same in _by_length(new[j : j + 2048])]
-                held = np.concatenate(new_rows)
+                held = np.concatenate([held, *(lattice.log_probabilities(new[j : j + 2048]) for j in range(0, len(new), 2048))])
                 memory[model] = (lattice, known, held)
                 best, score = [], []
-                for some in words:
+                for some, extra in zip(words, long, strict=True):
                     if some is None:
                         best.append("und"), score.append(0.0)
                         continue
                     total = prior + held[np.fromiter(map(known.__getitem__, some), int, len(some))].sum(0)
+                    for w in extra:
+                        total = total + lattice.log_probability(w)
                     k = int(np.argmax(total))
                     best.append(languages[k]), score.append(float(1 / np.exp(total - total[k]).sum()))
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
