@@ -2,17 +2,20 @@
 
 A hashed n-gram's scale is the log ratio of its smoothed document frequencies
 in toxic and other training texts. N-grams whose frequencies differ by less
-than chance could explain get scale 0. Logistic regression weighs the scaled
+than chance could explain (a z-score below ``LEAST_Z``) get scale 0, and so do those beyond the
+``FEATURES`` highest z-scores, which bounds the model. Logistic regression weighs the scaled
 presence features. It learns from a bounded, documented sample
-of labelled rows (``PER_CLASS``); scoring reads every whole text.
+of labelled rows (``PER_CLASS`` of each class); scoring reads every whole text.
 
 Defined cases: null and empty texts get the score of a text without features;
-without labels of both classes every score is the share of toxic labels (0 if
-none); repeated rows are scored alike; an empty table gives no rows.
+without training texts of both classes every score is the share of toxic ones (1 or 0; 0 if there
+is none); repeated rows are scored alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from corpusloom.llm.common import over_rows
 from corpusloom.llm.labelled import held_out, labelled_texts
 
 #: Training texts of each class, about; n-gram lengths; hash bits; features kept and their least z-score.
-PER_CLASS, LENGTHS, BITS, FEATURES, LEAST_Z = 4000, (4, 5, 6), 18, 2000, 5.0
+PER_CLASS, LENGTHS, BITS, FEATURES, LEAST_Z = 4000, (4, 5, 6), 18, 3000, 5.0
 _CHUNK = 1 << 20
 
 
@@ -95,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed:
     slot = np.full(1 << BITS, -1, np.int32)
     if not n1 or not n0:
         share = n1 / max(n1 + n0, 1)
-        return slot, np.empty(0), 20.0 if share == 1 else -20.0
+        return slot, np.empty(0), np.inf if share == 1 else -np.inf  # the score is the share itself
     share = n1 / (n1 + n0)
     both = F.col("toxic") + F.col("other")
     z = F.abs(F.col("toxic") - both * share) / F.sqrt(both * share * (1 - share))
@@ -120,8 +123,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed:
     return slot, w * ratio, float(b)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1) of every row by its whole text."""
+def _probability(s: float) -> float:
+    return float(s > 0) if math.isinf(s) else 1 / (1 + math.exp(-min(max(s, -60.0), 60.0)))
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` columns and ``name`` (0 to 1) of every row by its whole text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 2 ** BITS slots: a fixed size
 
@@ -131,12 +138,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
 
         def row(*values):
             s = b + (float(w[present(values[n], slot)].sum()) if len(w) else 0.0)
-            return (*values[:n], float(1 / (1 + np.exp(-np.clip(s, -60, 60)))))
+            return (*values[:n], _probability(s))
 
         return row
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return over_rows(docs.select(*keep, "text"), make, f"{schema}, score double")
+    return over_rows(docs.select(*keep, "text"), make, f"{schema}, `{name}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
