@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, drop_table, over_rows, release, utf8, windows, write_table
+from corpusloom.llm.common import WordHashes, drop_table, free_names, over_rows, release, utf8, windows, write_table
 
 RUN = 20
 SHARD_WORDS, PART_ROWS = 20_000, 512
@@ -276,8 +276,10 @@ def dedup_texts(docs: DataFrame, window: int = 50) -> DataFrame:
 
         return row
 
-    cut = over_rows(held.select("doc_id", "text_key", "text").dropDuplicates(["doc_id", "text_key"]).join(spans, ["doc_id", "text_key"]), make, "_id long, _key long, _text string")
-    text = F.coalesce("_text", "text")
-    out = docs.join(cut, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").filter("_text is null or _text != ''")
-    columns = {"text": text} | ({"n_chars": F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast("long")} if "n_chars" in docs.columns else {})
+    of, key, left = free_names(docs.columns, "_id", "_key", "_text")
+    cut = over_rows(held.select("doc_id", "text_key", "text").dropDuplicates(["doc_id", "text_key"]).join(spans, ["doc_id", "text_key"]), make, f"{of} long, {key} long, {left} string")
+    out = docs.join(cut, (F.col("doc_id") == F.col(of)) & (F.xxhash64("text") == F.col(key)), "left").filter(F.col(left).isNull() | (F.col(left) != ""))
+    columns = {"text": F.coalesce(left, "text")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
     return out.withColumns(columns).select(*docs.columns)
