@@ -174,10 +174,45 @@ def test_label_model_finds_accurate_rules():
     good = rng.random(4000) < 0.7
     votes = np.stack([np.where(rng.random(4000) < p, np.where(good, 1, -1), np.where(good, -1, 1)) for p in (0.95, 0.9, 0.85, 0.6)], 1)
     patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    posterior, accuracy, prior = rules.label_model(patterns, counts.astype(float), belief=0.01)
+    posterior, accuracy, prior = rules.label_model(patterns, counts.astype(float))
     assert ((posterior[back.ravel()] >= 0.5) == good).mean() > 0.9 and accuracy[0] > accuracy[3] and abs(prior - 0.7) < 0.1
 
 
+def test_posterior_equals_em_over_documents(spark):
+    """The same EM written out over documents one by one, and the verdict that follows from it."""
+    rows = corpus() * 2
+    names = list(rules.votes())
+    counted = rules.text_features(frame(spark, rows), ["doc_id"]).select("*", *[c.alias(n) for n, c in rules.votes().items()]).collect()
+    docs = [[r[n] for n in names] for r in counted]
+    prior, n = 0.7, len(docs)
+    spoken = [sum(d[k] != 0 for d in docs) / n for k in range(len(names))]
+    start = [[{-1: b * s, 0: 1 - s, 1: (1 - b) * s} for s in spoken] for b in (0.4, 0.02)]
+    start = [[{v: max(x, 1e-6) / sum(max(y, 1e-6) for y in r.values()) for v, x in r.items()} for r in side] for side in start]
+    rate = start
+    for _ in range(500):
+        good = []
+        for d in docs:
+            odds = prior / (1 - prior)
+            for k, v in enumerate(d):
+                odds *= rate[1][k][v] / rate[0][k][v]
+            good.append(odds / (1 + odds))
+        rate = []
+        for side in (0, 1):
+            weight = [g if side else 1 - g for g in good]
+            mass = [{v: sum(w for w, d in zip(weight, docs, strict=True) if d[k] == v) + start[side][k][v] for v in (-1, 0, 1)} for k in range(len(names))]
+            rate.append([{v: x / sum(m.values()) for v, x in m.items()} for m in mass])
+        prior = min(max(sum(good) / n, 0.001), 0.999)
+    want = {}
+    for r, g in zip(counted, good, strict=True):
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        want.setdefault((r.doc_id, r.n_words, r.word_chars), (g, not failed and g >= 0.5))
+    got = rules.weak_quality(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and any(r.kept for r in got) and not all(r.kept for r in got)
+    for r in got:
+        g, kept = want[r.doc_id, r.n_words, r.word_chars]
+        assert abs(r.quality - g) < 1e-4 and r.kept == kept
+
+
 def test_mixing(spark):
     rows = corpus()
     docs = frame(spark, rows)
@@ -235,8 +270,70 @@ def test_lattice_equals_all_segmentations():
 
     for word in ("ab", "abab", "axb", "", "bbbbb"):
         assert np.allclose(lattice.log_probabilities([word, "a"])[0], [np.log(total(word, k)) for k in (0, 1)])
-    long = "ab" * 500
-    assert np.isfinite(lattice.log_probabilities([long])).all()
+    for long in ("ab" * 500, "axbab" * 60 + "b"):
+        want = lattice.log_probabilities([long])[0]
+        assert np.isfinite(want).all()
+        for step in (7, 33, 100, 4096):
+            assert np.allclose(lattice.log_probability(long, step), want)
+
+
+def test_language_equals_brute_force(spark):
+    """Training, score and verdict written out by recursion, over words, marks and a long run without white space."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [("the cat, the dog", "en"), ("der hund und die katze", "de"), ("theansweris" * 40, "en"), ("½ ² 12", "en"), ("ﬁn é", "fr"), ("¡qué!", None), (None, "en")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts * 3)], "doc_id long, text string, lang string")
+    pieces = langid.vocabulary(path)
+    languages, table, prior = langid.train(docs, pieces)
+    known = [(t, lang) for i, (t, lang) in enumerate(texts * 3) if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    assert languages == sorted({lang for _, lang in known})
+    assert np.allclose(np.exp(prior), [sum(k == lang for _, lang in known) / len(known) for k in languages])
+    at = {p: i for i, p in enumerate(pieces)}
+    counts = {}
+    for t, lang in known:
+        for w in set(langid.normal_words(t)):
+            for j in range(0, len(w), 30):
+                counts[w[j : j + 30], lang] = counts.get((w[j : j + 30], lang), 0) + 1
+    want = np.full((len(pieces), len(languages)), 1 / len(pieces))
+
+    def arcs(text):
+        return [(i, j, at[text[i:j]]) for i in range(len(text)) for j in range(i + 1, min(len(text), i + 16) + 1) if text[i:j] in at] + [(i, i + 1, None) for i in range(len(text)) if text[i] not in at]
+
+    def forward(text, p):
+        total = [1.0] + [0.0] * len(text)
+        for j in range(1, len(text) + 1):
+            total[j] = sum(total[i] * p(k) for i, e, k in arcs(text) if e == j)
+        return total
+
+    for _ in range(langid.ROUNDS):
+        seen = np.zeros_like(want)
+        for (w, lang), n in counts.items():
+            text, column = "▁" + w, languages.index(lang)
+
+            def p(k, column=column):
+                return langid._OTHER if k is None else want[k, column]
+
+            ahead = forward(text, p)
+            back = [0.0] * len(text) + [1.0]
+            for i in range(len(text) - 1, -1, -1):
+                back[i] = sum(p(k) * back[e] for s, e, k in arcs(text) if s == i)
+            for s, e, k in arcs(text):
+                if k is not None:
+                    seen[k, column] += n * ahead[s] * p(k) * back[e] / ahead[-1]
+        want = (seen + 0.01) / (seen.sum(0) + 0.01 * len(pieces))
+    assert np.allclose(table, want)
+
+    rows = {r.doc_id: r for r in langid.identify(docs, path).collect()}
+    lattice = langid.Lattice(pieces, want)
+    for i, (t, _) in enumerate(texts * 3):
+        if t is None or not any(c.isalpha() for c in t):
+            assert rows[i].lang_pred == "und" and rows[i].score == 0
+            continue
+        total = prior + sum(lattice.log_probabilities([w])[0] for w in langid.normal_words(t))
+        assert "".join(langid.normal_words(t)) == "".join(t.lower().split())  # every character counts
+        assert rows[i].lang_pred == languages[int(total.argmax())]
+        assert abs(rows[i].score - 1 / np.exp(total - total.max()).sum()) < 1e-9
 
 
 def test_language(spark):
@@ -271,3 +368,89 @@ def test_classifiers(spark, module, label, threshold):
     assert run(docs.limit(0), known).count() == 0
     none = run(docs.limit(5), known.limit(0)).collect()
     assert len(none) == 5
+
+
+def test_one_class_of_labels(spark):
+    """Without toxic and other training texts the score is the share of toxic ones."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    for toxic in (0, 1):
+        labels = docs.select("doc_id", F.lit(toxic).alias("toxic"))
+        assert {r.score for r in toxicity.toxicity(docs, labels).collect()} == {float(toxic)}
+
+
+def test_toxic_features_and_weights():
+    """Hashed n-grams of a text one by one, and a logistic regression whose gradient vanishes."""
+    text = "Du Idiot, geh weg"
+    body = f" {text} ".lower()
+    want = set()
+    for n in toxicity.LENGTHS:
+        for i in range(len(body) - n + 1):
+            h = ord(body[i])
+            for c in body[i + 1 : i + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+            want.add((h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - toxicity.BITS))
+    assert {int(x) for h in toxicity.ngram_hashes(text) for x in h} == want
+    rng = np.random.default_rng(1)
+    x = (rng.random((300, 5)) < 0.4) * np.array([2.0, -1.5, 0.5, 1.0, 0.1])
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [1, 1, 0, 0, 0])))).astype(float)
+    weight = np.where(y == 1, 0.5, 2.0)
+    w, b = toxicity.logistic(x, y, weight, rounds=5000)
+    error = weight * (1 / (1 + np.exp(-(x @ w + b))) - y) / weight.sum()
+    assert np.abs(x.T @ error + 2e-3 * w).max() < 1e-6 and abs(error.sum()) < 1e-6
+
+
+def test_prior_of_positives():
+    """Mixtures of known shares, and one where the unlabelled rows are all positive."""
+    rng = np.random.default_rng(6)
+    for share in (0.2, 0.6, 0.9, 1.0):
+        good = rng.random(4000) < share
+        whole = rng.standard_normal((4000, 6)) + np.where(good, 2.0, -2.0)[:, None] * [1, 1, 0, 0, 0, 0]
+        trusted = rng.standard_normal((2000, 6)) + [2.0, 2.0, 0, 0, 0, 0]
+        assert abs(pu_quality.class_prior(trusted, whole) - share) < 0.06
+
+
+def test_non_negative_risk():
+    """The fitted risk beats that of other scorers, and the fit recovers the classes that only positives were labelled of."""
+    rng = np.random.default_rng(7)
+    good = rng.random(3000) < 0.4
+    whole = rng.standard_normal((3000, 4)) + np.where(good, 1.5, -1.5)[:, None] * [1, 1, 0, 0]
+    trusted = rng.standard_normal((1000, 4)) + [1.5, 1.5, 0, 0]
+
+    def risk(w, b):
+        def loss(x, side):
+            return sum(float(np.log1p(np.exp(-side * (r @ w + b)))) for r in x) / len(x)
+
+        return 0.4 * loss(trusted, 1) + max(0.0, loss(whole, -1) - 0.4 * loss(trusted, -1))
+
+    w, b = pu_quality.fit(trusted, whole, 0.4)
+    found = risk(w, b)
+    assert all(found <= risk(w + d, b + e) + 2e-3 for d, e in [(np.eye(4)[0] * 0.3, 0), (-np.eye(4)[1] * 0.3, 0), (np.eye(4)[2] * 0.3, 0), (0 * w, 0.3), (0 * w, -0.3)])
+    assert ((whole @ w + b > 0) == good).mean() > 0.95
+
+
+def test_quality_features_and_scores(spark):
+    """Counts of a text one by one, whole long words among them, and a score that is the sigmoid of their weighted sum."""
+    text = "Ab12 cd! " + "Q" * 70 + "z" * 5 + "\nAb12 cd! x\nAb12 cd! x"
+    got = pu_quality.features(text, pu_quality.Shapes(), pu_quality.WordHashes())
+    ws = text.split()
+
+    def shape(w):
+        out = ""
+        for c in w:
+            k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+            out += k if not out.endswith(k) else ""
+        return zlib.crc32(out.encode()) % pu_quality.ONES
+
+    ones = np.zeros(pu_quality.ONES)
+    for w in ws:
+        ones[shape(w)] += 1 / len(ws)
+    assert np.allclose(got[: pu_quality.ONES] ** 2, ones, atol=1e-6)
+    three = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
+    lines = text.split("\n")
+    letters = sum(map(len, ws))
+    want = [np.log1p(len(ws)) / 8, 1, 1, 1 - len(set(three)) / len(three), 1 - len(set(lines)) / len(lines), letters / len(ws) / 10, 0, 0, np.log1p(len(ws) / 3) / 5, len(set(ws)) / len(ws)]
+    assert np.allclose(got[-10:], want, atol=1e-6)
+    model = (np.linspace(-1, 1, len(got)), 0.2)
+    rows = spark.createDataFrame([(1, text, "clash"), (2, None, None)], "doc_id long, text string, score string").select("doc_id", "text")
+    scores = {r.doc_id: r.score for r in pu_quality.score(rows, model, ["doc_id"]).collect()}
+    assert abs(scores[1] - 1 / (1 + np.exp(-(got @ model[0] + 0.2)))) < 1e-6 and abs(scores[2] - 1 / (1 + np.exp(-(model[0][-9] + model[0][-8] + 0.2)))) < 1e-6  # no words: fewer than 50 and than 15

@@ -10,12 +10,11 @@ from tokenizers import Tokenizer
 from corpusloom.llm import packing, tokenfile
 from corpusloom.llm.tokens import Encoder
 
-ROWS = [(3, "b  c\n\nd"), (1, None), (2, ""), (5, "word " * 3000), (5, "word " * 3000), (None, "no id"), (4, "x" * 5000), (9, "é ß 中")]
+ROWS = [(3, "b  c\n\nd"), (1, None), (2, ""), (5, "word " * 3000), (5, "word " * 3000), (None, "no id"), (4, "x" * 5000), (9, "é ß 中"), (7, "foo <|endoftext|> bar"), (8, "w " * 9000)]
 
 
 def reference(name, text, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -39,7 +38,7 @@ def test_token_file(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("start", __import__("pyspark").sql.functions.lit("clash"))
     got = tokenfile.read_tokens(tokenfile.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))).collect()
     at = 0
-    for row, (doc_id, text) in zip(sorted(got, key=lambda r: r.start), sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), strict=True):
+    for row, (doc_id, text) in zip(sorted(got, key=lambda r: r.start), sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
         ids = reference("word_bpe_49k.json", text, 1)
         assert (row.doc_id, row.start, row.n_tokens, row.ids_crc32) == (doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
@@ -76,3 +75,20 @@ def test_hilbert_key_is_a_walk():
     cells = np.stack(np.meshgrid(side, side, side), -1).reshape(-1, 3)
     order = cells[np.argsort(packing.hilbert_key(cells, 3))]
     assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
+
+
+def test_segments_of_many_blocks():
+    """More blocks than are packed in one go, and a document that begins and ends inside of them."""
+    rng = np.random.default_rng(2)
+    ids = [rng.integers(0, 50_000, n).astype(np.uint32) for n in (5, tokenfile.BLOCK * tokenfile.TOGETHER + 77, 3)]
+    s = tokenfile.Segment(tokenfile.pack([1, 2, 3], ids))
+    assert all((a == b).all() for a, b in zip(s.all_ids(), ids, strict=True))
+    assert (s.ids(1) == ids[1]).all() and (s.ids(2) == ids[2]).all()
+
+
+def test_long_documents_are_many_rows(spark):
+    docs = spark.createDataFrame([(1, "word " * 5000), (1, "other " * 5000), (None, "word " * 3000)], "doc_id long, text string")
+    encoded = packing.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoded.selectExpr("max(length(ids))").first()[0] <= 4 * packing.CHUNK and encoded.count() > 9
+    vector = packing.coordinates(np.arange(50_000), packing.HASHED)
+    assert vector.max() < packing.HASHED and len(np.unique(vector)) > 0.9 * packing.HASHED
