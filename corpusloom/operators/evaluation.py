@@ -23,29 +23,43 @@ SAFE_FAILURE_MARKERS = (
 WEIGHTS = {"accuracy": 0.55, "citation": 0.15, "safety": 0.20, "latency": 0.10}
 
 
-def evaluate_answers(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Adds matched_keywords, keyword_score, forbidden_matches, safe_failure, passed, hallucinated, citation_count.
+def text_findings(rows: DataFrame) -> DataFrame:
+    """Adds what only the text tells: matched_keywords, keyword_score, forbidden_matches, has_text, marked, citation_count.
 
-    ``rows`` has (answer, answer_status, expected_keywords, forbidden_keywords, should_answer).
+    ``rows`` has (answer, expected_keywords, forbidden_keywords). All of it is local to the row, so that joins
+    and shuffles that follow needn't carry the text.
     """
+    none = F.array().cast("array<string>")
     text = fold(collapse(F.coalesce("answer", F.lit(""))))
-    status = F.replace(fold(collapse(F.coalesce("answer_status", F.lit("")))), F.lit(" "), F.lit("_"))
 
     def hits(name: str):
-        return F.size(F.filter(F.coalesce(name, F.array().cast("array<string>")), lambda k: F.contains(F.col("_text"), fold(collapse(k))))).cast("long")
+        return F.size(F.filter(F.coalesce(name, none), lambda k: F.contains(F.col("_text"), fold(collapse(k))))).cast("long")
 
-    n = F.size(F.coalesce("expected_keywords", F.array().cast("array<string>")))
+    n = F.size(F.coalesce("expected_keywords", none))
     marked = reduce(lambda a, m: a | F.contains(F.col("_text"), F.lit(m)), SAFE_FAILURE_MARKERS, F.lit(False))
-    out = rows.withColumn("_text", text).withColumn("matched_keywords", hits("expected_keywords")).withColumn("forbidden_matches", hits("forbidden_keywords"))
-    out = out.withColumn("keyword_score", F.round(F.when(n > 0, F.col("matched_keywords") / n).otherwise((F.col("_text") != "").cast("double")), 6))
-    out = out.withColumn("safe_failure", status.isin("insufficient_evidence", "safe_failure") | marked)
-    answered = (F.col("_text") != "") & ~F.col("safe_failure")
-    return (
-        out.withColumn("passed", F.when(F.col("should_answer"), answered & (F.col("keyword_score") >= threshold)).otherwise(F.col("safe_failure") & (F.col("forbidden_matches") == 0)))
-        .withColumn("hallucinated", F.when(F.col("should_answer"), F.col("forbidden_matches") > 0).otherwise(answered))
-        .withColumn("citation_count", F.size(F.array_distinct(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(r"\[(\d+)\]"), F.lit(1)))).cast("long"))
-        .drop("_text")
-    )
+    out = rows.withColumn("_text", text).withColumns({"matched_keywords": hits("expected_keywords"), "forbidden_matches": hits("forbidden_keywords"), "has_text": F.col("_text") != "", "marked": marked})
+    out = out.withColumn("keyword_score", F.round(F.when(n > 0, F.col("matched_keywords") / n).otherwise(F.col("has_text").cast("double")), 6))
+    cited = F.size(F.array_distinct(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(r"\[(\d+)\]"), F.lit(1))))
+    return out.withColumn("citation_count", cited.cast("long")).drop("_text")
+
+
+def verdicts(found: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Adds safe_failure, passed and hallucinated to findings with (answer_status, should_answer)."""
+    status = F.replace(fold(collapse(F.coalesce("answer_status", F.lit("")))), F.lit(" "), F.lit("_"))
+    out = found.withColumn("safe_failure", status.isin("insufficient_evidence", "safe_failure") | F.col("marked"))
+    answered = F.col("has_text") & ~F.col("safe_failure")
+    return out.withColumns({
+        "passed": F.when(F.col("should_answer"), answered & (F.col("keyword_score") >= threshold)).otherwise(F.col("safe_failure") & (F.col("forbidden_matches") == 0)),
+        "hallucinated": F.when(F.col("should_answer"), F.col("forbidden_matches") > 0).otherwise(answered),
+    }).drop("has_text", "marked")
+
+
+def evaluate_answers(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Adds matched_keywords, keyword_score, forbidden_matches, safe_failure, passed, hallucinated, citation_count.
+
+    ``rows`` has (answer, answer_status, expected_keywords, forbidden_keywords, should_answer).
+    """
+    return verdicts(text_findings(rows), threshold)
 
 
 def summarize_experiments(rows: DataFrame, means: Sequence[str] = ()) -> DataFrame:

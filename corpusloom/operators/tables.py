@@ -43,7 +43,7 @@ def top_sources(results: DataFrame, n: int = 10) -> DataFrame:
 
 
 def low_scores(results: DataFrame, threshold: float, n: int = 20) -> DataFrame:
-    return results.filter(F.col("score") < threshold).orderBy("score", "query_id", "chunk_id").limit(n)
+    return results.filter(F.col("score") < threshold).orderBy("score", "query_id", "chunk_id", "technique").limit(n)
 
 
 def histogram(rows: DataFrame, value: str, bins: int = 10) -> DataFrame:

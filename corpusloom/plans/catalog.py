@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators import answers, chunks, context, dense, evaluation, evidence, formats, fusion, incremental, lexical, records, reviews, tables, variants
 from corpusloom.plans import sql as S
-from corpusloom.sources import corpus
+from corpusloom.sources import corpus, storage
 from corpusloom.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,11 +50,35 @@ def questions(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+def of_tables(spark, d, *names: str) -> str:
+    return storage.version(spark, *[f"{d}/{n}.parquet" for n in names])
+
+
+def stored_index(spark, d, name: str, texts: Callable[[], DataFrame], key: str) -> lexical.Index:
+    """The lexical index of a corpus made from ``documents``: written once for each version of that table."""
+    at = of_tables(spark, d, "documents")
+    postings = storage.stored(spark, f"{name}-postings", at, lambda: lexical.postings(texts(), key).repartition("term").sortWithinPartitions("term"))
+    stats = storage.stored(spark, f"{name}-stats", at, lambda: lexical.corpus_stats(texts()))
+    return lexical.Index(postings, storage.stored(spark, f"{name}-terms", at, lambda: lexical.term_stats(postings, stats)), stats)
+
+
+def lines_index(spark, d) -> lexical.Index:
+    return stored_index(spark, d, "lines", lambda: lines(spark, d), "chunk_id")
+
+
+def documents_index(spark, d) -> lexical.Index:
+    return stored_index(spark, d, "documents", lambda: table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
 def variant_rankings(spark, d, k: int = 10) -> DataFrame:
-    """(query_id, variant_order, technique, chunk_id, source, chunk_index, text, score, rank)."""
-    v = variants.query_variants(questions(spark, d))
-    found = lexical.bm25_topk(v, lines(spark, d), k, by=["query_id", "variant_order", "technique"])
-    return found.join(lines(spark, d), "chunk_id")
+    """(query_id, variant_order, technique, chunk_id, score, rank, source, chunk_index, text): written once, like the index it was searched in."""
+
+    def build():
+        v = variants.query_variants(questions(spark, d))
+        found = lexical.search(v, lines_index(spark, d), k, by=["query_id", "variant_order", "technique"])
+        return found.join(lines(spark, d), "chunk_id")
+
+    return storage.stored(spark, f"rankings-{k}", of_tables(spark, d, "documents", "benchmark"), build)
 
 
 def results(spark, d) -> DataFrame:
@@ -62,14 +86,18 @@ def results(spark, d) -> DataFrame:
     return variant_rankings(spark, d).withColumn("pos", F.col("variant_order") * 1000 + F.col("rank"))
 
 
+def ranked_results(spark, d) -> DataFrame:
+    """Deduplicated results with the source, index and text of their chunk."""
+    r = results(spark, d)
+    return fusion.deduplicate(r).join(r.select("chunk_id", "source", "chunk_index", "text").dropDuplicates(["chunk_id"]), "chunk_id")
+
+
 def seeds(spark, d, k: int = 3) -> DataFrame:
-    best = fusion.deduplicate(results(spark, d)).filter(F.col("place") <= k)
-    return best.join(lines(spark, d), "chunk_id").withColumn("text", F.col("text"))
+    return ranked_results(spark, d).filter(F.col("place") <= k)
 
 
 def pool(spark, d) -> DataFrame:
-    best = fusion.deduplicate(results(spark, d)).filter("place <= 30").withColumnRenamed("place", "rank")
-    return best.join(lines(spark, d), "chunk_id").join(questions(spark, d), "query_id")
+    return ranked_results(spark, d).filter("place <= 30").withColumnRenamed("place", "rank").join(questions(spark, d), "query_id")
 
 
 # --- text, chunks, index -------------------------------------------------------------------------
@@ -97,21 +125,20 @@ def document_summary(spark, d):
 
 @query(f"with t as (select doc_id, {S.tokens('text')} as l from documents), u as (select doc_id, len(l) as length, unnest(l) as term from t) select doc_id, term, count(*) as tf, length from u group by doc_id, term, length")
 def postings(spark, d):
-    return lexical.postings(table(spark, d, "documents"), "doc_id")
+    return documents_index(spark, d).postings
 
 
 @query(f"with {S.index('select doc_id as k, text from documents')} select term, df, round(idf, 6) as idf from terms")
 def term_stats(spark, d):
-    docs = table(spark, d, "documents")
-    return lexical.term_stats(lexical.postings(docs, "doc_id"), lexical.corpus_stats(docs)).withColumn("idf", F.round("idf", 6))
+    return documents_index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {S.index('select doc_id as k, text from documents')}, {S.bm25('select item_id as query_id, text as query from benchmark', ['query_id'])} select query_id, k as doc_id, score, rank from ranked where rank <= 10")
 def bm25_topk(spark, d):
-    return lexical.bm25_topk(questions(spark, d).withColumnRenamed("question", "query"), table(spark, d, "documents"), 10, "doc_id").withColumn("rank", F.col("rank").cast("long"))
+    return lexical.search(questions(spark, d).withColumnRenamed("question", "query"), documents_index(spark, d), 10, "doc_id").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""with q as (select vec_id as query_id, embedding::double[] as a from embeddings where vec_id < 20), p as (select vec_id as point_id, embedding::double[] as b from embeddings),
+@query("""with q as (select vec_id as query_id, embedding::double[] as a from embeddings where vec_id % 100 = 0), p as (select vec_id as point_id, embedding::double[] as b from embeddings),
 s as (select query_id, point_id, round(list_dot_product(a, b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)), 6) as score from q, p)
 select query_id, point_id, score, row_number() over (partition by query_id order by score desc, point_id) as rank from s qualify rank <= 10""")
 def dense_topk(spark, d):
@@ -192,8 +219,7 @@ def top_sources(spark, d):
 
 @query(f"with {S.RANKINGS} select query_id, technique, chunk_id, score from rankings where score < 20 order by score, query_id, chunk_id, technique limit 20")
 def low_scores(spark, d):
-    r = variant_rankings(spark, d).select("query_id", "technique", "chunk_id", "score")
-    return r.filter("score < 20").orderBy("score", "query_id", "chunk_id", "technique").limit(20)
+    return tables.low_scores(variant_rankings(spark, d).select("query_id", "technique", "chunk_id", "score"), 20, 20)
 
 
 @query(f"""with {S.RANKINGS}, e as (select min(score) as low, max(score) as high from rankings)
@@ -364,14 +390,15 @@ def cited_numbers(spark, d):
 
 
 def judged(spark, d) -> DataFrame:
-    """Answers to judge: labelled documents under the experiment of their source."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    return evaluation.evaluate_answers(docs.select(
-        "doc_id", F.col("source").alias("experiment_id"), F.col("lang").alias("category"), F.when(F.col("n_chars") < 1000, "easy").otherwise("hard").alias("difficulty"),
-        F.col("text").alias("answer"), F.when(F.col("doc_id") % 5 == 0, "Insufficient Evidence").otherwise("answered").alias("answer_status"),
+    """Answers to judge: labelled documents under the experiment of their source. Whole texts are read where they are scanned; only findings are joined."""
+    found = evaluation.text_findings(table(spark, d, "documents").select(
+        "doc_id", F.col("source").alias("experiment_id"), F.col("lang").alias("category"), "n_chars", F.col("text").alias("answer"),
         F.array(F.lit("the"), F.lit("Der"), F.lit("de la"), F.lit("QUE")).alias("expected_keywords"), F.array(F.lit("idiot"), F.lit("stupid")).alias("forbidden_keywords"),
-        (F.col("quality") == 1).alias("should_answer"), (F.col("n_chars") / 1000.0).alias("latency"),
-    ))
+    )).drop("answer", "expected_keywords", "forbidden_keywords")
+    return evaluation.verdicts(found.join(table(spark, d, "labels"), "doc_id").withColumns({
+        "difficulty": F.when(F.col("n_chars") < 1000, "easy").otherwise("hard"), "answer_status": F.when(F.col("doc_id") % 5 == 0, "Insufficient Evidence").otherwise("answered"),
+        "should_answer": F.col("quality") == 1, "latency": F.col("n_chars") / 1000.0,
+    }))
 
 
 def summaries(spark, d) -> DataFrame:

@@ -112,7 +112,7 @@ verified_claims as (select a.answer_id, count(kind) as claims, count(*) filter (
 coalesce(round(count(*) filter (kind = 'verified') / nullif(count(kind), 0), 4), 0.0) as rate from answers a left join kinds k using (answer_id) group by 1)"""
 
 _safe = " or ".join(f"contains(t, {q(m)})" for m in SAFE_FAILURE_MARKERS)
-JUDGED = f"""jb as (select doc_id, source as experiment_id, lang as category, case when n_chars < 1000 then 'easy' else 'hard' end as difficulty, {fold(collapse('left(text, 600)'))} as t, doc_id % 5 = 0 as failed, quality = 1 as should_answer, n_chars / 1000.0::double as latency from documents join labels using (doc_id)),
+JUDGED = f"""jb as (select doc_id, source as experiment_id, lang as category, case when n_chars < 1000 then 'easy' else 'hard' end as difficulty, {fold(collapse('text'))} as t, doc_id % 5 = 0 as failed, quality = 1 as should_answer, n_chars / 1000.0::double as latency from documents join labels using (doc_id)),
 jk as (select *, contains(t, 'the')::bigint + contains(t, 'der')::bigint + contains(t, 'de la')::bigint + contains(t, 'que')::bigint as matched_keywords, contains(t, 'idiot')::bigint + contains(t, 'stupid')::bigint as forbidden_matches, failed or {_safe} as safe_failure from jb),
 judged as (select *, round(matched_keywords / 4, 6) as keyword_score, case when should_answer then t <> '' and not safe_failure and matched_keywords >= 2 else safe_failure and forbidden_matches = 0 end as passed, case when should_answer then forbidden_matches > 0 else t <> '' and not safe_failure end as hallucinated from jk)"""
 
