@@ -86,9 +86,9 @@ def encode(docs: DataFrame, vocabulary_path: str, word_ends: bool = False, end_i
     def run(batches):
         tokens, table = encoder(vocabulary_path, word_ends), projections()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                ids = tokens.many(piece.column(2).to_pylist())
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
+                ids = tokens.many(piece.column(2))
                 key = hilbert_key(np.stack([cell(x, table) for x in ids]), DEPTH)
                 row, start, data, total = [], [], [], []
                 for i, x in enumerate(ids):

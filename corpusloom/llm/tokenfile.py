@@ -150,9 +150,9 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, word_ends: bool = True,
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "local_start", "n_ids", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for name, text_ids in zip(piece.column(0).to_pylist(), encode.many(piece.column(1).to_pylist()), strict=True):
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
+                for name, text_ids in zip(piece.column(0).to_pylist(), encode.many(piece.column(1)), strict=True):
                     ids = np.append(text_ids, np.uint32(end_id))
                     names.append(name), held.append(ids)
                     size += len(ids)

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space of the Unicode property, which the byte-level vocabulary splits at.
 _WS = "\t-\r \x85\xa0  -     　"
@@ -32,11 +34,16 @@ class Encoder:
     A vocabulary never joins characters across the pieces that its pre-tokenizer
     cuts, so a text's ids are those of its pieces in turn. ``word_ends``:
     pieces are what stands between white space; else the byte-level pieces. A text that holds the
-    string of an added token, in any case, goes to the library whole. New pieces are encoded many at a time, as
+    string of an added token, in any case, goes to the library whole.
+
+    Texts come many at a time: Arrow cuts them at spaces and line ends and numbers the different words, each of which
+    is looked up once, and numpy puts the ids of all words in a row. A byte-level text with other white space, or runs
+    of it, is cut into pieces by itself. New pieces are encoded many at a time, as
     one text in which a separator of one known id stands between them.
     """
 
-    ROOM, TOGETHER = 1_000_000, 2048
+    #: Pieces to remember; pieces encoded together; bytes of texts cut at a time.
+    ROOM, TOGETHER, BYTES = 1_500_000, 2048, 8 << 20
 
     def __init__(self, path: str, word_ends: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
@@ -47,11 +54,13 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
         #: what all of them begin with, up to the first letter: rarer and quicker to look for
         self.hint = re.match(r"[^\w]*", os.path.commonprefix(added))[0]
+        self.word_ends = word_ends
         self.split: Callable[[str], list[str]] = (_WORDS if word_ends else _BYTE_LEVEL).findall
         # byte-level pieces without white space inside them stay apart at a line's end, words at a bar between spaces
         self.mark, self.apart = ("|", " | ") if word_ends else ("\n", "\n")
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.space = re.compile(f"[{_WS}]")
+        self.space = re.compile(f"[{_WS}]").search
+        self.easy = re.compile(f" ?[^{_WS}{re.escape(self.mark)}]+").fullmatch
         self.known: dict[str, bytes] = {}
 
     def _alone(self, pieces: list[str]) -> None:
@@ -60,10 +69,7 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes new pieces; what holds the mark or inner white space goes alone."""
-        inner = self.space.search
-        easy = [p for p in pieces if self.mark not in p and p != " " and not inner(p, 1) and not (p[0] != " " and inner(p[0]))]
-        if len(self.mark_id) != 1:
-            easy = []
+        easy = list(filter(self.easy, pieces)) if len(self.mark_id) == 1 else []
         for at in range(0, len(easy), self.TOGETHER):
             some = easy[at : at + self.TOGETHER]
             ids = np.array(self.tokenizer.encode_batch_fast([self.apart.join([*some, ""])], add_special_tokens=False)[0].ids, np.uint32)
@@ -71,27 +77,90 @@ class Encoder:
             if len(ends) != len(some):
                 self._alone(some)
                 continue
-            data, begin = ids.tobytes(), 0
-            for p, end in zip(some, (4 * ends).tolist(), strict=True):
-                self.known[p] = data[begin:end]
-                begin = end + 4
+            data, bounds = ids.tobytes(), (4 * ends).tolist()
+            self.known.update(zip(some, [data[a:b] for a, b in zip([0, *(x + 4 for x in bounds)], bounds)], strict=True))
         rest = [p for p in pieces if p not in self.known]
         if rest:
             self._alone(rest)
 
-    def many(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text."""
-        whole = {i for i, t in enumerate(texts) if t and self.hint in t and self.special(t)}
-        cut = [self.split(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        new = list(set().union(*cut).difference(self.known)) if self.known else list(set().union(*cut))
-        if len(self.known) + len(new) > self.ROOM and self.known:
-            self.known = {}
-            new = list(set().union(*cut))
+    def _joined(self, cut: list[list[str]]) -> list[bytes]:
+        """Ids of lists of pieces."""
+        new = set().union(*cut).difference(self.known)
         if new:
-            self._learn(new)
+            self._learn(list(new))
         get = self.known.__getitem__
-        alone = {i: np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in whole}
-        return [alone[i] if i in whole else np.frombuffer(b"".join(map(get, pieces)), np.uint32) for i, pieces in enumerate(cut)]
+        return [b"".join(map(get, pieces)) for pieces in cut]
+
+    def _words(self, words: list[str], often: np.ndarray) -> tuple[list[bytes], list[int]]:
+        """Ids of words as ``_cut`` leaves them, and the places of byte-level words that can't be told apart from what is around them.
+
+        Words of several pieces are remembered where these texts hold them more than once (``often``).
+        """
+        if len(self.known) > self.ROOM:
+            self.known = {}
+        spelled = words if self.word_ends else [w if w[:1] == "\n" else f" {w}" for w in words]
+        out = list(map(self.known.get, spelled))
+        gaps = [i for i, x in enumerate(out) if x is None]
+        odd: list[int] = []
+        if not self.word_ends:
+            # a word is one run of text between a space or line's end and the next
+            odd = [i for i, w in enumerate(spelled) if w[-1].isspace() and self.space(w[-1])] + [i for i in gaps if self.space(spelled[i], 1)]
+            for i in odd:
+                out[i] = b""
+            gaps = [i for i in gaps if out[i] is None] if odd else gaps
+        for i, ids in zip(gaps, self._joined([self.split(spelled[i]) for i in gaps]), strict=True):
+            out[i] = ids
+            if often[i]:
+                self.known[spelled[i]] = ids
+        return out, odd
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """Words of each text. Byte-level words begin with a line's end, where a line does, or with a space that isn't written."""
+        if self.word_ends:
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", texts.type)), " ")
+
+    def _some(self, texts: pa.Array) -> list[np.ndarray]:
+        lists = self._cut(texts)
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        numbered = lists.flatten().dictionary_encode()
+        codes = numbered.indices.to_numpy()
+        ids, odd = self._words(numbered.dictionary.to_pylist(), np.bincount(codes, minlength=len(numbered.dictionary)) > 1)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+        sizes = size[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        joined = flat[np.repeat(begin[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
+        skip = 0 if self.word_ends else 1  # the line's end put before a text
+        at = ends[bounds]
+        out = [joined[a + skip : b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        alone = np.zeros(len(texts), bool)
+        if odd:
+            strange = np.zeros(len(ids), bool)
+            strange[odd] = True
+            alone |= np.diff(np.concatenate([[0], np.cumsum(strange[codes])])[bounds]) > 0
+        if not self.word_ends and len(self.mark_id) != 1:
+            alone[:] = True
+        alone &= pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(alone).tolist()
+        for i, data in zip(rows, self._joined([self.split(texts[i].as_py()) for i in rows]), strict=True):
+            out[i] = np.frombuffer(data, np.uint32)
+        for i in np.flatnonzero(pc.match_substring(texts, self.hint).to_numpy(zero_copy_only=False)).tolist():
+            text = texts[i].as_py()
+            if text and self.special(text):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def many(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null texts have none."""
+        column = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        out: list[np.ndarray] = []
+        upto = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+        while len(out) < len(column):
+            at = len(out)
+            n = max(1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + self.BYTES, "right")) - at)
+            out += self._some(column.slice(at, n))
+        return out
 
     def __call__(self, text: str | None) -> np.ndarray:
         return self.many([text])[0]
