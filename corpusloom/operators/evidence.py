@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,6 +39,10 @@ def passthrough_rerank(candidates: DataFrame) -> DataFrame:
     return rerank(candidates, fused)
 
 
+def word_count(text: Column) -> Column:
+    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"\s+")))
+
+
 def select_evidence(
     pool: DataFrame,
     *,
@@ -52,115 +55,86 @@ def select_evidence(
     target: tuple[int, int] = (800, 1500),
     fallback: int = 3,
     strategies: tuple[str, ...] = ("top_k", "score_threshold", "token_budget", "source_diversity", "redundancy_reduction"),
-    count: Callable[[str], int] = lambda text: len(text.split()),
+    count: Callable[[Column], Column] = word_count,
+    weak_below: float = 0.35,
 ) -> DataFrame:
-    """Adds selected, selection_reason and discard_reason to a ranked pool (query_id, rank, chunk_id, source, text, score).
-
-    A greedy choice in rank order under five limits: score, tokens, rows of a source, similarity to
-    what is chosen, and number. A second pass fills up to the least number or token
-    target with rows under the threshold, a third relaxes similarity and sources. It is sequential
-    inside a question, whose pool is capped upstream, and parallel over questions.
+    """Adds evidence_token_count, selected, selection_reason, discard_reason and weak_evidence to a ranked pool
+    (query_id, rank, chunk_id, source, text, score).
+
+    A question's pool, which is capped upstream, is one sorted array, and the greedy choice three folds over it whose
+    state is what was chosen so far and its tokens. The first takes rows over the threshold under all limits; the
+    second fills up to the least number or the token target without the threshold, and without the token limits while the least number
+    isn't reached; the third fills up to the least number without the limits on likeness and sources.
+    ``weak_evidence``: rows were chosen, all of them with scores under ``weak_below``.
     """
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank", kind="stable")
-        items = []
-        for i, (text, score) in enumerate(zip(rows["text"], rows["score"], strict=True)):
-            body = (text or "").strip()
-            value = float(score) if score is not None and score == score else 0.0
-            items.append({"i": i, "text": body, "score": value, "tokens": count(body), "terms": set(pattern_terms(body)), "source": rows["source"].iloc[i], "id": rows["chunk_id"].iloc[i]})
-        usable = [x for x in items if x["text"]]
-        passes = (lambda x: x["score"] >= threshold) if "score_threshold" in strategies else (lambda x: True)
-        floor = min(least, len(usable), most)
-        if usable and not any(map(passes, usable)) and fallback:
-            floor = min(max(floor, fallback), len(usable), most)
-        chosen: list[dict] = []
-        reason: dict[int, str] = {}
-
-        def used() -> int:
-            return sum(x["tokens"] for x in chosen)
-
-        def redundant(x: dict) -> bool:
-            if any(y["id"] == x["id"] for y in chosen):
-                return True
-            if "redundancy_reduction" not in strategies:
-                return False
-            return any(similar(x["terms"], y["terms"]) >= redundancy for y in chosen)
-
-        def crowded(x: dict) -> bool:
-            return "source_diversity" in strategies and sum(y["source"] == x["source"] for y in chosen) >= per_source
-
-        def too_long(x: dict) -> bool:
-            return "token_budget" in strategies and used() + x["tokens"] > budget
-
-        def take(x: dict, why: str) -> None:
-            chosen.append(x)
-            reason[x["i"]] = why
-
-        for x in usable:
-            if len(chosen) >= most:
-                break
-            if not passes(x) or redundant(x) or crowded(x) or too_long(x):
-                continue
-            full = len(chosen) >= floor
-            if target[0] > 0 and full and used() >= target[0]:
-                break
-            if full and target[1] > 0 and used() + x["tokens"] > target[1]:
-                continue
-            take(x, "threshold_pass")
-
-        def fill(relaxed: bool) -> None:
-            for x in usable:
-                if len(chosen) >= most:
-                    break
-                full = len(chosen) >= floor
-                if full and (target[0] <= 0 or used() >= target[0]):
-                    break
-                if x["i"] in reason or any(y["id"] == x["id"] for y in chosen):
-                    continue
-                if not relaxed and (redundant(x) or crowded(x)):
-                    continue
-                if full and (too_long(x) or (target[1] > 0 and used() + x["tokens"] > target[1])):
-                    continue
-                take(x, "adaptive_fallback")
-
-        if len(chosen) < floor or (target[0] > 0 and used() < target[0]):
-            fill(False)
-        if len(chosen) < floor:
-            fill(True)
-
-        out = []
-        for x in items:
-            why = None
-            if x["i"] not in reason:
-                if not x["text"]:
-                    why = "empty_text"
-                elif not passes(x):
-                    why = "threshold_failed"
-                elif redundant(x):
-                    why = "redundancy"
-                elif crowded(x):
-                    why = "source_diversity_limit"
-                elif too_long(x):
-                    why = "token_budget"
-                else:
-                    why = "lower_rank_fallback"
-            out.append((x["i"] in reason, reason.get(x["i"]), why, x["tokens"]))
-        flags = pd.DataFrame(out, columns=["selected", "selection_reason", "discard_reason", "evidence_token_count"])
-        return pd.concat([rows.reset_index(drop=True), flags], axis=1)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema)
-    return pool.groupBy("query_id").applyInPandas(choose, f"{schema}, selected boolean, selection_reason string, discard_reason string, evidence_token_count long")
-
-
-def pattern_terms(text: str) -> list[str]:
-    import re
-
-    return re.findall(r"\b[\w-]+\b", text.casefold())
-
-
-def similar(a: set[str], b: set[str]) -> float:
-    return len(a & b) / len(a | b) if a or b else 1.0
+    low, high = target
+    body = F.trim(F.coalesce("text", F.lit("")))
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
+    score = F.when(F.isnan(score), F.lit(0.0)).otherwise(score)
+    fields = {
+        "rank": F.col("rank"), "id": F.col("chunk_id"), "source": F.col("source"), "tokens": count(body).cast("int"), "terms": term_set(body),
+        "usable": body != "", "passing": score >= threshold if "score_threshold" in strategies else F.lit(True), "weak": score < weak_below, "row": F.struct(*pool.columns),
+    }
+    rows = pool.select("query_id", F.struct(*[c.alias(n) for n, c in fields.items()]).alias("x")).groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("rows"))
+    # places tell equal rows apart
+    rows = rows.withColumn("rows", F.transform("rows", lambda x, i: x.withField("at", i)))
+    usable = F.size(F.filter("rows", lambda x: x["usable"]))
+    floor = F.least(F.lit(least), usable, F.lit(most))
+    raised = F.least(F.greatest(floor, F.lit(fallback)), usable, F.lit(most))
+    nothing = ~F.exists("rows", lambda x: x["usable"] & x["passing"])
+    rows = rows.withColumn("floor", F.when(nothing & (usable > 0), raised).otherwise(floor) if fallback else floor)
+
+    def alike(x: Column, s: Column) -> Column:
+        same = F.exists(s["chosen"], lambda y: y["id"].eqNullSafe(x["id"]))
+        return same | F.exists(s["chosen"], lambda y: jaccard(y["terms"], x["terms"]) >= redundancy) if "redundancy_reduction" in strategies else same
+
+    def crowded(x: Column, s: Column) -> Column:
+        return F.size(F.filter(s["chosen"], lambda y: y["source"].eqNullSafe(x["source"]))) >= per_source if "source_diversity" in strategies else F.lit(False)
+
+    def over_budget(x: Column, s: Column) -> Column:
+        return s["used"] + x["tokens"] > budget if "token_budget" in strategies else F.lit(False)
+
+    def over_target(x: Column, s: Column) -> Column:
+        return s["used"] + x["tokens"] > high if high > 0 else F.lit(False)
+
+    def enough(s: Column) -> Column:
+        return (F.size(s["chosen"]) >= F.col("floor")) & (s["used"] >= low if low > 0 else F.lit(False))
+
+    def reached(s: Column) -> Column:
+        return F.size(s["chosen"]) >= F.col("floor")
+
+    def folded(state: Column, take: Callable[[Column, Column], Column], why: str) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            one = F.struct(x["at"].alias("at"), x["id"].alias("id"), x["source"].alias("source"), x["terms"].alias("terms"), x["weak"].alias("weak"), F.lit(why).alias("why"))
+            more = F.struct(F.concat(s["chosen"], F.array(one)).alias("chosen"), (s["used"] + x["tokens"]).alias("used"))
+            free = x["usable"] & (F.size(s["chosen"]) < most) & ~F.exists(s["chosen"], lambda y: y["at"] == x["at"])
+            return F.when(free & take(x, s), more).otherwise(s)
+
+        return F.aggregate("rows", state, step)
+
+    def under_limits(x: Column, s: Column) -> Column:
+        return x["passing"] & ~alike(x, s) & ~crowded(x, s) & ~over_budget(x, s) & ~enough(s) & ~(reached(s) & over_target(x, s))
+
+    def filling(x: Column, s: Column) -> Column:
+        open_ = ~reached(s) if low <= 0 else ~enough(s)
+        return open_ & (~reached(s) | (~over_budget(x, s) & ~over_target(x, s)))
+
+    kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
+    none = F.array().cast(f"array<struct<at:int,id:{kinds['chunk_id']},source:{kinds['source']},terms:array<string>,weak:boolean,why:string>>")
+    empty = F.struct(none.alias("chosen"), F.lit(0).alias("used"))
+    rows = rows.withColumn("s", folded(empty, under_limits, "threshold_pass"))
+    rows = rows.withColumn("s", folded(F.col("s"), lambda x, s: filling(x, s) & ~alike(x, s) & ~crowded(x, s), "adaptive_fallback"))
+    rows = rows.withColumn("s", folded(F.col("s"), lambda x, s: ~reached(s), "adaptive_fallback"))
+
+    out = rows.select(
+        F.explode("rows").alias("x"), "s", ((F.size("s.chosen") > 0) & F.forall("s.chosen", lambda y: y["weak"])).alias("weak_evidence")
+    ).withColumn("why", F.get(F.filter("s.chosen", lambda y: y["at"] == F.col("x.at")), 0)["why"])
+    x, s = F.col("x"), F.col("s")
+    discarded = (
+        F.when(F.col("why").isNotNull(), F.lit(None)).when(~x["usable"], "empty_text").when(~x["passing"], "threshold_failed").when(alike(x, s), "redundancy")
+        .when(crowded(x, s), "source_diversity_limit").when(over_budget(x, s) | over_target(x, s), "token_budget").otherwise("lower_rank_fallback")
+    )
+    return out.select("x.row.*", x["tokens"].cast("long").alias("evidence_token_count"), F.col("why").isNotNull().alias("selected"), F.col("why").alias("selection_reason"), discarded.alias("discard_reason"), "weak_evidence")
 
 
 def pairwise_jaccard(pool: DataFrame) -> DataFrame:

@@ -301,10 +301,10 @@ def jaccard_pairs(spark, d):
     return out.select("query_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "jaccard")
 
 
-@query()
+@query(f"with recursive {S.POOL}, {S.RERANKED}, {S.SELECTED} select query_id, chunk_id, rank, selected, selection_reason, discard_reason, evidence_token_count, weak_evidence from selected")
 def select_evidence(spark, d):
-    rows = evidence.rerank(pool(spark, d)).select("query_id", F.col("reranked_rank").alias("rank"), "chunk_id", "source", "text", F.col("reranker_score").alias("score"))
-    return evidence.select_evidence(rows, threshold=0.3).select("query_id", "chunk_id", "rank", "selected", "selection_reason", "discard_reason", "evidence_token_count")
+    rows = evidence.rerank(pool(spark, d)).select("query_id", F.col("reranked_rank").cast("long").alias("rank"), "chunk_id", "source", "text", F.col("reranker_score").alias("score"))
+    return evidence.select_evidence(rows, threshold=0.3).select("query_id", "chunk_id", "rank", "selected", "selection_reason", "discard_reason", "evidence_token_count", "weak_evidence")
 
 
 def top_evidence(spark, d, k: int = 8) -> DataFrame:

@@ -135,3 +135,33 @@ REVIEWS = """rv as (select doc_id, case when doc_id % 11 = 0 then 'unsupported_q
 doc_id % 5 <> 0 as verification_passed, doc_id % 21 / 20.0 as verification_rate, doc_id % 7 = 0 as high_claim from labels),
 decided as (select *, case when status = 'unsupported_query' or (level = 'high' and (high_claim or not compliance_passed)) then 'reject' when not (critic_passed and compliance_passed and risk_passed and verification_passed) then 'revise_once' else 'accept' end as decision,
 case when status = 'unsupported_query' then status when level = 'high' and (high_claim or not compliance_passed) then 'rejected' else 'answered' end as final_status from rv)"""
+
+_PAIR = "(case when len(list_distinct(list_concat(y.terms, i.terms))) = 0 then 1.0 else len(list_intersect(y.terms, i.terms)) / len(list_distinct(list_concat(y.terms, i.terms))) end >= 0.85)"
+
+
+def _alike(s: str) -> str:
+    return f"len(list_filter({s}.chosen, lambda y: y.id = i.chunk_id or {_PAIR})) > 0"
+
+
+def _crowded(s: str) -> str:
+    return f"len(list_filter({s}.chosen, lambda y: y.source = i.source)) >= 2"
+
+
+#: The choice walked row by row, three times over each pool: steps 0..n-1, n..2n-1 and 2n..3n-1.
+SELECTED = f"""items as (select query_id, chunk_id, source, reranked_rank as rank, row_number() over (partition by query_id order by reranked_rank) - 1 as nth, trim(text) as body, reranker_score >= 0.3 as passing, reranker_score < 0.35 as weak from reranked),
+item as (select *, case when body = '' then 0 else len(regexp_split_to_array(body, '\\s+')) end as tokens, {terms('body')} as terms, count(*) over (partition by query_id) as n from items),
+floors as (select query_id, any_value(n) as n, case when count(*) filter (body <> '' and passing) = 0 then least(3, count(*) filter (body <> ''), 8) else least(3, count(*) filter (body <> ''), 8) end as floor from item group by 1),
+walk as (select query_id, n, floor, 0::bigint as step, []::struct(nth bigint, id varchar, source varchar, terms varchar[], weak boolean, why varchar)[] as chosen, 0::bigint as used from floors
+union all
+select s.query_id, s.n, s.floor, s.step + 1,
+case when i.take then list_append(s.chosen, {{'nth': i.nth, 'id': i.chunk_id, 'source': i.source, 'terms': i.terms, 'weak': i.weak, 'why': case when s.step < s.n then 'threshold_pass' else 'adaptive_fallback' end}}) else s.chosen end,
+case when i.take then s.used + i.tokens else s.used end
+from walk s join lateral (select i.*, i.body <> '' and len(s.chosen) < 8 and len(list_filter(s.chosen, lambda y: y.nth = i.nth)) = 0 and case s.step // s.n
+when 0 then i.passing and not ({_alike('s')}) and not ({_crowded('s')}) and s.used + i.tokens <= 2400 and not (len(s.chosen) >= s.floor and (s.used >= 800 or s.used + i.tokens > 1500))
+when 1 then not (len(s.chosen) >= s.floor and s.used >= 800) and (len(s.chosen) < s.floor or (s.used + i.tokens <= 2400 and s.used + i.tokens <= 1500)) and not ({_alike('s')}) and not ({_crowded('s')})
+else len(s.chosen) < s.floor end as take from item i where i.query_id = s.query_id and i.nth = s.step % s.n) i on true where s.step < 3 * s.n),
+final as (select * from walk where step = 3 * n),
+selected as (select i.query_id, i.chunk_id, i.rank, i.tokens as evidence_token_count, w.why is not null as selected, w.why as selection_reason, case when w.why is not null then null when body = '' then 'empty_text' when not passing then 'threshold_failed'
+when {_alike('s')} then 'redundancy' when {_crowded('s')} then 'source_diversity_limit' when s.used + i.tokens > 1500 then 'token_budget' else 'lower_rank_fallback' end as discard_reason,
+len(s.chosen) > 0 and len(list_filter(s.chosen, lambda y: not y.weak)) = 0 as weak_evidence
+from item i join final s on s.query_id = i.query_id left join (select query_id, unnest(chosen) as c from final) u on u.query_id = i.query_id and u.c.nth = i.nth, lateral (select u.c.why as why) w)"""

@@ -149,7 +149,7 @@ def pool(rows):
 
 def test_selection_reasons(spark):
     rows = [(1, 1, "a", "A", "alpha beta gamma", 0.95), (1, 2, "b", "B", "alpha beta gamma", 0.9), (1, 3, "c", "A", "other words", 0.85), (1, 4, "d", "D", "weak text", 0.1), (1, 5, "e", "E", "long evidence text", 0.8)]
-    out = evidence.select_evidence(spark.createDataFrame(*pool(rows)), threshold=0.5, budget=28, most=3, least=0, per_source=1, redundancy=0.8, target=(0, 0), count=len).collect()
+    out = evidence.select_evidence(spark.createDataFrame(*pool(rows)), threshold=0.5, budget=28, most=3, least=0, per_source=1, redundancy=0.8, target=(0, 0), count=F.length).collect()
     got = {r.chunk_id: r.selection_reason or r.discard_reason for r in out}
     assert got == {"a": "threshold_pass", "b": "redundancy", "c": "source_diversity_limit", "d": "threshold_failed", "e": "token_budget"}
 
@@ -162,7 +162,16 @@ def test_selection_cap_floor_and_empty(spark):
     filled = [r for r in evidence.select_evidence(spark.createDataFrame(*pool(weak)), threshold=0.5, least=3, target=(500, 900)).collect() if r.selected]
     assert len(filled) >= 3 and 500 <= sum(r.evidence_token_count for r in filled) <= 900 and {r.selection_reason for r in filled} == {"adaptive_fallback"}
     none = evidence.select_evidence(spark.createDataFrame(*pool([(1, 1, "a", "A", "  ", 0.9)]))).collect()
-    assert not none[0].selected and none[0].discard_reason == "empty_text"
+    assert not none[0].selected and none[0].discard_reason == "empty_text" and not none[0].weak_evidence
+
+
+def test_selection_near_the_token_target_and_repeated_rows(spark):
+    long = [(1, i, f"c{i}", f"s{i}", " ".join(f"w{i}x{j}" for j in range(51)), 0.9) for i in range(1, 4)]
+    out = {r.chunk_id: r for r in evidence.select_evidence(spark.createDataFrame(*pool(long)), threshold=0.5, least=1, budget=1000, target=(60, 100)).collect()}
+    assert [out[f"c{i}"].selected for i in (1, 2, 3)] == [True, False, False] and {out[c].discard_reason for c in ("c2", "c3")} == {"token_budget"}
+    twice = [(1, 1, "a", "A", "alpha beta", 0.01), (1, 2, "a", "A", "alpha beta", 0.01)]
+    rows = evidence.select_evidence(spark.createDataFrame(*pool(twice)), threshold=0.0, least=2).collect()
+    assert all(r.selected and r.weak_evidence for r in rows) and [r.selection_reason for r in sorted(rows, key=lambda r: r["rank"])] == ["threshold_pass", "adaptive_fallback"]
 
 
 def test_change_capture(spark):
