@@ -43,7 +43,7 @@ class Encoder:
     """
 
     #: Pieces to remember; pieces encoded together; bytes of texts cut at a time.
-    ROOM, TOGETHER, BYTES = 1_500_000, 2048, 8 << 20
+    ROOM, TOGETHER, BYTES = 700_000, 2048, 2 << 20
 
     def __init__(self, path: str, word_ends: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
@@ -126,11 +126,13 @@ class Encoder:
         numbered = lists.flatten().dictionary_encode()
         codes = numbered.indices.to_numpy()
         ids, odd = self._words(numbered.dictionary.to_pylist(), np.bincount(codes, minlength=len(numbered.dictionary)) > 1)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size, dtype=np.int32) - size
         sizes = size[codes]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        joined = flat[np.repeat(begin[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        place = np.repeat((begin[codes] - ends[:-1]).astype(np.int32 if ends[-1] < 1 << 31 else np.int64), sizes)
+        place += np.arange(ends[-1], dtype=place.dtype)
+        joined = flat[place]
         skip = 0 if self.word_ends else 1  # the line's end put before a text
         at = ends[bounds]
         out = [joined[a + skip : b] for a, b in zip(at[:-1], at[1:], strict=True)]
