@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import jaccard, term_set
+from corpusloom.functions.text import jaccard, term_set, word_tokens
 
 
 def lexical_score(question: Column, text: Column) -> Column:
@@ -137,6 +137,11 @@ def select_evidence(
     return out.select("x.row.*", x["tokens"].cast("long").alias("evidence_token_count"), F.col("why").isNotNull().alias("selected"), F.col("why").alias("selection_reason"), discarded.alias("discard_reason"), "weak_evidence")
 
 
+def matched_terms(question: Column, text: Column) -> Column:
+    """The index terms that a question and a text share, sorted."""
+    return F.array_sort(F.array_intersect(word_tokens(question), word_tokens(text)))
+
+
 def pairwise_jaccard(pool: DataFrame) -> DataFrame:
     """(query_id, a, b, jaccard) of the rows of each question's pool, whose size is capped upstream."""
     t = pool.select("query_id", "rank", term_set(F.col("text")).alias("terms"))

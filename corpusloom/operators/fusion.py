@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +31,25 @@ def rrf_fuse(rankings: DataFrame, key: str = "chunk_id", k: int = 60, top_k: int
     return out.filter(F.col("fused_rank") <= top_k) if top_k else out
 
 
+def hybrid(rankings: dict[str, DataFrame], top_k: int, key: str = "chunk_id", k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
+    """Rankings (query_id, key, rank) of several retrievers over one corpus, fused and cut to ``top_k``: as ``rrf_fuse``, so each
+    row keeps the retrievers that found it and its rank in each. Ties go to the retriever named first."""
+    parts = [
+        df.select("query_id", key, F.lit(name).alias("retriever"), F.lit(i).alias("retriever_order"), "rank", F.lit(float((weights or {}).get(name, 1.0))).alias("weight"))
+        for i, (name, df) in enumerate(rankings.items())
+    ]
+    return rrf_fuse(reduce(DataFrame.unionByName, parts), key, k, top_k)
+
+
+def retrieve(mode: str, retrievers: dict[str, Callable[[], DataFrame]], top_k: int, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, rank) by the retriever of that name, or by all of them fused where the mode is ``hybrid``."""
+    if mode == "hybrid":
+        return hybrid({n: f() for n, f in retrievers.items()}, top_k, key).select("query_id", key, F.col("fused_rank").alias("rank"))
+    if mode not in retrievers:
+        raise ValueError(f"unknown mode {mode!r}: choose one of {', '.join([*retrievers, 'hybrid'])}")
+    return retrievers[mode]().filter(F.col("rank") <= top_k).select("query_id", key, "rank")
+
+
 def deduplicate(results: DataFrame, key: str = "chunk_id") -> DataFrame:
     """One row per (query_id, key): the highest score, the first on ties, with all techniques that found it in the order seen.
 

@@ -18,6 +18,14 @@ def indexing_plan(manifest: DataFrame, scan: DataFrame, rebuild: bool = False) -
     return old.join(new, "relative_path", "full_outer").select("relative_path", kind.alias("change_type"))
 
 
+def indexing_summary(plan: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: documents of each change type, and the chunks of unchanged ones, which are used again. ``chunks`` has (relative_path, chunk_count)."""
+    rows = plan.join(chunks, "relative_path", "left")
+    counts = [F.count_if(F.col("change_type") == kind).alias(f"{kind}_documents") for kind in ("new", "changed", "unchanged", "deleted")]
+    reused = F.sum(F.when(F.col("change_type") == "unchanged", F.coalesce("chunk_count", F.lit(0))).otherwise(0))
+    return rows.agg(*counts, F.coalesce(reused, F.lit(0)).cast("long").alias("reused_chunks"))
+
+
 def point_id(source: Column, page: Column, index: Column, start: Column, chunk: Column, text: Column) -> Column:
     """Stable id of a chunk; its text is part of it only where no location is known."""
     located = F.coalesce(page.cast("string"), index.cast("string"), start.cast("string"), chunk).isNotNull()

@@ -52,3 +52,9 @@ def query_variants(questions: DataFrame, techniques: tuple[str, ...] = tuple(STR
     first = rows.withColumn("n", F.row_number().over(W.partitionBy("query_id", fold(F.col("query"))).orderBy("i"))).filter("n = 1")
     order = F.row_number().over(W.partitionBy("query_id").orderBy("i"))
     return first.withColumn("variant_order", order.cast("long")).filter(F.col("variant_order") <= limit).select("query_id", "variant_order", "technique", "query")
+
+
+def changed_from_original(variants: DataFrame) -> DataFrame:
+    """Adds ``changed``: whether a variant differs from its question's first one in more than case."""
+    first = F.first(fold(F.col("query"))).over(W.partitionBy("query_id").orderBy("variant_order"))
+    return variants.withColumn("changed", fold(F.col("query")) != first)

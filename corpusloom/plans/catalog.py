@@ -166,6 +166,11 @@ def query_variants(spark, d):
     return variants.query_variants(questions(spark, d))
 
 
+@query(f"with {S.VARIANTS} select query_id, variant_order, {S.fold('query')} <> first_value({S.fold('query')}) over (partition by query_id order by variant_order) as changed from variants")
+def changed_variants(spark, d):
+    return variants.changed_from_original(variants.query_variants(questions(spark, d))).select("query_id", "variant_order", "changed")
+
+
 @query(f"with {S.RANKINGS} select query_id, variant_order, technique, chunk_id, score, rank from rankings")
 def multi_query(spark, d):
     return variant_rankings(spark, d).select("query_id", "variant_order", "technique", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
@@ -182,6 +187,42 @@ def rrf_fuse(spark, d):
     return fusion.rrf_fuse(r).select("query_id", "chunk_id", "rrf_score", F.size("sources").cast("long").alias("retrievers"), F.col("fused_rank").cast("long").alias("fused_rank"))
 
 
+def retrievers(spark, d, k: int = 10) -> dict[str, Callable[[], DataFrame]]:
+    """Retrievers of benchmark passages over ``documents``; the vector of a passage or document is the one of its id."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+
+    def by_vector():
+        asked = questions(spark, d).join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", "vector")
+        points = vectors.join(table(spark, d, "documents").select("doc_id"), F.col("doc_id") == F.col("vec_id"), "left_semi").withColumnRenamed("vec_id", "point_id")
+        return dense.dense_topk(asked, points, k).select("query_id", F.col("point_id").alias("doc_id"), "rank")
+
+    def by_words():
+        return lexical.search(questions(spark, d).withColumnRenamed("question", "query"), documents_index(spark, d), k, "doc_id").select("query_id", "doc_id", "rank")
+
+    return {"dense": by_vector, "bm25": by_words}
+
+
+_BOTH = f"""{S.index('select doc_id as k, text from documents')}, {S.bm25('select item_id as query_id, text as query from benchmark', ['query_id'])},
+q as (select item_id as query_id, embedding::double[] as a from benchmark join embeddings on vec_id = item_id), p as (select vec_id as point_id, embedding::double[] as b from embeddings semi join documents on doc_id = vec_id),
+s as (select query_id, point_id, round(list_dot_product(a, b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)), 6) as score from q, p),
+near as (select query_id, point_id, row_number() over (partition by query_id order by score desc, point_id) as rank from s qualify rank <= 10),
+both_ as (select query_id, point_id as doc_id, 0 as o, rank from near union all select query_id, k, 1, rank from ranked where rank <= 10),
+fused as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as rrf_score, min(o * 1000 + rank) as seen, max(rank) filter (o = 0) as dense_rank, max(rank) filter (o = 1) as bm25_rank from both_ group by all)"""
+
+
+@query(f"with {_BOTH} select query_id, doc_id, rrf_score, dense_rank, bm25_rank, row_number() over (partition by query_id order by rrf_score desc, seen, doc_id) as fused_rank from fused qualify fused_rank <= 10")
+def hybrid_topk(spark, d):
+    out = fusion.hybrid({n: f() for n, f in retrievers(spark, d).items()}, 10, "doc_id")
+    ranks = [F.try_element_at("ranks", F.lit(n)).cast("long").alias(f"{n}_rank") for n in ("dense", "bm25")]
+    return out.select("query_id", "doc_id", "rrf_score", *ranks, F.col("fused_rank").cast("long").alias("fused_rank"))
+
+
+@query(f"with {_BOTH} select 'dense' as mode, query_id, point_id as doc_id, rank from near union all select 'bm25', query_id, k, rank from ranked where rank <= 10 union all select 'hybrid', query_id, doc_id, row_number() over (partition by query_id order by rrf_score desc, seen, doc_id) as rank from fused qualify rank <= 10")
+def retrieval_modes(spark, d):
+    parts = [fusion.retrieve(m, retrievers(spark, d), 10, "doc_id").select(F.lit(m).alias("mode"), "query_id", "doc_id", F.col("rank").cast("long").alias("rank")) for m in ("dense", "bm25", "hybrid")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(f"with {S.DEDUP} select query_id, chunk_id, score, array_to_string(techniques, ',') as techniques, place from dedup")
 def dedup_evidence(spark, d):
     out = fusion.deduplicate(results(spark, d))
@@ -295,6 +336,11 @@ def rerank_passthrough(spark, d):
     return out.select("query_id", "chunk_id", F.col("reranked_rank").cast("long").alias("reranked_rank"))
 
 
+@query(f"with {S.POOL} select query_id, chunk_id, array_to_string(list_sort(list_distinct(list_intersect({S.tokens('question')}, {S.tokens('text')}))), ',') as terms from pool")
+def matched_terms(spark, d):
+    return pool(spark, d).select("query_id", "chunk_id", F.array_join(evidence.matched_terms(F.col("question"), F.col("text")), ",").alias("terms"))
+
+
 @query(f"with {S.POOL}, t as (select query_id, rank, {S.terms('text')} as t from pool) select a.query_id, a.rank as a, b.rank as b, round(case when len(list_distinct(list_concat(a.t, b.t))) = 0 then 1.0 else len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) end, 6) as jaccard from t a join t b on a.query_id = b.query_id and a.rank < b.rank")
 def jaccard_pairs(spark, d):
     out = evidence.pairwise_jaccard(pool(spark, d))
@@ -490,6 +536,16 @@ def indexing_plan(spark, d):
     return incremental.indexing_plan(old, docs.filter("doc_id % 13 <> 0").select("relative_path", F.sha2("text", 256).alias("sha256")))
 
 
+@query(f"""with {S.LINES}, c as (select source as relative_path, count(*) as chunks from lines group by 1), o as (select source || '/' || doc_id as relative_path, sha256(case when doc_id % 17 = 0 then 'old' else text end) as sha from documents where doc_id % 10 <> 0),
+n as (select source || '/' || doc_id as relative_path, sha256(text) as sha from documents where doc_id % 13 <> 0),
+p as (select coalesce(o.relative_path, n.relative_path) as relative_path, case when o.sha is null then 'new' when n.sha is null then 'deleted' when o.sha = n.sha then 'unchanged' else 'changed' end as kind from o full join n on o.relative_path = n.relative_path)
+select count(*) filter (kind = 'new') as new_documents, count(*) filter (kind = 'changed') as changed_documents, count(*) filter (kind = 'unchanged') as unchanged_documents, count(*) filter (kind = 'deleted') as deleted_documents,
+coalesce(sum(chunks) filter (kind = 'unchanged'), 0)::bigint as reused_chunks from p left join c using (relative_path)""")
+def indexing_summary(spark, d):
+    chunks_of = lines(spark, d).groupBy(F.col("source").alias("relative_path")).agg(F.count("*").alias("chunk_count"))
+    return incremental.indexing_summary(indexing_plan(spark, d), chunks_of)
+
+
 @query(f"with {S.LINES}, h as (select chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || '||' || chunk_index || '||' || chunk_id || '|')) as h from lines) select chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as point_id from h")
 def point_ids(spark, d):
     c, none = F.col, F.lit(None).cast("string")

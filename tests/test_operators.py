@@ -265,3 +265,15 @@ def test_tables(spark):
     assert [r.question_id for r in tables.always(rows, False).collect()] == ["q2"] and [r.question_id for r in tables.benefit(rows, "k").collect()] == ["q1"]
     d = spark.createDataFrame([(1, 96.0, False, 0.1, 1.0, 0.1, 3)], "query_id int, utilisation double, bm25_only boolean, overlap_ratio double, generation double, retrieval double, sources int")
     assert {r.finding for r in tables.retrieval_diagnostics(d).collect()} == {"context_nearly_full", "low_overlap", "generation_dominates"}
+
+
+def test_modes(spark):
+    a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, chunk_id string, rank int")
+    b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "query_id int, chunk_id string, rank int")
+    held = {"dense": lambda: a, "bm25": lambda: b}
+    assert [r.chunk_id for r in fusion.retrieve("hybrid", held, 2).orderBy("rank").collect()] == ["y", "x"]
+    assert [r.chunk_id for r in fusion.retrieve("bm25", held, 1).collect()] == ["y"]
+    with pytest.raises(ValueError, match="dense, bm25, hybrid"):
+        fusion.retrieve("other", held, 1)
+    weighted = fusion.hybrid({"dense": a, "bm25": b}, 3, weights={"bm25": 3.0}).orderBy("fused_rank").collect()
+    assert [r.chunk_id for r in weighted] == ["y", "z", "x"] and weighted[0].ranks == {"dense": 2, "bm25": 1}
