@@ -7,6 +7,7 @@ import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 
@@ -14,10 +15,14 @@ import numpy as np
 _WS = "\t-\r \x85\xa0  -     　"
 #: Plain letters, and marks that often follow them up to the next white space: every vocabulary here cuts between the two.
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!#$%&*,.:;?"
-_TAIL = f"[{_MARKS}]+(?=[{_WS}]|$)"
-_WORDS = re.compile(f"[{_LETTERS}]+(?={_TAIL})|{_TAIL}|[^{_WS}]+")
+# possessive: giving back a letter or a mark never makes the rest match
+_TAIL = f"[{_MARKS}]++(?=[{_WS}]|$)"
+_WORDS = re.compile(f"[{_LETTERS}]++(?={_TAIL})|{_TAIL}|[^{_WS}]++")
 #: The same with the one space before a run; then white space up to the last one before such a run, or the rest.
-_BYTE_LEVEL = re.compile(f" ?[{_LETTERS}]+(?={_TAIL})|{_TAIL}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_BYTE_LEVEL = re.compile(f" ?[{_LETTERS}]++(?={_TAIL})|{_TAIL}| ?[^{_WS}]++|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_PLAIN = re.compile(f" ?[{_LETTERS}]++")
+#: The space of the byte-level alphabet and the bytes of UTF-8 in it: what prints in Latin-1 stands for itself, the rest follows from U+0100 on.
+_SYMBOLS = dict(zip([b for b in range(256) if b < 33 or 127 <= b <= 160 or b == 173], map(chr, range(256, 512)), strict=False))
 
 
 @lru_cache(maxsize=2)
@@ -32,8 +37,9 @@ class Encoder:
     A vocabulary never joins characters across the pieces that its pre-tokenizer
     cuts, so a text's ids are those of its pieces in turn. ``word_ends``:
     pieces are what stands between white space; else the byte-level pieces. A text that holds the
-    string of an added token, in any case, goes to the library whole. New pieces are encoded many at a time, as
-    one text in which a separator of one known id stands between them.
+    string of an added token, in any case, goes to the library whole. A new word of plain letters is one piece for
+    the library too and goes straight to its model, in the symbols of its byte-level alphabet; other new pieces are encoded
+    many at a time, as one text in which a separator of one known id stands between them.
     """
 
     ROOM, TOGETHER = 1_000_000, 2048
@@ -52,14 +58,30 @@ class Encoder:
         self.mark, self.apart = ("|", " | ") if word_ends else ("\n", "\n")
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.space = re.compile(f"[{_WS}]")
+        self.lower = word_ends
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
 
     def _alone(self, pieces: list[str]) -> None:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(pieces, encoded, strict=True))
 
+    def _words(self, words: list[str]) -> None:
+        """Ids of words of plain letters, from the model itself."""
+        known, ids_of, number = self.known, self.model.tokenize, attrgetter("id")
+        for word in words:
+            symbols = word.lower() if self.lower else word
+            if not symbols.isascii():
+                symbols = symbols.encode().decode("latin-1").translate(_SYMBOLS)
+            elif symbols[0] == " ":
+                symbols = _SYMBOLS[32] + symbols[1:]
+            known[word] = array("I", map(number, ids_of(symbols))).tobytes()
+
     def _learn(self, pieces: list[str]) -> None:
         """Encodes new pieces; what holds the mark or inner white space goes alone."""
+        plain = _PLAIN.fullmatch
+        self._words([p for p in pieces if plain(p)])
+        pieces = [p for p in pieces if p not in self.known]
         inner = self.space.search
         easy = [p for p in pieces if self.mark not in p and p != " " and not inner(p, 1) and not (p[0] != " " and inner(p[0]))]
         if len(self.mark_id) != 1:
