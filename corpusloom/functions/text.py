@@ -84,3 +84,21 @@ def uuid5_url(name: Column) -> Column:
     nibble = F.conv(F.substring(h, 17, 1), 16, 10).cast("int")
     variant = F.lower(F.hex(nibble.bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8)).cast("long")))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+# Fixed values that results depend on: names a file can't have on some systems.
+RESERVED_NAMES = ("CON", "PRN", "AUX", "NUL", *[f"{device}{i}" for device in ("COM", "LPT") for i in range(1, 10)])
+
+
+def safe_name(c: Column, default: str = "batch_qa", most: int = 120) -> Column:
+    """A file or folder name: what no system allows and white space become one underscore, reserved names get one in front."""
+    joined = F.regexp_replace(F.regexp_replace(F.trim(c), r'[<>:"/\\|?*\x00-\x1f\s]+', "_"), "_+", "_")
+    name = F.regexp_replace(joined, r"^[ ._]+|[ ._]+$", "")
+    cut = F.regexp_replace(F.left(name, F.lit(most)), r"[ ._]+$", "")
+    return F.when(F.upper(name).isin(*RESERVED_NAMES), F.concat(F.lit("_"), name)).otherwise(F.coalesce(F.nullif(cut, F.lit("")), F.lit(default)))
+
+
+def slug(c: Column, default: str = "question", most: int = 64) -> Column:
+    """Letters, digits, dots and hyphens of a text; everything else in a run is one underscore."""
+    name = F.regexp_replace(F.regexp_replace(F.trim(c), r"[^\p{L}\p{N}\p{M}_.-]+", "_"), r"^[._]+|[._]+$", "")
+    return F.coalesce(F.nullif(F.left(name, F.lit(most)), F.lit("")), F.lit(default))

@@ -30,9 +30,9 @@ INSUFFICIENT_MARKERS = (
     "based only on the indexed corpus, no reliable answer",
 )
 STOP_WORDS = (
-    "a an and are at be do does for from how in is it me of on please show tell the to what when which who will with "
-    "now latest current currently today tomorrow live"
-).split()
+    "a", "an", "and", "are", "at", "be", "do", "does", "for", "from", "how", "in", "is", "it", "me", "of", "on", "please", "show", "tell", "the", "to", "what",
+    "when", "which", "who", "will", "with", "now", "latest", "current", "currently", "today", "tomorrow", "live",
+)
 STATUS_LABELS = {
     "answered": "Answered",
     "insufficient_evidence": "Insufficient Evidence",
@@ -62,6 +62,11 @@ def directly_supported(question: Column, evidence: Column) -> Column:
     return (F.size(terms) > 0) & (hits >= F.least(F.lit(2), F.size(terms)))
 
 
+def currently_supported(question: Column, evidence: Column, sufficient: Column) -> Column:
+    """Whether evidence answers a question about the present: sufficient, mentioning its terms, and itself about the present or such a domain."""
+    return F.coalesce(sufficient, F.lit(False)) & directly_supported(question, evidence) & requires_current_data(F.lower(evidence))
+
+
 def answer_status(answer: Column) -> Column:
     found = F.lit(False)
     for marker in INSUFFICIENT_MARKERS:

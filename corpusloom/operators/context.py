@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.fusion import deduplicate
+
 OVERLAP = 250
 
 
@@ -70,6 +72,46 @@ def header(rank: Column, source: Column, chunk: Column, score: Column) -> Column
     return F.concat(F.lit("["), rank.cast("string"), F.lit("] "), source, F.lit(" | chunk "), chunk, F.lit(" | score "), shown, F.lit("\n"))
 
 
+def full_header(rank: Column, source: Column, page: Column, chunk: Column, score: Column, fused: Column) -> Column:
+    """The five lines before a section; ``fused`` tells whether its score comes from fused rankings."""
+    given = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("Not provided"))
+    shown = F.when(score.isNull(), F.lit("Not scored")).otherwise(F.format_string("%.3f", score))
+    label = F.when(fused, "RRF Score: ").otherwise("Similarity Score: ")
+    return F.concat(
+        F.lit("["), rank.cast("string"), F.lit("]\nDocument: "), source, F.lit("\nPage: "), given(page), F.lit("\nChunk ID: "), given(chunk), F.lit("\n"), label, shown, F.lit("\n")
+    )
+
+
+def section_details(rows: DataFrame) -> DataFrame:
+    """What the chunks of each section carry together: (query_id, source, first_index, chunk, page, score, rrf_score, techniques, ranks, scores).
+
+    ``rows`` has (query_id, source, chunk_index, chunk_id, page, score, rrf_score, techniques, ranks, scores): an array of techniques, maps from a
+    retriever to a rank and to a score, all of which may be null. Pages and techniques keep the order in which they first occur; scores are the
+    largest, ranks the least of each retriever.
+    """
+    kept = ("chunk_index", "chunk_id", "page", "score", "rrf_score", "techniques", "ranks", "scores")
+    held = islands(rows).groupBy("query_id", "source", F.col("chunk_index").isNull().alias("alone"), "island").agg(
+        F.sort_array(F.collect_list(F.struct(*kept[:2], F.struct(*kept[2:5]).alias("page_score"), "techniques", F.map_entries("ranks").alias("ranks"), F.map_entries("scores").alias("scores")))).alias("parts")
+    )
+    ids = F.filter("parts.chunk_id", lambda x: F.coalesce(x, F.lit("")) != "")
+    pages = F.array_distinct(F.filter(F.transform("parts.page_score", lambda x: x["page"].cast("string")), lambda x: x.isNotNull()))
+
+    def each(name: str, best) -> Column:
+        pairs = F.flatten(F.filter(F.col(f"parts.{name}"), lambda x: x.isNotNull()))
+        keys = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["key"])))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: best(F.transform(F.filter(pairs, lambda p: p["key"] == k), lambda p: p["value"]))))
+
+    return held.select(
+        "query_id", "source", F.array_min("parts.chunk_index").alias("first_index"),
+        F.when(F.size(ids) > 1, F.concat(ids[0], F.lit(" .. "), F.element_at(ids, -1))).otherwise(F.coalesce(F.get(ids, 0), F.lit(""))).alias("chunk"),
+        F.array_join(pages, ", ").alias("page"),
+        F.array_max(F.transform("parts.page_score", lambda x: x["score"])).alias("score"),
+        F.array_max(F.transform("parts.page_score", lambda x: x["rrf_score"])).alias("rrf_score"),
+        F.array_distinct(F.flatten(F.filter(F.col("parts.techniques"), lambda x: x.isNotNull()))).alias("techniques"),
+        each("ranks", F.array_min).alias("ranks"), each("scores", F.array_max).alias("scores"),
+    )
+
+
 def compress(sections: DataFrame, budget: int) -> DataFrame:
     """(query_id, section, block, truncated): sections in rank order until the budget of characters is used.
 
@@ -137,3 +179,51 @@ def contexts(blocks: DataFrame) -> DataFrame:
     held = blocks.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("section", "block"))).alias("all"))
     return held.select("query_id", F.array_join("all.block", "\n\n").alias("context"), F.size("all").cast("long").alias("sections"))
 
+
+def compression(sections: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, merged_chars, final_chars, retained, percent): the text of all sections under their headers against what the budget left."""
+    whole = F.length(header(F.col("section"), F.col("source"), F.col("chunk"), F.col("score"))) + F.length("text")
+    before = sections.groupBy("query_id").agg((F.sum(whole) + 2 * (F.count("*") - 1)).cast("long").alias("merged_chars"))
+    after = blocks.groupBy("query_id").agg((F.sum(F.length("block")) + 2 * (F.count("*") - 1)).cast("long").alias("final_chars"))
+    out = before.join(after, "query_id", "left").fillna({"final_chars": 0})
+    ratio = F.coalesce(F.try_divide("final_chars", "merged_chars"), F.lit(0.0))
+    return out.withColumn("retained", F.round(ratio, 6)).withColumn("percent", F.round(100 * (1 - ratio), 4))
+
+
+def section_lengths(sections: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, section, chars, included, truncated): every section, and what the budget did to it."""
+    kept = blocks.select("query_id", "section", "truncated", F.lit(True).alias("included"))
+    out = sections.select("query_id", "section", F.length("text").cast("long").alias("chars")).join(kept, ["query_id", "section"], "left")
+    return out.fillna({"included": False, "truncated": False}).select("query_id", "section", "chars", "included", "truncated")
+
+
+def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
+    """One row for each question of any stage: how many rows it has in each."""
+    parts = [df.select("query_id", F.lit(name).alias("stage")) for name, df in stages.items()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("query_id").agg(*[F.count_if(F.col("stage") == name).alias(name) for name in stages])
+
+
+def build_context(results: DataFrame, chunks: DataFrame, window: int = 1, budget: int = 3000, dedup: bool = True, expand: bool = True, merge: bool = True, shorten: bool = True, k: int = 3) -> dict[str, DataFrame]:
+    """The stages from (query_id, chunk_id, score, technique, pos, source, chunk_index, text) to blocks, by name; a stage switched off passes its rows on.
+
+    The first ``k`` results of a question are seeds. Without a budget blocks are whole.
+    """
+    by_place = W.partitionBy("query_id").orderBy(F.desc("score"), "pos")
+    if dedup:
+        carried = results.select("chunk_id", "source", "chunk_index", "text").dropDuplicates(["chunk_id"])
+        ranked = deduplicate(results).join(carried, "chunk_id")
+    else:
+        ranked = results.withColumn("place", F.row_number().over(by_place))
+    seeds = ranked.filter(F.col("place") <= k)
+    wide = neighbor_expand(seeds, chunks, window) if expand else seeds.select("query_id", "source", "chunk_index", "chunk_id", "text", "score")
+    if merge:
+        sections = merge_overlapping(wide).withColumn("chunk", F.array_join("chunk_ids", " .. "))
+    else:
+        sections = wide.withColumn("first_index", F.col("chunk_index")).withColumn("chunk", F.col("chunk_id"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "source", "first_index", "chunk")
+    sections = sections.withColumn("section", F.row_number().over(order).cast("long")).select("query_id", "section", "source", "chunk", "score", "text")
+    blocks = compress(sections, budget if shorten else 2**31 - 1)
+    return {"retrieved": results, "deduplicated": ranked, "expanded": wide, "merged": sections, "included": blocks}

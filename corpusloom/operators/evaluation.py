@@ -135,3 +135,18 @@ def run_summary(rows: DataFrame) -> DataFrame:
         F.round(F.sum("latency"), 6).alias("total_latency"),
         ratio(F.count_if(F.expr("status = 'answered'")), F.count("*")).alias("answer_rate"),
     )
+
+
+def holders(documents: DataFrame, passages: DataFrame, key: str, window: int = 5) -> DataFrame:
+    """(key, doc_id): the documents (doc_id, text) that hold a whole passage (key, passage) of at least ``window`` + 2 words.
+
+    The words inside a passage are whole words of any text that holds it, so both are joined by the hash of the ``window`` words after
+    a passage's first one, and whole passages are compared after that. Shorter passages aren't looked for.
+    """
+    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    asked = passages.withColumn("_w", words("passage")).filter(F.size("_w") >= window + 2).select(key, "passage", F.xxhash64(F.slice("_w", 2, window)).alias("_anchor"))
+    held = documents.select("doc_id", words("text").alias("_w")).filter(F.size("_w") >= window).select(
+        "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - window + 1), lambda i: F.xxhash64(F.slice("_w", i, window))))).alias("_anchor")
+    )
+    pairs = held.join(asked, "_anchor").select("doc_id", key, "passage")
+    return pairs.join(documents, "doc_id").filter(F.contains("text", "passage")).select(key, "doc_id").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,3 +89,64 @@ def evidence_metrics(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("query_id").agg(
         n.alias("evidence_count"), F.round(clamp(F.coalesce(F.avg("score"), n / 3)), 6).alias("sufficiency"), F.countDistinct("source").alias("sources")
     )
+
+
+def agent_chain(rows: DataFrame, revise: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``consensus`` with one revision: rows that may be revised go through ``revise`` and are judged once more; adds ``revised``.
+
+    ``revise`` takes and returns rows with the columns of ``rows``. What the second pass decides stands, whatever it is.
+    """
+    first = consensus(rows)
+    again = consensus(revise(first.filter("revision_allowed").select(*rows.columns)).select(*rows.columns))
+    return first.filter(~F.col("revision_allowed")).withColumn("revised", F.lit(False)).unionByName(again.withColumn("revised", F.lit(True)))
+
+
+def preserved_draft(status: Column, draft: Column) -> Column:
+    """The answer of a status that generation must not touch: the draft, or a sentence of ours; null for all other statuses."""
+    texts = {
+        "unsupported_query": "The indexed documents don't cover this question.",
+        "insufficient_evidence": "The evidence found isn't enough for an answer.",
+        "generation_failed": "No answer could be generated.",
+    }
+    default = F.try_element_at(F.create_map(*[F.lit(x) for kv in texts.items() for x in kv]), status)
+    return F.when(status.isin(*PRESERVED), F.coalesce(F.nullif(draft, F.lit("")), default))
+
+
+def review_defaults(reviews: DataFrame) -> DataFrame:
+    """Fills what reviewers left out of (critic_passed, severity, risk_passed, risk_level, verification_passed, grounding_score, revision_required).
+
+    Nothing said is not passed and medium; a grounding score lies between 0 and 1; without a word on it, what didn't pass needs a revision.
+    """
+    passed = {c: F.coalesce(c, F.lit(False)) for c in ("critic_passed", "risk_passed", "verification_passed")}
+    level = {c: F.coalesce(c, F.lit("medium")) for c in ("severity", "risk_level")}
+    return reviews.withColumns({
+        **passed, **level, "grounding_score": clamp(F.coalesce(F.col("grounding_score").cast("double"), F.lit(0.0))),
+        "revision_required": F.coalesce("revision_required", ~F.coalesce("verification_passed", F.lit(False))),
+    })
+
+
+def evidence_records(rows: DataFrame) -> DataFrame:
+    """(evidence_id, source, page, chunk_id, text, score, box): evidence of any retriever in one shape.
+
+    Takes whatever of (evidence_id, source_file, source, page_number, page, chunk_id, text, page_content, reranker_score, score, bbox) there is; blank
+    counts as missing. The id is composed of source, page and chunk where none is given; a box has four numbers or is null.
+    """
+    def first(*names: str, kind: str = "string") -> Column:
+        found = [F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names if n in rows.columns]
+        return F.coalesce(*found, F.lit(None)).try_cast(kind)
+
+    source, page, chunk = first("source_file", "source"), first("page_number", "page"), first("chunk_id")
+    composed = F.concat_ws(":", F.coalesce(source, F.lit("unknown")), F.coalesce(page, F.lit("")), F.coalesce(chunk, F.lit("")))
+    box = F.col("bbox").cast("array<double>") if "bbox" in rows.columns else F.lit(None).cast("array<double>")
+    return rows.select(
+        F.coalesce(first("evidence_id"), composed).alias("evidence_id"), source.alias("source"), page.alias("page"), chunk.alias("chunk_id"),
+        F.coalesce(first("text", "page_content"), F.lit("")).alias("text"), first("reranker_score", "score", kind="double").alias("score"),
+        F.when((F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull()), box).alias("box"),
+    )
+
+
+def agent_latency(events: DataFrame, agents: DataFrame) -> DataFrame:
+    """(agent, milliseconds, runs): the time of each agent of (agent) over the trace events (agent, latency_ms), revisions included; 0 without events."""
+    spent = events.groupBy("agent").agg(F.sum("latency_ms").alias("spent"), F.count("*").alias("runs"))
+    out = agents.select("agent").join(spent, "agent", "left")
+    return out.select("agent", F.round(F.coalesce("spent", F.lit(0.0)), 2).alias("milliseconds"), F.coalesce("runs", F.lit(0)).cast("long").alias("runs"))

@@ -146,3 +146,41 @@ def page_distribution(results: DataFrame, n: int = 20) -> DataFrame:
 
 def ranked_within(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order)))
+
+
+def ocr_summary(documents: DataFrame, *by: str) -> DataFrame:
+    """What recognition did with the documents that need it: (processed, succeeded, failed, rate, mean_ms, chars, words), of each ``by``.
+
+    ``documents`` has (requires_ocr, ocr_status, extraction_ms, chars, words), one row for each scanned file, read or not.
+    """
+    needed, read = F.coalesce("requires_ocr", F.lit(False)), F.col("ocr_status").isNotNull()
+    done = F.count_if(needed & (F.col("ocr_status") == "OCR_SUCCESS"))
+    total = F.count_if(needed)
+    return documents.groupBy(*by).agg(
+        F.count_if(needed & read).alias("processed"), done.alias("succeeded"), F.greatest(total - done, F.lit(0)).alias("failed"),
+        F.coalesce(F.round(F.try_divide(done, total), 6), F.lit(0.0)).alias("rate"),
+        F.coalesce(F.round(F.avg(F.when(needed & read, F.coalesce("extraction_ms", F.lit(0.0)))), 6), F.lit(0.0)).alias("mean_ms"),
+        F.coalesce(F.sum(F.when(needed & read, F.col("chars"))), F.lit(0)).cast("long").alias("chars"),
+        F.coalesce(F.sum(F.when(needed & read, F.col("words"))), F.lit(0)).cast("long").alias("words"),
+    )
+
+
+def chart_totals(traces: DataFrame, *by: str) -> DataFrame:
+    """(by..., questions, tokens, seconds, strong, weak, sources): sums for the charts of a report over (tokens, seconds, strength, source)."""
+    return traces.groupBy(*by).agg(
+        F.count("*").alias("questions"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"), F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)), 4).alias("seconds"),
+        F.count_if(F.col("strength") == "strong").alias("strong"), F.count_if(F.col("strength") == "weak").alias("weak"), F.countDistinct("source").alias("sources"),
+    )
+
+
+def timing_table(timings: DataFrame, steps: list[str]) -> DataFrame:
+    """(run_id, step_order, step, seconds): the timings (run_id, step, seconds) of the named steps that a run has, summed, in the given order."""
+    order = F.array_position(F.array(*map(F.lit, steps)), F.col("step"))
+    out = timings.filter(F.col("step").isin(steps) & F.col("seconds").isNotNull()).groupBy("run_id", "step").agg(F.round(F.sum("seconds"), 6).alias("seconds"))
+    return out.select("run_id", order.cast("long").alias("step_order"), "step", "seconds")
+
+
+def mode_limit(questions: DataFrame, mode: str, order: str, cap: int | None = None) -> DataFrame:
+    """The questions of a run mode: the first three of a smoke run, as many as asked for of a manual one, all of a benchmark."""
+    n = 3 if mode == "smoke" else cap if mode == "manual" else None
+    return questions.orderBy(order).limit(n) if n is not None else questions

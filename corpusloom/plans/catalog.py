@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import answers, chunks, context, dense, evaluation, evidence, formats, fusion, incremental, lexical, records, reviews, tables, variants
+from corpusloom.operators import answers, chunks, context, dense, evaluation, evidence, formats, fusion, incremental, lexical, matching, records, reviews, tables, variants
 from corpusloom.plans import sql as S
 from corpusloom.sources import corpus, storage
 from corpusloom.streaming import events as E
@@ -275,12 +275,10 @@ def stage_funnel(spark, d):
     return tables.funnel({"retrieved": variant_rankings(spark, d), "deduplicated": fusion.deduplicate(results(spark, d)), "seeds": s, "expanded": context.neighbor_expand(s, lines(spark, d))})
 
 
-@query("""with k as (select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, left(b.text, 60))), """ + S.index("select doc_id as k, text from documents") + ", " + S.bm25("select item_id as query_id, text as query from benchmark", ["query_id"]) + """
+@query("""with k as (select b.item_id, d.doc_id from (select * from benchmark where len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) >= 7) b join documents d on contains(d.text, b.text)), """ + S.index("select doc_id as k, text from documents") + ", " + S.bm25("select item_id as query_id, text as query from benchmark", ["query_id"]) + """
 select count(*) as known, count(*) filter (r.k is not null) as found, round(count(*) filter (r.k is not null) / count(*), 6) as recall from k left join (select * from ranked where rank <= 10) r on r.query_id = k.item_id and r.k = k.doc_id""")
 def recall_at_k(spark, d):
-    docs = table(spark, d, "documents")
-    asked = table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("head"))
-    known = docs.join(asked, F.contains("text", "head")).select("item_id", "doc_id")
+    known = evaluation.holders(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")), "item_id")
     top = bm25_topk(spark, d).select(F.col("query_id").alias("item_id"), "doc_id", F.lit(True).alias("hit"))
     return known.join(top, ["item_id", "doc_id"], "left").agg(F.count("*").alias("known"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
@@ -302,10 +300,10 @@ def merge_sections(spark, d):
 def ranked_sections(spark, d) -> DataFrame:
     merged = context.merge_overlapping(context.neighbor_expand(seeds(spark, d), lines(spark, d)))
     ordered = tables.ranked_within(merged, "query_id", [F.desc("score"), F.col("source"), F.col("first_index")])
-    return ordered.select("query_id", F.col("place").cast("long").alias("section"), "source", F.array_join("chunk_ids", " .. ").alias("chunk"), "score", "text")
+    return ordered.select("query_id", F.col("place").cast("long").alias("section"), "source", F.array_join("chunk_ids", " .. ").alias("chunk"), "score", "text", "chunk_ids")
 
 
-@query()
+@query(f"with {S.DEDUP}, {S.SEEDS}, {S.EXPANDED}, {S.SECTIONS}, {S.BLOCKS} select query_id, section, block, truncated from blocks")
 def context_budget(spark, d):
     return context.compress(ranked_sections(spark, d), 3000)
 
@@ -396,10 +394,10 @@ def current_data_questions(spark, d):
     return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", answers.requires_current_data(F.col("text")).alias("needs_current"))
 
 
-@query(f"with {S.POOL}, p as (select query_id, question, string_agg(text, ' ' order by rank) as body from pool where rank <= 3 group by all), t as (select query_id, lower(body) as body, {S.support('question')} as terms from p) select query_id, len(terms) as terms, len(terms) > 0 and len(list_filter(terms, lambda t: contains(body, t))) >= least(2, len(terms)) as supported from t")
+@query(f"with {S.POOL}, p as (select query_id, question, max(score) >= 20 as sufficient, string_agg(text, ' ' order by rank) as body from pool where rank <= 3 group by query_id, question), t as (select query_id, sufficient, lower(body) as text, {S.support('question')} as terms from p), s as (select *, len(terms) > 0 and len(list_filter(terms, lambda t: contains(text, t))) >= least(2, len(terms)) as supported from t) select query_id, len(terms) as terms, supported, sufficient and supported and {S.CURRENT} as current_support from s")
 def direct_support(spark, d):
-    held = pool(spark, d).filter("rank <= 3").groupBy("query_id", "question").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "text")))["text"], " ").alias("body"))
-    return held.select("query_id", F.size(answers.support_terms(F.col("question"))).cast("long").alias("terms"), answers.directly_supported(F.col("question"), F.col("body")).alias("supported"))
+    held = pool(spark, d).filter("rank <= 3").groupBy("query_id", "question").agg((F.max("score") >= 20).alias("sufficient"), F.array_join(F.array_sort(F.collect_list(F.struct("rank", "text")))["text"], " ").alias("body"))
+    return held.select("query_id", F.size(answers.support_terms(F.col("question"))).cast("long").alias("terms"), answers.directly_supported(F.col("question"), F.col("body")).alias("supported"), answers.currently_supported(F.col("question"), F.col("body"), F.col("sufficient")).alias("current_support"))
 
 
 @query(f"select status, label, count(*) as rows from (select {S.STATUS} as status, case when {S.STATUS} = 'answered' then 'Answered' else 'Insufficient Evidence' end as label from conversations where role = 'assistant') group by all")
@@ -488,10 +486,10 @@ def benefit_questions(spark, d):
     return tables.benefit(judged(spark, d).withColumn("question_id", F.concat("category", "difficulty")), "doc_id")
 
 
-@query("with k as (select text as question, arg_max(lang, doc_id) as lang, max(doc_id) as last from documents where doc_id % 2 = 0 group by 1) select d.doc_id, k.lang, k.last from documents d join k on d.text = k.question")
+@query("with k as (select text as question, arg_max(lang, doc_id) as lang, max(doc_id) as last from documents group by 1) select d.doc_id, k.lang, k.last from documents d join k on d.text = k.question")
 def evaluation_join(spark, d):
     docs = table(spark, d, "documents")
-    bench = docs.filter("doc_id % 2 = 0").select(F.col("text").alias("question"), F.col("doc_id").alias("ordinal"), "lang", F.col("doc_id").alias("last"))
+    bench = docs.select(F.col("text").alias("question"), F.col("doc_id").alias("ordinal"), "lang", F.col("doc_id").alias("last"))
     return evaluation.evaluation_join(docs.select("doc_id", F.col("text").alias("question")), bench).drop("question")
 
 
@@ -692,13 +690,13 @@ def previews(spark, d):
 # --- records -------------------------------------------------------------------------------------
 
 
-@query("""select page_id::varchar as id, left(html, 20) as text, try_cast(case when page_id % 3 = 0 then 'x' else (page_id / 4.0)::varchar end as double) as score, case when page_id % 5 = 0 then 'n/' || page_id || '.pdf' else url end as source_path,
+@query("""select page_id::varchar as id, html as text, try_cast(case when page_id % 3 = 0 then 'x' else (page_id / 4.0)::varchar end as double) as score, case when page_id % 5 = 0 then 'n/' || page_id || '.pdf' else url end as source_path,
 string_split(case when page_id % 2 = 0 or page_id % 5 = 0 then 'n/' || page_id || '.pdf' else url end, '/')[-1] as source, (page_id % 4)::varchar as page_number, 'c' || page_id as chunk_id from pages""")
 def normalized_results(spark, d):
     c = F.col
     name = F.concat(F.lit("n/"), c("page_id").cast("string"), F.lit(".pdf"))
     return records.normalized(table(spark, d, "pages").select(
-        c("page_id").cast("string").alias("id"), F.left("html", F.lit(20)).alias("text"), F.when(c("page_id") % 3 == 0, "x").otherwise((c("page_id") / 4.0).cast("string")).alias("score"),
+        c("page_id").cast("string").alias("id"), F.col("html").alias("text"), F.when(c("page_id") % 3 == 0, "x").otherwise((c("page_id") / 4.0).cast("string")).alias("score"),
         F.when(c("page_id") % 5 == 0, " ").otherwise(c("url")).alias("source"), F.when((c("page_id") % 2 == 0) | (c("page_id") % 5 == 0), name).otherwise("").alias("file_name"),
         (c("page_id") % 4).alias("page_number"), F.concat(F.lit("c"), c("page_id").cast("string")).alias("chunk_id"),
     ))
@@ -747,3 +745,204 @@ def metadata_completeness(spark, d):
 def token_efficiency(spark, d):
     rows = table(spark, d, "labels").select("doc_id").join(table(spark, d, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
     return rows.select("doc_id", tables.token_efficiency(F.col("n").cast("double"), F.least("n", F.lit(500)).cast("double")).alias("reduction"))
+
+
+# --- citations, traces and reports ---------------------------------------------------------------
+
+
+def short_citations(spark, d) -> DataFrame:
+    """Citations of the top evidence as answers give them: every third without a chunk, every fourth without a source."""
+    c = F.col
+    return top_evidence(spark, d).select(
+        "query_id", c("rank").alias("citation"), F.when(c("rank") % 4 == 0, "").otherwise(F.concat(F.lit("Corpus/"), "source", F.lit(".PDF"))).alias("source"),
+        F.when(c("rank") % 3 == 0, "").otherwise(c("chunk_id")).alias("chunk_id"), (c("rank") % 2 + 1).cast("string").alias("page"),
+    )
+
+
+def paged_pool(spark, d) -> DataFrame:
+    return pool(spark, d).select("query_id", F.col("rank").cast("long").alias("rank"), "source", "chunk_id", (F.col("rank") % 2 + 1).cast("string").alias("page"))
+
+
+_CITES = """cs as (select query_id, reranked_rank as n, case when reranked_rank % 4 = 0 then '' else string_split(source, '/')[-1] end as s, case when reranked_rank % 3 = 0 then '' else lower(chunk_id) end as c, (reranked_rank % 2 + 1)::varchar as p from reranked where reranked_rank <= 8),
+rec as (select query_id, rank as m, string_split(source, '/')[-1] as rs, chunk_id, lower(chunk_id) as rc, (rank % 2 + 1)::varchar as rp from pool)"""
+
+
+@query(f"with {S.POOL}, {S.RERANKED}, {_CITES} select cs.query_id, n as citation, arg_min(chunk_id, m) filter ((s = '' or s = rs) and case when c <> '' then contains(rc, c) or contains(c, rc) else p = rp end) as chunk_id from cs join rec on cs.query_id = rec.query_id group by 1, 2")
+def citation_match(spark, d):
+    return matching.citation_match(short_citations(spark, d), paged_pool(spark, d))
+
+
+@query(f"with {S.POOL}, {S.RERANKED}, {_CITES} select cs.query_id, n as citation, arg_min(chunk_id, m) filter (case when c <> '' then rc = c else s = rs and p = rp end) as chunk_id from cs join rec on cs.query_id = rec.query_id group by 1, 2")
+def evidence_match(spark, d):
+    return matching.evidence_match(short_citations(spark, d), paged_pool(spark, d))
+
+
+@query(f"""with {S.POOL}, {S.RERANKED}, {_CITES}, ms as (select query_id, n as place, s, p, c, case n % 3 when 0 then (n + 1)::varchar when 1 then 'Source: ' || s || ' | chunk ' || c else s || ' | page ' || p end as marker from cs),
+hits as (select ms.query_id, ms.place, marker, case when place % 3 = 0 then cs.n = place + 1 when place % 3 = 1 then ms.c <> '' and (ms.s = '' or (cs.s <> '' and (contains(cs.s, ms.s) or contains(ms.s, cs.s)))) and ends_with(cs.c, ms.c) else (ms.s = '' or (cs.s <> '' and (contains(cs.s, ms.s) or contains(ms.s, cs.s)))) and ms.p = cs.p end as hit, cs.n from ms join cs on cs.query_id = ms.query_id)
+select query_id, place, marker, case when count(*) filter (hit) = 1 then min(n) filter (hit) end as citation from hits group by 1, 2, 3""")
+def marker_resolve(spark, d):
+    cited, c = short_citations(spark, d), F.col
+    name, chunk = matching.source_key(c("source")), F.lower("chunk_id")
+    marker = F.when(c("citation") % 3 == 0, (c("citation") + 1).cast("string")).when(c("citation") % 3 == 1, F.concat(F.lit("Source: "), name, F.lit(" | chunk "), chunk)).otherwise(F.concat(name, F.lit(" | page "), c("page")))
+    return matching.marker_resolve(cited.select("query_id", c("citation").alias("place"), marker.alias("marker")), cited)
+
+
+@query(f"with {S.POOL}, {S.SEEDS}, {S.EXPANDED}, {S.SECTIONS}, {S.BLOCKS}, used as (select distinct i.query_id, i.chunk_id from isl i join blocks using (query_id, source, island)) select p.query_id, p.chunk_id, u.chunk_id is not null as included from pool p left join used u on u.query_id = p.query_id and u.chunk_id = p.chunk_id")
+def final_context_inclusion(spark, d):
+    s = ranked_sections(spark, d)
+    used = s.join(context.compress(s, 3000).select("query_id", "section"), ["query_id", "section"]).select("query_id", F.explode("chunk_ids").alias("chunk_id"))
+    return matching.final_context_inclusion(pool(spark, d).select("query_id", "chunk_id"), used)
+
+
+@query(f"""with recursive {S.POOL}, {S.RERANKED}, {S.SELECTED}, u as (select s.query_id, r.reranker_score as score, selection_reason, weak_evidence from selected s join reranked r on r.query_id = s.query_id and r.chunk_id = s.chunk_id where s.selected)
+select query_id, max(score) >= 0.3 and round(avg(score), 9) >= 0.3 and not bool_and(score < 0.35) and not bool_and(selection_reason = 'adaptive_fallback') and not bool_and(weak_evidence) as sufficient from u group by 1""")
+def fallback_sufficient(spark, d):
+    rows = evidence.rerank(pool(spark, d)).select("query_id", F.col("reranked_rank").cast("long").alias("rank"), "chunk_id", "source", "text", F.col("reranker_score").alias("score"))
+    chosen = evidence.select_evidence(rows, threshold=0.3).filter("selected")
+    sure = evidence.confidence(evidence.evidence_quality(chosen)).select("query_id", "confidence")
+    return matching.fallback_sufficient(chosen.withColumn("weak", F.col("weak_evidence")).join(sure, "query_id"), 0.3)
+
+
+@query(f"with {S.DEDUP}, {S.SEEDS}, {S.EXPANDED}, {S.SECTIONS}, {S.BLOCKS}, c as (select query_id, 'a' as k from rankings union all select query_id, 'b' from dedup union all select query_id, 'c' from expanded union all select query_id, 'd' from sections union all select query_id, 'e' from blocks) select query_id, count(*) filter (k = 'a') as retrieved, count(*) filter (k = 'b') as deduplicated, count(*) filter (k = 'c') as expanded, count(*) filter (k = 'd') as merged, count(*) filter (k = 'e') as included from c group by 1")
+def context_build(spark, d):
+    return context.stage_counts(context.build_context(results(spark, d), lines(spark, d)))
+
+
+@query(f"with {S.DEDUP}, {S.SEEDS}, {S.EXPANDED}, {S.SECTIONS}, {S.BLOCKS}, a as (select query_id, (sum(length(head) + length(text)) + 2 * (count(*) - 1))::bigint as merged_chars from heads group by 1), b as (select query_id, (sum(length(block)) + 2 * (count(*) - 1))::bigint as final_chars from blocks group by 1) select query_id, merged_chars, coalesce(final_chars, 0) as final_chars, round(coalesce(final_chars, 0) / merged_chars, 6) as retained, round(100 * (1 - coalesce(final_chars, 0) / merged_chars), 4) as percent from a left join b using (query_id)")
+def compression_ratio(spark, d):
+    s = ranked_sections(spark, d)
+    return context.compression(s, context.compress(s, 3000))
+
+
+@query(f"with {S.DEDUP}, {S.SEEDS}, {S.EXPANDED}, {S.SECTIONS}, {S.BLOCKS} select h.query_id, h.section, length(h.text) as chars, b.section is not null as included, coalesce(b.truncated, false) as truncated from heads h left join blocks b on b.query_id = h.query_id and b.section = h.section")
+def section_lengths(spark, d):
+    s = ranked_sections(spark, d)
+    return context.section_lengths(s, context.compress(s, 3000))
+
+
+@query(f"with {S.DEDUP}, {S.SEEDS}, {S.EXPANDED}, {S.SECTIONS}, {S.BLOCKS} select query_id, section, '[' || section || ']' || chr(10) || 'Document: ' || source || chr(10) || 'Page: ' || case when section % 2 = 0 then section::varchar else 'Not provided' end || chr(10) || 'Chunk ID: ' || chunk || chr(10) || case when section % 3 = 0 then 'RRF Score: ' else 'Similarity Score: ' end || round(score::decimal(18, 6), 3)::varchar || chr(10) as header from heads")
+def context_headers(spark, d):
+    c = F.col
+    page = F.when(c("section") % 2 == 0, c("section"))
+    return ranked_sections(spark, d).select("query_id", "section", context.full_header(c("section"), c("source"), page, c("chunk"), c("score"), c("section") % 3 == 0).alias("header"))
+
+
+@query(f"""with {S.RANKINGS}, c as (select query_id, source, chunk_id, chunk_index, max(score) as score from rankings group by 1, 2, 3, 4), i as (select *, chunk_index - row_number() over (partition by query_id, source order by chunk_index) as island from c),
+t as (select i.query_id, i.source, island, technique, min(r.chunk_index) as place, min(rank) as rank, max(r.score) as score from i join rankings r on r.query_id = i.query_id and r.chunk_id = i.chunk_id group by 1, 2, 3, 4),
+g as (select query_id, source, island, string_agg(technique, ',' order by place, technique) as techniques, min(rank) filter (technique = 'original') as original_rank, max(score) filter (technique = 'original') as original_score from t group by 1, 2, 3),
+p as (select query_id, source, island, string_agg(page::varchar, ', ' order by page) as page from (select distinct query_id, source, island, chunk_index // 2 as page from i) group by 1, 2, 3)
+select query_id, source, min(chunk_index)::int as first_index, case when count(*) > 1 then arg_min(chunk_id, chunk_index) || ' .. ' || arg_max(chunk_id, chunk_index) else min(chunk_id) end as chunk, any_value(page) as page, max(score) as score, any_value(techniques) as techniques, any_value(original_rank) as original_rank, any_value(original_score) as original_score
+from i join g using (query_id, source, island) join p using (query_id, source, island) group by query_id, source, island""")
+def section_details(spark, d):
+    r, c = variant_rankings(spark, d), F.col
+    held = r.groupBy("query_id", "source", "chunk_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("technique", "rank", "score"))).alias("by"), F.max("score").alias("score"))
+    rows = held.select(
+        "query_id", "source", "chunk_index", "chunk_id", F.floor(c("chunk_index") / 2).cast("long").alias("page"), "score", F.lit(None).cast("double").alias("rrf_score"), c("by.technique").alias("techniques"),
+        F.map_from_arrays("by.technique", "by.rank").alias("ranks"), F.map_from_arrays("by.technique", "by.score").alias("scores"),
+    )
+    out = context.section_details(rows)
+    return out.select(
+        "query_id", "source", "first_index", "chunk", "page", "score", F.array_join("techniques", ",").alias("techniques"),
+        F.try_element_at("ranks", F.lit("original")).cast("long").alias("original_rank"), F.try_element_at("scores", F.lit("original")).alias("original_score"),
+    )
+
+
+@query(f"""with recursive {S.POOL}, {S.RERANKED}, {S.SELECTED}, {S.SEEDS}, {S.EXPANDED}, {S.SECTIONS}, {S.BLOCKS}, v as (select query_id, string_agg(technique, ',' order by variant_order) as variants from variants group by 1),
+r as (select query_id, string_agg(chunk_id, ',' order by variant_order, rank) as results from rankings group by 1), e as (select query_id, string_agg(chunk_id, ',' order by rank) filter (selected) as chosen, count(*) as judged from selected group by 1), b as (select query_id, count(*) as sections from blocks group by 1)
+select q.query_id, variants, coalesce(results, '') as results, coalesce(chosen, '') as chosen, coalesce(judged, 0) as judged, coalesce(sections, 0) as sections from qs q left join v using (query_id) left join r using (query_id) left join e using (query_id) left join b using (query_id)""")
+def question_traces(spark, d):
+    rows = evidence.rerank(pool(spark, d)).select("query_id", F.col("reranked_rank").cast("long").alias("rank"), "chunk_id", "source", "text", F.col("reranker_score").alias("score"))
+    asked = questions(spark, d)
+    found = matching.question_traces(asked, variants.query_variants(asked), variant_rankings(spark, d), evidence.select_evidence(rows, threshold=0.3), context.compress(ranked_sections(spark, d), 3000))
+    chosen = F.filter("evidence", lambda x: x["selected"])
+    return found.select(
+        "query_id", F.array_join("variants.technique", ",").alias("variants"), F.array_join("results.chunk_id", ",").alias("results"), F.array_join(F.transform(chosen, lambda x: x["chunk_id"]), ",").alias("chosen"),
+        F.size("evidence").cast("long").alias("judged"), F.size("sections").cast("long").alias("sections"),
+    )
+
+
+@query("""with f as (select source, doc_id % 3 = 0 as needed, case when doc_id % 5 = 0 then null when doc_id % 4 = 0 then 'OCR_FAILED' else 'OCR_SUCCESS' end as status, n_chars / 10.0::double as ms, length(text) as chars, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as words from documents)
+select source, count(*) filter (needed and status is not null) as processed, count(*) filter (needed and status = 'OCR_SUCCESS') as succeeded, count(*) filter (needed) - count(*) filter (needed and status = 'OCR_SUCCESS') as failed,
+coalesce(round(count(*) filter (needed and status = 'OCR_SUCCESS') / nullif(count(*) filter (needed), 0), 6), 0) as rate, coalesce(round(avg(ms) filter (needed and status is not null), 6), 0) as mean_ms,
+coalesce(sum(chars) filter (needed and status is not null), 0)::bigint as chars, coalesce(sum(words) filter (needed and status is not null), 0)::bigint as words from f group by 1""")
+def ocr_summary(spark, d):
+    c = F.col
+    rows = table(spark, d, "documents").select(
+        "source", (c("doc_id") % 3 == 0).alias("requires_ocr"), F.when(c("doc_id") % 5 == 0, None).when(c("doc_id") % 4 == 0, "OCR_FAILED").otherwise("OCR_SUCCESS").alias("ocr_status"),
+        (c("n_chars") / 10.0).alias("extraction_ms"), F.length("text").alias("chars"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"),
+    )
+    return tables.ocr_summary(rows, "source")
+
+
+@query("select event_type as agent, round(coalesce(sum(value), 0), 2) as milliseconds, count(*) as runs from events group by 1 union all select 'idle', 0, 0")
+def agent_latency(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("agent"), F.col("value").alias("latency_ms"))
+    agents = e.select("agent").distinct().unionByName(spark.range(1).select(F.lit("idle").alias("agent")))
+    return reviews.agent_latency(e, agents)
+
+
+@query("select user_id as run_id, list_position(['signup', 'view', 'click', 'purchase'], event_type)::bigint as step_order, event_type as step, round(sum(value), 6) as seconds from events where event_type in ('signup', 'view', 'click', 'purchase') and value is not null group by 1, 2, 3")
+def timing_table(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("step"), F.col("value").alias("seconds"))
+    return tables.timing_table(e, ["signup", "view", "click", "purchase"])
+
+
+@query("select lang, count(*) as questions, sum(n_chars)::bigint as tokens, round(sum(n_chars / 1000.0::double), 4) as seconds, count(*) filter (quality = 1) as strong, count(*) filter (quality = 0) as weak, count(distinct source) as sources from documents join labels using (doc_id) group by 1")
+def chart_totals(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return tables.chart_totals(rows.select("lang", F.col("n_chars").alias("tokens"), (F.col("n_chars") / 1000.0).alias("seconds"), F.when(F.col("quality") == 1, "strong").when(F.col("quality") == 0, "weak").alias("strength"), "source"), "lang")
+
+
+@query(f"""with {S.REVIEWS}, again as (select *, true as cp, compliance_passed or doc_id % 3 = 0 as co, true as ve from decided where decision = 'revise_once'),
+second as (select doc_id, case when level = 'high' and (high_claim or not co) then 'reject' when not (cp and co and risk_passed and ve) then 'revise_once' else 'accept' end as decision, case when level = 'high' and (high_claim or not co) then 'rejected' else 'answered' end as final_status, true as revised from again)
+select doc_id, decision, final_status, false as revised from decided where decision <> 'revise_once' union all select doc_id, decision, final_status, revised from second""")
+def agent_chain(spark, d):
+    def revise(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"critic_passed": F.lit(True), "verification_passed": F.lit(True), "compliance_passed": F.col("compliance_passed") | (F.col("doc_id") % 3 == 0)})
+
+    return reviews.agent_chain(review_rows(spark, d), revise).select("doc_id", "decision", "final_status", "revised")
+
+
+@query("select doc_id, case when doc_id % 11 = 0 and doc_id % 2 = 0 then 'draft ' || doc_id when doc_id % 11 = 0 then 'The indexed documents don''t cover this question.' when doc_id % 7 = 0 then 'No answer could be generated.' end as answer from labels")
+def draft_preservation(spark, d):
+    n = F.col("doc_id")
+    status = F.when(n % 11 == 0, "unsupported_query").when(n % 7 == 0, "generation_failed").otherwise("answered")
+    draft = F.when((n % 11 == 0) & (n % 2 == 0), F.concat(F.lit("draft "), n.cast("string"))).otherwise("")
+    return table(spark, d, "labels").select("doc_id", reviews.preserved_draft(status, draft).alias("answer"))
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then quality = 1 else false end as critic_passed, case when doc_id % 3 = 0 then 'high' else 'medium' end as risk_level, least(greatest(doc_id % 9 / 4.0 - 0.5, 0), 1)::double as grounding_score, case when doc_id % 5 = 0 then toxic = 1 else not coalesce(toxic = 0, false) end as revision_required from labels")
+def review_defaults(spark, d):
+    n, none = F.col("doc_id"), F.lit(None)
+    rows = table(spark, d, "labels").select(
+        "doc_id", F.when(n % 2 == 0, F.col("quality") == 1).alias("critic_passed"), none.cast("string").alias("severity"), none.cast("boolean").alias("risk_passed"), F.when(n % 3 == 0, "high").alias("risk_level"),
+        (F.col("toxic") == 0).alias("verification_passed"), (n % 9 / 4.0 - 0.5).alias("grounding_score"), F.when(n % 5 == 0, F.col("toxic") == 1).alias("revision_required"),
+    )
+    return reviews.review_defaults(rows).select("doc_id", "critic_passed", "risk_level", "grounding_score", "revision_required")
+
+
+@query("select case when doc_id % 4 = 0 then 'e' || doc_id else coalesce(nullif(trim(source), ''), 'unknown') || ':' || case when doc_id % 3 = 0 then '' else (doc_id % 3)::varchar end || ':' || doc_id end as evidence_id, nullif(trim(source), '') as source, case when doc_id % 3 > 0 then (doc_id % 3)::varchar end as page, doc_id::varchar as chunk_id, case when doc_id % 2 = 0 then 0.5::double else (n_chars / 100.0)::double end as score from documents")
+def evidence_records(spark, d):
+    n = F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        F.when(n % 4 == 0, F.concat(F.lit("e"), n.cast("string"))).alias("evidence_id"), "source", F.when(n % 3 > 0, n % 3).alias("page"), F.lit(" ").alias("page_number"), n.alias("chunk_id"), "text",
+        F.when(n % 2 == 0, 0.5).alias("reranker_score"), (F.col("n_chars") / 100.0).alias("score"),
+    )
+    return reviews.evidence_records(rows).select("evidence_id", "source", "page", "chunk_id", "score")
+
+
+_JOINED = r"regexp_replace(regexp_replace(regexp_replace(trim(x), '[<>:\"/\\|?*\x00-\x1f\s]+', '_', 'g'), '_+', '_', 'g'), '^[ ._]+|[ ._]+$', '', 'g')"
+_SLUG = rf"left(regexp_replace(regexp_replace(trim(x), '[^\p{{L}}\p{{N}}\p{{M}}_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 64)"
+
+
+@query(f"with t as (select page_id as id, case when page_id % 10 = 0 then 'con' when page_id % 7 = 0 then ' .. ' else url end as x from pages union all select -conv_id * 1000 - turn, text from conversations), n as (select id, x, {_JOINED} as name from t) select id, case when lower(name) = 'con' then '_con' else coalesce(nullif(regexp_replace(left(name, 120), '[ ._]+$', ''), ''), 'batch_qa') end as name, coalesce(nullif({_SLUG}, ''), 'question') as slug from n")
+def safe_names(spark, d):
+    n = F.col("page_id")
+    web = table(spark, d, "pages").select(n.alias("id"), F.when(n % 10 == 0, "con").when(n % 7 == 0, " .. ").otherwise(F.col("url")).alias("x"))
+    said = table(spark, d, "conversations").select((-F.col("conv_id") * 1000 - F.col("turn")).alias("id"), F.col("text").alias("x"))
+    return web.unionByName(said).select("id", X.safe_name(F.col("x")).alias("name"), X.slug(F.col("x")).alias("slug"))
+
+
+@query("select page_id, html, url from pages order by page_id limit 3")
+def smoke_mode(spark, d):
+    return tables.mode_limit(table(spark, d, "pages").select("page_id", "html", "url"), "smoke", "page_id")

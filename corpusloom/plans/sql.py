@@ -81,11 +81,17 @@ EXPANDED = """near as (select s.query_id, s.source, l.chunk_index, l.chunk_id, l
 expanded as (select * from (select query_id, source, chunk_index, chunk_id, text, score, place, -2 as offs, false as is_neighbor from seeds union all select * from near) qualify row_number() over (partition by query_id, source, chunk_id order by score desc, place, offs) = 1)"""
 
 SECTIONS = """isl as (select *, chunk_index - row_number() over (partition by query_id, source order by chunk_index) as island from expanded),
-sections as (select query_id, source, min(chunk_index)::int as first_index, max(chunk_index)::int as last_index, max(score) as score, count(*) as merged_chunk_count,
+sections as (select query_id, source, island, string_agg(chunk_id, ' .. ' order by chunk_index) as chunk, min(chunk_index)::int as first_index, max(chunk_index)::int as last_index, max(score) as score, count(*) as merged_chunk_count,
 list_reduce(list(text order by chunk_index), lambda a, b: case when len(list_filter(range(least(length(rtrim(a)), length(ltrim(b)), 250), 0, -1), lambda n: right(rtrim(a), n) = left(ltrim(b), n))) > 0
 then rtrim(a) || substr(ltrim(b), list_filter(range(least(length(rtrim(a)), length(ltrim(b)), 250), 0, -1), lambda n: right(rtrim(a), n) = left(ltrim(b), n))[1] + 1) else rtrim(a) || chr(10) || ltrim(b) end) as text
 from isl group by query_id, source, island)"""
 
+#: Sections in order under their headers, and what a budget of 3000 characters leaves of them.
+BLOCKS = """heads as (select *, '[' || section || '] ' || source || ' | chunk ' || chunk || ' | score ' || round(score::decimal(18, 6), 3)::varchar || chr(10) as head from (select *, row_number() over (partition by query_id order by score desc, source, first_index) as section from sections)),
+rooms as (select *, coalesce(sum(length(head) + length(text) + 2) over (partition by query_id order by section rows between unbounded preceding and 1 preceding), 0) as before from heads),
+blocks as (select query_id, source, island, section, length(text) > 3000 - before - length(head) as truncated, head || case when length(text) > 3000 - before - length(head) then rtrim(left(text, (3000 - before - length(head))::bigint)) else text end as block
+from rooms qualify bool_and(before < 3000 and before + length(head) < 3000) over (partition by query_id order by section rows between unbounded preceding and current row))"""
+
 POOL = f"{DEDUP}, pool as (select d.query_id, d.score, d.place as rank, l.*, b.text as question from dedup d join lines l using (chunk_id) join benchmark b on b.item_id = d.query_id where place <= 30)"
 
 RERANKED = f"""rr as (select *, {terms('question')} as qt, {terms('text')} as tt from pool), rs as (select *, case when len(qt) = 0 then 0.0 else round(len(list_intersect(qt, tt)) / len(qt), 6) end as reranker_score from rr),

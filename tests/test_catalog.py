@@ -14,6 +14,9 @@ SOME = [
     "line_chunks", "chunk_summary", "term_stats", "bm25_topk", "dense_topk", "query_forms", "query_variants", "rrf_fuse", "dedup_evidence", "merge_sections", "rerank_lexical", "citations",
     "verify_claims", "cited_numbers", "evaluate_answers", "rank_experiments", "experiment_grid", "format_readiness", "indexing_plan", "point_ids", "delete_documents", "run_progress", "event_spans",
     "event_sessions", "sliding_windows", "consensus", "readiness_scores",
+    "recall_at_k", "direct_support", "context_budget", "citation_match", "evidence_match", "marker_resolve", "final_context_inclusion", "fallback_sufficient", "context_build", "compression_ratio", "section_lengths",
+    "context_headers", "section_details", "question_traces", "ocr_summary", "agent_latency", "timing_table", "chart_totals", "agent_chain", "draft_preservation", "review_defaults", "evidence_records", "safe_names",
+    "smoke_mode", "evaluation_join", "normalized_results", "page_distribution", "table_rerank",
 ]
 
 
