@@ -576,7 +576,8 @@ def pending_questions(spark, d):
     return incremental.pending(q, q.filter("conv_id % 3 = 0"))
 
 
-@query()
+@query(f"""with {S.LINES}, h as (select sha256(source || chr(0) || chunk_id || chr(0) || text) as h from lines),
+p as (select count(*) as n, {", ".join(f"sum(('0x' || substr(h, {i}, 12))::bigint)::varchar as p{i}" for i in (1, 13, 25, 37))} from h) select n as rows, sha256(n::varchar || ':' || p1 || ':' || p13 || ':' || p25 || ':' || p37) as fingerprint from p""")
 def corpus_fingerprint(spark, d):
     return incremental.fingerprint(lines(spark, d), ["source", "chunk_id"])
 
@@ -677,7 +678,9 @@ def readiness_scores(spark, d):
     return reviews.readiness(reviews.consensus(review_rows(spark, d))).select("doc_id", "readiness")
 
 
-@query()
+@query(rf"""with {S.ANSWERS}, b as (select answer_id, unnest(string_split_regex(text, '(?m)^#+\s+')) as body, unnest(range(len(string_split_regex(text, '(?m)^#+\s+')))) as section from answers),
+n as (select answer_id, section, len(regexp_extract_all(body, '\[(\d+)\]')) as citations, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(body, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: len(regexp_split_to_array(x, '\s+')) >= 4)) as sentences from b where trim(body) <> '')
+select answer_id, section, citations, sentences, case when citations / greatest(sentences, 1) >= 0.8 then 'dense' when citations > 0 then 'weak' else 'uncited' end as coverage from n""")
 def section_coverage(spark, d):
     return reviews.section_coverage(assistant_answers(spark, d))
 
@@ -946,3 +949,38 @@ def safe_names(spark, d):
 @query("select page_id, html, url from pages order by page_id limit 3")
 def smoke_mode(spark, d):
     return tables.mode_limit(table(spark, d, "pages").select("page_id", "html", "url"), "smoke", "page_id")
+
+
+@query(f"with {S.POOL}, s as (select query_id, chunk_id, rank, case when chunk_index % 3 = 0 then 0.0 else chunk_index % 7 end::double as reranker_score from pool) select query_id, chunk_id, reranker_score, row_number() over (partition by query_id order by reranker_score desc, rank) as reranked_rank from s")
+def table_rerank(spark, d):
+    found = pool(spark, d)
+    given = found.filter("chunk_index % 3 <> 0").select("chunk_id", (F.col("chunk_index") % 7).cast("double").alias("given")).dropDuplicates(["chunk_id"])
+    return evidence.table_rerank(found, given).select("query_id", "chunk_id", "reranker_score", F.col("reranked_rank").cast("long").alias("reranked_rank"))
+
+
+@query(f"""with {S.POOL}, {S.RERANKED}, m as (select query_id, count(*) as selected, count(*) filter (reranker_score = 0) as zeros, round(avg(reranker_score), 9) as mean, count(distinct source) as sources, sum(length(text)) as chars from reranked where reranked_rank <= 8 group by 1),
+f as (select query_id, unnest(list_filter([case when selected < 3 then 'starved' end, case when chars < 2000 then 'thin_context' end, case when zeros > 0 then 'zero_score' end, case when mean < 0.35 then 'weak_mean' end, case when sources <= 1 then 'single_source' end], lambda x: x is not null)) as finding from m) select query_id, finding from f""")
+def selection_diagnostics(spark, d):
+    none = F.lit(0.0)
+    rows = top_evidence(spark, d).groupBy("query_id").agg(
+        F.count("*").alias("selected"), F.count_if(F.col("score") == 0).alias("zero_scores"), F.round(F.avg("score"), 9).alias("mean_score"), F.countDistinct("source").alias("sources"), (F.sum(F.length("text")) / 4).alias("tokens"),
+    ).withColumns({"reduction": none, "answered": F.lit(True), "redundant": F.lit(0), "generation": none, "reranking": none, "total": none})
+    return tables.selection_diagnostics(rows)
+
+
+@query(f"with {S.POOL}, {S.RERANKED}, m as (select query_id, count(distinct source) as sources from reranked where reranked_rank <= 8 group by 1) select query_id, unnest(list_filter(['lexical_only', 'low_overlap', case when sources <= 1 then 'single_source' end], lambda x: x is not null)) as finding from m")
+def retrieval_diagnostics(spark, d):
+    none = F.lit(0.0)
+    rows = top_evidence(spark, d).groupBy("query_id").agg(F.countDistinct("source").alias("sources"))
+    return tables.retrieval_diagnostics(rows.withColumns({"utilisation": none, "bm25_only": F.lit(True), "overlap_ratio": none, "generation": none, "retrieval": none}))
+
+
+@query("select vec_id, len(embedding)::bigint as dimension from embeddings")
+def checked_dimension(spark, d):
+    points = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return incremental.checked_dimension(points, "embedding", points.select(F.size("embedding")).first()[0]).select("vec_id", F.size("embedding").cast("long").alias("dimension"))
+
+
+@query(f"with {S.RANKINGS} select source, (chunk_index // 4)::varchar as page, count(*) as rows from rankings group by 1, 2 order by rows desc, source, page limit 20")
+def page_distribution(spark, d):
+    return tables.page_distribution(variant_rankings(spark, d).withColumn("page", F.floor(F.col("chunk_index") / 4)))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,20 +142,42 @@ def load_benchmark(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_manifest(spark: SparkSession, path: str, version: int, root: str) -> DataFrame:
-    """Manifest entries; empty where the version or root is another."""
-    schema = "relative_path string, sha256 string, size_bytes long, modified_time double, chunk_count long, document_id string, index_version int, root string"
+_MANIFEST = "relative_path string, sha256 string, size_bytes long, modified_time double, chunk_count long, document_id string, index_version int, root string"
+
+
+def _manifest_runs(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the manifests written under a path; an empty one has a file too."""
     try:
-        rows = spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        files = spark.read.schema(_MANIFEST).parquet(path).inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], schema)
+        return []
+    return sorted({int(n) for f in files for n in re.findall(r"/run=(\d+)/", f)})
+
+
+def read_manifest(spark: SparkSession, path: str, version: int, root: str) -> DataFrame:
+    """Entries of the last manifest under ``path``; empty where there is none or the version or root is another."""
+    runs = _manifest_runs(spark, path)
+    rows = spark.read.schema(_MANIFEST).parquet(f"{path}/run={runs[-1]}") if runs else spark.createDataFrame([], _MANIFEST)
     return rows.filter((F.col("index_version") == version) & (F.col("root") == root))
 
 
 def write_manifest(entries: DataFrame, path: str, version: int, root: str) -> None:
-    entries.withColumn("index_version", F.lit(version)).withColumn("root", F.lit(root)).write.mode("overwrite").parquet(path)
+    """Writes the next manifest under ``path``: entries may be made from the last one, which stays as it is."""
+    runs = _manifest_runs(entries.sparkSession, path)
+    rows = entries.withColumn("index_version", F.lit(version)).withColumn("root", F.lit(root))
+    rows.write.mode("errorifexists").parquet(f"{path}/run={runs[-1] + 1 if runs else 1}")
+
+
+def merge_manifest(old: DataFrame, plan: DataFrame, processed: DataFrame) -> DataFrame:
+    """The next manifest's entries: those of unchanged files as they were, and what was processed in this run.
+
+    ``plan`` has (relative_path, change_type); deleted files and changed ones that weren't processed have no entry.
+    """
+    same = plan.filter("change_type = 'unchanged'").select("relative_path")
+    kept = old.join(same, "relative_path", "left_semi").join(processed.select("relative_path"), "relative_path", "left_anti")
+    return kept.unionByName(processed, allowMissingColumns=True)
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:

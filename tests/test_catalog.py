@@ -16,7 +16,7 @@ SOME = [
     "event_sessions", "sliding_windows", "consensus", "readiness_scores",
     "recall_at_k", "direct_support", "context_budget", "citation_match", "evidence_match", "marker_resolve", "final_context_inclusion", "fallback_sufficient", "context_build", "compression_ratio", "section_lengths",
     "context_headers", "section_details", "question_traces", "ocr_summary", "agent_latency", "timing_table", "chart_totals", "agent_chain", "draft_preservation", "review_defaults", "evidence_records", "safe_names",
-    "smoke_mode", "evaluation_join", "normalized_results", "page_distribution", "table_rerank",
+    "smoke_mode", "evaluation_join", "normalized_results", "table_rerank", "selection_diagnostics", "retrieval_diagnostics", "checked_dimension", "section_coverage", "corpus_fingerprint",
 ]
 
 
