@@ -22,3 +22,27 @@ link as (select a, b from pair join n p on p.doc_id = a join n q on q.doc_id = b
 reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join link l on l.a = r.b)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.b) as component_id, d.doc_id = min(r.b) as kept from d left join n on n.doc_id = d.doc_id join reach r on r.a = d.doc_id group by d.doc_id, n.n
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+q as (select item_id, term, count(*) as qtf from (select item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+c as (select count(*)::bigint as nn, sum(len(w))::bigint as ll from d where len(w) > 0),
+p as (select doc_id, n, term, count(*)::bigint as tf from (select doc_id, len(w)::bigint as n, unnest(w) as term from d) group by all),
+t as (select term, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)))::bigint as weight from p, c group by term, nn),
+s as (select item_id, doc_id, sum(qtf * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * nn) // ll)))))::bigint as score from q join p using (term) join t using (term), c group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s where score > 0 qualify rank <= 10
+"""
+
+OP12 = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, w, least(len(w), 10) as m from (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark) where len(w) > 0),
+pass as (select distinct item_id, m, array_to_string(w[i:i + m - 1], ' ') as s from b, unnest(range(1, len(w) - m + 2)) r(i)),
+win as (select doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') as s from d, (select distinct m from b), unnest(range(1, len(w) - m + 2)) r(i)),
+hit as (select doc_id, win.m, i, item_id from win join pass on pass.m = win.m and pass.s = win.s),
+word as (select doc_id, count(distinct j)::bigint as n_hit from (select distinct doc_id, m, i from hit), unnest(range(i, i + m)) r(j) group by doc_id),
+item as (select doc_id, list_sort(list(distinct item_id::varchar)) as items from hit group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join word on word.doc_id = d.doc_id left join item on item.doc_id = d.doc_id
+"""

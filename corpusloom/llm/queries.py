@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import ann, langid, mixing, oracles, packing, pu_quality, rules, setsketch, substring, tokenfile, toxicity
+from corpusloom.llm import ann, langid, maxscore, mixing, oracles, packing, pu_quality, rules, setsketch, substring, tokenfile, toxicity, variants, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,5 +60,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_source_mix, op3_nearest, op4_substring, op5_near_duplicates, op6_weak_quality, op7_toxicity, op8_token_file, op9_packing, op10_quality)}
-ORACLES: dict[str, str] = {"op4_substring": oracles.OP4, "op5_near_duplicates": oracles.OP5}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(maxscore.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_source_mix, op3_nearest, op4_substring, op5_near_duplicates, op6_weak_quality, op7_toxicity, op8_token_file, op9_packing, op10_quality, op11_ranked_search, op12_contamination, op13_spelling_variants)}
+ORACLES: dict[str, str] = {"op4_substring": oracles.OP4, "op5_near_duplicates": oracles.OP5, "op11_ranked_search": oracles.OP11, "op12_contamination": oracles.OP12}
