@@ -75,8 +75,52 @@ def summarize_experiments(rows: DataFrame, means: Sequence[str] = ()) -> DataFra
     )
 
 
+#: Means of an experiment, by the column they are taken of.
+MEANS = {
+    "keyword_coverage": "keyword_score", "citation_quality": "citation_quality", "average_citation_count": "citation_count", "average_latency": "total_latency", "average_retrieval_latency": "retrieval_latency",
+    "average_context_construction_latency": "context_construction_latency", "average_generation_latency": "generation_latency", "average_context_size": "final_context_characters", "average_context_tokens": "context_tokens",
+    "average_context_sections": "final_context_sections", "average_retrieved_chunks": "chunks_before_deduplication", "average_deduplicated_chunks": "chunks_after_deduplication",
+    "average_expanded_chunks": "chunks_after_neighbor_expansion", "average_merged_sections": "merged_context_sections",
+}
+DIMENSIONS = {"category": "uncategorized", "difficulty": "unknown"}
+
+
+def aggregate_experiment(rows: DataFrame, means: Mapping[str, str] = MEANS, dimensions: Mapping[str, str] = DIMENSIONS) -> DataFrame:
+    """(experiment_id, dimension, value, question_count, accuracies, hallucination_rate, means): all questions of an experiment, and those of each category and difficulty, by grouping sets in one aggregate.
+
+    A column of ``means`` that the rows lack, and a cell that is null or no number, counts as 0; a null dimension has its default as value; should_answer is true where it is null.
+    Rates of no rows are 0. All numbers have six digits.
+    """
+    known = {c.lower() for c in rows.columns}
+    zero = F.lit(0.0)
+    numbers = {out: F.coalesce(F.col(c).try_cast("double"), zero) if c.lower() in known else zero for out, c in means.items()}
+    good, asked = F.coalesce(F.col("passed"), F.lit(False)).cast("int"), F.coalesce(F.col("should_answer"), F.lit(True))
+    base = rows.select(
+        "experiment_id", *[F.coalesce(F.col(d).cast("string"), F.lit(default)).alias(d) for d, default in dimensions.items()], good.alias("_good"), asked.alias("_asked"),
+        F.coalesce(F.col("hallucinated"), F.lit(False)).cast("int").alias("_wrong"), *[n.alias(f"_{out}") for out, n in numbers.items()],
+    )
+    names = list(dimensions)
+    rate = lambda c: F.coalesce(F.round(F.avg(c), 6), zero)
+    out = base.groupingSets([["experiment_id"], *[["experiment_id", d] for d in names]], "experiment_id", *names).agg(
+        *[F.grouping(d).alias(f"_of_{d}") for d in names], F.count("*").alias("question_count"), rate("_good").alias("answer_accuracy"),
+        rate(F.when(F.col("_asked"), F.col("_good"))).alias("supported_answer_accuracy"), rate(F.when(~F.col("_asked"), F.col("_good"))).alias("unsupported_question_accuracy"),
+        rate("_wrong").alias("hallucination_rate"), *[rate(f"_{m}").alias(m) for m in means],
+    )
+    dimension = F.coalesce(*[F.when(F.col(f"_of_{d}") == 0, d) for d in names], F.lit("all"))
+    value = F.coalesce(*[F.when(F.col(f"_of_{d}") == 0, F.col(d)) for d in names], F.lit("all"))
+    numbers_out = [c for c in out.columns if c not in ("experiment_id", *names) and not c.startswith("_of_")]
+    return out.select("experiment_id", dimension.alias("dimension"), value.alias("value"), *numbers_out)
+
+
+def experiment_records(aggregated: DataFrame, dimensions: Sequence[str] = tuple(DIMENSIONS)) -> DataFrame:
+    """One row per experiment of ``aggregate_experiment``: its numbers over all questions, and a map of pass rates for each dimension, keys sorted."""
+    whole = aggregated.filter("dimension = 'all'").drop("dimension", "value")
+    maps = aggregated.groupBy("experiment_id").agg(*[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("dimension") == d, F.struct("value", "answer_accuracy"))))).alias(f"pass_rate_by_{d}") for d in dimensions])
+    return whole.join(maps, "experiment_id")
+
+
 def pass_rates(rows: DataFrame, *by: str) -> DataFrame:
-    """Pass rate by experiment and by each of ``by`` alone: (experiment_id, dimension, value, questions, pass_rate), one scan by grouping sets."""
+    """Pass rate by experiment and by each of ``by`` alone: (experiment_id, dimension, value, questions, pass_rate). Each row is counted once for each of ``by``."""
     named = rows.select("experiment_id", F.col("passed").cast("int").alias("good"), F.explode(F.array(*[F.struct(F.lit(b).alias("dimension"), F.coalesce(F.col(b).cast("string"), F.lit("unknown")).alias("value")) for b in by])).alias("d"))
     return named.groupBy("experiment_id", "d.dimension", "d.value").agg(F.count("*").alias("questions"), F.round(F.avg("good"), 6).alias("pass_rate"))
 
@@ -104,6 +148,25 @@ def recommendations(ranked: DataFrame) -> DataFrame:
     )
 
 
+STAGE_LATENCIES = {"retrieval": "average_retrieval_latency", "context construction": "average_context_construction_latency", "generation": "average_generation_latency"}
+
+
+def tradeoffs(ranked: DataFrame, stages: Mapping[str, str] = STAGE_LATENCIES) -> DataFrame:
+    """One row: the best experiment against the fastest, and where the best one spends its time.
+
+    (best_overall, fastest, accuracy_delta, latency_delta, bottleneck, bottleneck_seconds); latency_delta is relative, 0 where the fastest takes no time. The better
+    rank, and the stage named first, win ties. ``ranked`` is what ``rank_experiments`` gives, with the mean latencies of ``stages``.
+    """
+    row = F.struct("experiment_id", F.coalesce("answer_accuracy", F.lit(0.0)).alias("accuracy"), F.coalesce("average_latency", F.lit(0.0)).alias("latency"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in stages.values()])
+    both = ranked.agg(F.min_by(row, "rank").alias("b"), F.min_by(row, F.struct(F.coalesce("average_latency", F.lit(0.0)), "rank")).alias("f"))
+    most = F.greatest(*[F.col(f"b.{c}") for c in stages.values()])
+    name = F.coalesce(*[F.when(F.col(f"b.{c}") == most, n) for n, c in stages.items()])
+    return both.filter("b is not null").select(
+        F.col("b.experiment_id").alias("best_overall"), F.col("f.experiment_id").alias("fastest"), F.round(F.col("b.accuracy") - F.col("f.accuracy"), 6).alias("accuracy_delta"),
+        F.coalesce(F.round(F.try_divide("b.latency", "f.latency") - 1, 6), F.lit(0.0)).alias("latency_delta"), name.alias("bottleneck"), F.round(most, 6).alias("bottleneck_seconds"),
+    )
+
+
 def experiment_grid(spark: SparkSession, options: Mapping[str, Sequence], prefix: str = "exp") -> DataFrame:
     """(experiment_id, one column for each option): the product of all options, in order, the last varying fastest."""
     if not all(options.values()):
@@ -137,6 +200,49 @@ def run_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def run_report(rows: DataFrame) -> DataFrame:
+    """One row on a run: questions by outcome, mean latencies, chunks and tokens, and accuracy over the judged questions.
+
+    ``rows`` has (status, answer_status, total_latency, retrieval_latency, retrieved_chunks, context_tokens, passed, hallucinated, citation_quality); the last three are null where a question
+    isn't judged, and the rates are null where none is. Null numbers count as 0; answer statuses are compared without regard to case, blanks or underscores. Without rows all is 0 or null.
+    """
+    status = F.regexp_replace(F.lower(F.coalesce("answer_status", F.lit(""))), " ", "_")
+    mean = lambda c: F.coalesce(F.round(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), 6), F.lit(0.0))
+    judged = lambda c: F.round(F.avg(F.when(F.col("passed").isNotNull(), F.coalesce(F.col(c).cast("double"), F.lit(0.0)))), 6)
+    names = {"answered_questions": "answered", "insufficient_evidence_questions": "insufficient_evidence", "unsupported_query_questions": "unsupported_query", "generation_failed_questions": "generation_failed"}
+    good = F.coalesce(F.col("status") == "success", F.lit(False))
+    return rows.agg(
+        F.count("*").alias("question_count"), F.count_if(good).alias("successful_questions"), F.count_if(~good).alias("failed_questions"), *[F.count_if(status == v).alias(k) for k, v in names.items()],
+        mean("total_latency").alias("average_latency_seconds"), mean("retrieval_latency").alias("average_retrieval_latency_seconds"), mean("retrieved_chunks").alias("average_retrieved_chunks"), mean("context_tokens").alias("average_context_tokens"),
+        judged("passed").alias("answer_accuracy"), judged("hallucinated").alias("hallucination_rate"), judged("citation_quality").alias("citation_quality"),
+    )
+
+
+RERANKING_MEANS = {"average_token_reduction_percent": "token_reduction_percent", "average_reranker_score": "average_reranker_score", "average_selected_chunk_count": "selected_chunk_count", "average_discarded_chunk_count": "discarded_chunk_count", "average_selected_evidence_tokens": "selected_evidence_tokens"}
+RERANKING_SUMS = ("selected_chunk_count", "discarded_chunk_count")
+STRENGTHS = ("strong", "medium", "weak")
+
+
+def reranking_metrics(rows: DataFrame) -> DataFrame:
+    """(metric, name, value) on reranked and selected evidence: means, sums and counts (name null), and merged distributions with a row for each name.
+
+    ``rows`` has a row for each question: the numbers of RERANKING_MEANS, weak_evidence, and the maps strengths and discard_reasons (name to count). Null numbers and maps count as none; all
+    three strengths are listed, also without evidence. One aggregate gives the scalars, one explode all distributions.
+    """
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    scalars = rows.agg(
+        *[F.coalesce(F.round(F.avg(number(c)), 6), F.lit(0.0)).alias(m) for m, c in RERANKING_MEANS.items()], *[F.coalesce(F.sum(number(c)), F.lit(0.0)).alias(c) for c in RERANKING_SUMS],
+        F.count_if(F.coalesce("weak_evidence", F.lit(False))).cast("double").alias("weak_evidence_question_count"), F.count("*").cast("double").alias("question_count"),
+    )
+    tall = scalars.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.lit(None).cast("string").alias("name"), F.col(c).alias("value")) for c in scalars.columns])).alias("x")).select("x.*")
+    of = lambda metric, c: F.transform(F.map_entries(c), lambda e: F.struct(F.lit(metric).alias("metric"), e["key"].alias("name"), e["value"].cast("double").alias("value")))
+    named = {"evidence_strength": "strengths", "discard_reason": "discard_reasons"}
+    empty = F.array().cast("array<struct<metric:string,name:string,value:double>>")
+    entries = rows.select(F.explode(F.concat(*[F.coalesce(of(m, c), empty) for m, c in named.items()])).alias("x")).select("x.*")
+    listed = rows.sparkSession.createDataFrame([("evidence_strength", s, 0.0) for s in STRENGTHS], "metric string, name string, value double")
+    return tall.unionByName(entries.unionByName(listed).groupBy("metric", "name").agg(F.sum("value").alias("value")))
+
+
 def holders(documents: DataFrame, passages: DataFrame, key: str, window: int = 5) -> DataFrame:
     """(key, doc_id): the documents (doc_id, text) that hold a whole passage (key, passage) of at least ``window`` + 2 words.
 

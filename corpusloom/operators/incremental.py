@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import uuid5_url
+from corpusloom.sources import storage
 
 
 def indexing_plan(manifest: DataFrame, scan: DataFrame, rebuild: bool = False) -> DataFrame:
@@ -79,3 +81,38 @@ def fingerprint(corpus: DataFrame, order: list[str]) -> DataFrame:
     h = F.sha2(F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*order, "text"]]), 256)
     parts = [F.sum(F.conv(F.substring(h, i, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in (1, 13, 25, 37)]
     return corpus.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256).alias("fingerprint"))
+
+
+FANOUT, LEVELS = 1024, 4
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``number``, 0, 1, 2, ... in ``order``, nulls last: a range sort, a row's place in its range, and the sizes of the ranges before, one row each.
+
+    Rows that are equal in ``order`` are numbered in any way, so name enough columns.
+    """
+    columns = [F.col(c).asc_nulls_last() for c in order]
+    ranged = rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    # in one pass over the sorted ranges: the range, and the place in it
+    placed = ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33))
+    placed = storage.written(placed, "places")  # ranges are sampled: both readers below must see the same ones
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    out = placed.join(F.broadcast(before), "_range")  # a row for each range
+    return out.withColumn("number", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_range", "_before")
+
+
+def tree_fingerprint(corpus: DataFrame, order: list[str], columns: list[str], fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+    """One row (rows, fingerprint) that changes with any cell and with the order of rows, however they are partitioned.
+
+    Rows are numbered in ``order``, which settles all ties but of equal rows; a leaf is the digest of a row's ``columns``, and on each level the digests of ``fanout``
+    consecutive nodes, joined in order, give the one of the node above. Order counts by place, so what is digested needn't hold it.
+    A node's children meet by number, so no task holds more than ``fanout`` digests of a node. Holds for up to fanout ** levels rows.
+    """
+    leaf = F.sha2(F.concat(*[F.concat(F.coalesce(F.col(c).cast("string"), F.lit("\x01")), F.lit("\x00")) for c in columns]), 256)
+    nodes = numbered(corpus.select(*order, leaf.alias("digest")), [*order, "digest"]).select("number", "digest")
+    rows = nodes.agg(F.count("*").alias("rows"))
+    for _ in range(levels):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "digest"))), lambda x: x["digest"]), "")
+        nodes = nodes.groupBy(F.floor(F.col("number") / fanout).alias("_up")).agg(F.sha2(joined, 256).alias("digest")).select(F.col("_up").alias("number"), "digest")
+    return rows.crossJoin(F.broadcast(nodes.agg(F.max("digest").alias("top")))).select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), F.coalesce("top", F.lit(""))), 256).alias("fingerprint"))

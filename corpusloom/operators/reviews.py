@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clamp
@@ -150,3 +153,49 @@ def agent_latency(events: DataFrame, agents: DataFrame) -> DataFrame:
     spent = events.groupBy("agent").agg(F.sum("latency_ms").alias("spent"), F.count("*").alias("runs"))
     out = agents.select("agent").join(spent, "agent", "left")
     return out.select("agent", F.round(F.coalesce("spent", F.lit(0.0)), 2).alias("milliseconds"), F.coalesce("runs", F.lit(0)).cast("long").alias("runs"))
+
+
+# Fixed values that results depend on: what in an issue's text speaks for a category.
+CRITIC_CATEGORIES = {
+    "Completeness": ("complete", "missing section"),
+    "Structure": ("structure", "organization"),
+    "Missing caveats": ("caveat",),
+    "Repetition": ("repeat",),
+    "Weak reasoning": ("reason", "priorit"),
+    "Unanswered parts": ("unanswered", "not answer"),
+}
+RISK_CATEGORIES = ("operational", "cybersecurity", "aviation safety", "governance", "compliance")
+
+
+def critic_categories(issues: DataFrame, categories: Mapping[str, Sequence[str]] = CRITIC_CATEGORIES) -> DataFrame:
+    """(category, issues): how many issues name a term of each category, 0 included. ``issues`` has (issue); an issue counts in every category it speaks for, null in none."""
+    text = F.lower(F.coalesce("issue", F.lit("")))
+    counts = issues.agg(*[F.count_if(reduce(or_, [F.contains(text, F.lit(t)) for t in terms])).alias(f"_{i}") for i, terms in enumerate(categories.values())])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"_{i}").alias("issues")) for i, c in enumerate(categories)])).alias("x")).select("x.*")
+
+
+def source_diversity(evidence: DataFrame, dimensions: Sequence[str], most: int = 8, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., dimension, value, rows, place): the ``most`` values with most rows of each dimension, in one pass over the evidence; null and empty are "unknown", ties go to the smaller value."""
+    named = evidence.select(*by, F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.nullif(F.col(d).cast("string"), F.lit("")), F.lit("unknown")).alias("value")) for d in dimensions])).alias("x")).select(*by, "x.*")
+    counts = named.groupBy(*by, "dimension", "value").agg(F.count("*").alias("rows"))
+    place = F.row_number().over(W.partitionBy(*by, "dimension").orderBy(F.desc("rows"), "value"))
+    return counts.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def risk_matrix(risks: DataFrame, by: str, categories: Sequence[str] = RISK_CATEGORIES) -> DataFrame:
+    """(by, category, severity, likelihood, mitigation): the last risk (by ordinal) of each known category, for each ``by`` that has any risk.
+
+    Categories are compared without case, an underscore as a blank; those without a risk are "not assessed" and "not specified", as are null cells. All categories are taken in one aggregate.
+    """
+    name = F.lower(F.replace("category", F.lit("_"), F.lit(" ")))
+    last = risks.groupBy(by).agg(*[F.max_by(F.when(name == c, F.struct("severity", "likelihood", "mitigation")), F.when(name == c, F.col("ordinal"))).alias(f"_{i}") for i, c in enumerate(categories)])
+    none = {"severity": "not assessed", "likelihood": "not assessed", "mitigation": "not specified"}
+    cells = [F.struct(F.lit(c).alias("category"), *[F.coalesce(F.col(f"_{i}.{k}"), F.lit(v)).alias(k) for k, v in none.items()]) for i, c in enumerate(categories)]
+    return last.select(by, F.explode(F.array(*cells)).alias("x")).select(by, "x.*")
+
+
+def modality_counts(evidence: DataFrame, modalities: Sequence[str]) -> DataFrame:
+    """(query_id, evidence_count, sufficiency, sources, one column for each modality) from (query_id, source, score, modality); null is text. As ``evidence_metrics``, with the counts of its modalities."""
+    kind = F.lower(F.coalesce(F.nullif("modality", F.lit("")), F.lit("text")))
+    counts = evidence.groupBy("query_id").agg(*[F.count_if(kind == m).alias(m) for m in modalities])
+    return evidence_metrics(evidence).join(counts, "query_id")

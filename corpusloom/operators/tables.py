@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -184,3 +186,17 @@ def mode_limit(questions: DataFrame, mode: str, order: str, cap: int | None = No
     """The questions of a run mode: the first three of a smoke run, as many as asked for of a manual one, all of a benchmark."""
     n = 3 if mode == "smoke" else cap if mode == "manual" else None
     return questions.orderBy(order).limit(n) if n is not None else questions
+
+
+CELLS = 200
+
+
+def heatmap(rows: DataFrame, x: str, y: str, value: str, values: Sequence[str]) -> DataFrame:
+    """(y, one column for each of ``values``): the mean of ``value`` for each pair, 0 where there is none, six digits.
+
+    ``values`` states the columns, so nothing is scanned to find them and a new value can't widen the table; null is its own row.
+    """
+    if not 0 < len(values) <= CELLS or len(set(values)) < len(values):
+        raise ValueError(f"state 1 to {CELLS} different values of {x}")
+    out = rows.groupBy(y).pivot(x, list(values)).agg(F.round(F.avg(F.col(value).cast("double")), 6))
+    return out.select(y, *[F.coalesce(F.col(f"`{v}`"), F.lit(0.0)).alias(str(v)) for v in values])

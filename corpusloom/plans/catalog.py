@@ -16,6 +16,7 @@ from corpusloom.operators import answers, chunks, context, dense, evaluation, ev
 from corpusloom.plans import sql as S
 from corpusloom.sources import corpus, storage
 from corpusloom.streaming import events as E
+from corpusloom.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,12 +55,17 @@ def of_tables(spark, d, *names: str) -> str:
     return storage.version(spark, *[f"{d}/{n}.parquet" for n in names])
 
 
+#: What decides on the content of stored postings, terms and rankings besides their tables.
+INDEXED_BY = (X.WORD_PATTERN, lexical.EPSILON)
+RANKED_BY = (*INDEXED_BY, lexical.K1, lexical.B, variants.POLITE, variants.LEAD, variants.DOMAIN_LEAD, tuple(variants.GLOSSARY.items()))
+
+
 def stored_index(spark, d, name: str, texts: Callable[[], DataFrame], key: str) -> lexical.Index:
-    """The lexical index of a corpus made from ``documents``: written once for each version of that table."""
+    """The lexical index of a corpus made from ``documents``: written once for each version of that table and of what decides on it."""
     at = of_tables(spark, d, "documents")
-    postings = storage.stored(spark, f"{name}-postings", at, lambda: lexical.postings(texts(), key).repartition("term").sortWithinPartitions("term"))
-    stats = storage.stored(spark, f"{name}-stats", at, lambda: lexical.corpus_stats(texts()))
-    return lexical.Index(postings, storage.stored(spark, f"{name}-terms", at, lambda: lexical.term_stats(postings, stats)), stats)
+    postings = storage.stored(spark, f"{name}-postings", at, lambda: lexical.postings(texts(), key).repartition("term").sortWithinPartitions("term"), INDEXED_BY)
+    stats = storage.stored(spark, f"{name}-stats", at, lambda: lexical.corpus_stats(texts()), INDEXED_BY)
+    return lexical.Index(postings, storage.stored(spark, f"{name}-terms", at, lambda: lexical.term_stats(postings, stats), INDEXED_BY), stats)
 
 
 def lines_index(spark, d) -> lexical.Index:
@@ -78,7 +84,7 @@ def variant_rankings(spark, d, k: int = 10) -> DataFrame:
         found = lexical.search(v, lines_index(spark, d), k, by=["query_id", "variant_order", "technique"])
         return found.join(lines(spark, d), "chunk_id")
 
-    return storage.stored(spark, f"rankings-{k}", of_tables(spark, d, "documents", "benchmark"), build)
+    return storage.stored(spark, f"rankings-{k}", of_tables(spark, d, "documents", "benchmark"), build, RANKED_BY)
 
 
 def results(spark, d) -> DataFrame:
@@ -626,9 +632,11 @@ def event_spans(spark, d):
     return E.spans(run_events(spark, d), "run_started", "question_completed", ["run_id"])
 
 
-@query(f"with {S.RUN_EVENTS} select run_id, cast(floor(epoch_us(ts) / 1000000.0 / 3600) as bigint) as slot, arg_min(seq, (ts, seq)) as seq from run_events group by 1, 2")
+@query(f"""with recursive {S.RUN_EVENTS}, n as (select run_id, seq, first_value(seq) over (partition by run_id order by ts range between interval '1 hour' following and unbounded following) as after from run_events),
+t as (select run_id, arg_min(seq, (ts, seq)) as seq from run_events group by 1 union all select n.run_id, n.after from t join n on n.run_id = t.run_id and n.seq = t.seq where n.after is not null)
+select run_id, ts, seq from t join run_events using (run_id, seq)""")
 def event_throttle(spark, d):
-    return E.throttle(run_events(spark, d), 3600, "run_id")
+    return live.throttle(run_events(spark, d), 3600, "run_id")
 
 
 @query("select time_bucket(interval '1 day', ts, timestamp '1970-01-01') as window_start, event_type, count(*) as events, round(sum(value), 4) as total from events group by 1, 2")

@@ -34,6 +34,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS[app]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of this application in the shared folder: what reads it twice sees the same rows, and a lost executor doesn't cost what came before."""
+    path = f"{shared_folder(df.sparkSession)}/corpusloom/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,4 +1,4 @@
-"""Event streams: windows with watermarks, run progress, replay, idempotent upserts.
+"""Event streams: windows with watermarks, run progress, replay, spans, fan-out of micro-batches.
 
 Each function takes a batch or a streaming frame with an event time ``ts``.
 """
@@ -72,14 +72,6 @@ def spans(events: DataFrame, started: str, completed: str, key: list[str]) -> Da
     return out.select(*key, "started_at", F.col("ts").alias("completed_at"), F.round(F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("ts")) / 1e6, 3).alias("seconds"))
 
 
-def throttle(events: DataFrame, seconds: float, key: str) -> DataFrame:
-    """At most one event of a key in each interval: the first of every aligned slot."""
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    slot = F.floor(F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz")) / (seconds * 1e6))
-    first = events.groupBy(key, slot.cast("long").alias("slot")).agg(F.min(F.struct("ts", "seq")).alias("f"))
-    return first.select(key, "slot", F.col("f.seq").alias("seq"))
-
-
 def write_each(stream: DataFrame, handlers: list[Callable[[DataFrame, int], None]], checkpoint: str):
     """Fans each micro-batch out to the handlers; one that raises doesn't keep the others from it, and the batch fails afterwards."""
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from corpusloom.plans import catalog
+from corpusloom.plans import catalog, reports  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 SOME = [
@@ -17,6 +17,8 @@ SOME = [
     "recall_at_k", "direct_support", "context_budget", "citation_match", "evidence_match", "marker_resolve", "final_context_inclusion", "fallback_sufficient", "context_build", "compression_ratio", "section_lengths",
     "context_headers", "section_details", "question_traces", "ocr_summary", "agent_latency", "timing_table", "chart_totals", "agent_chain", "draft_preservation", "review_defaults", "evidence_records", "safe_names",
     "smoke_mode", "evaluation_join", "normalized_results", "table_rerank", "selection_diagnostics", "retrieval_diagnostics", "checked_dimension", "section_coverage", "corpus_fingerprint",
+    "live_run_state", "event_throttle", "running_metrics", "incremental_postings", "incremental_terms", "corpus_tree_fingerprint", "resumed_batch", "token_codec", "token_budget_words", "experiment_aggregate", "experiment_records", "experiment_tradeoffs",
+    "accuracy_heatmap", "run_report", "reranking_metrics", "critic_categories", "source_diversity", "risk_matrix", "evidence_modalities", "settled_questions", "gained_questions",
 ]
 
 
