@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -178,12 +177,13 @@ def parts(word: str) -> list[str]:
 def train(docs: DataFrame, pieces: list[str], per_language: int = PER_LANGUAGE, seed: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, piece probabilities, log priors) from rows that are not held out and have a language."""
     known = docs.filter(F.col("lang").isNotNull() & F.coalesce(id_hash("doc_id", FOLDS) != HELD, F.lit(False)))
-    counts = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())  # a row for each language
+    rates = write_table(known.groupBy("lang").count(), "languages")
+    counts = sorted((r["lang"], r["count"]) for r in rates.collect())  # a row for each language
     languages = [c[0] for c in counts]
     if not languages:
         return [], np.empty((0, 0)), np.empty(0)
-    keep = reduce(lambda a, b: a | b, [(F.col("lang") == k) & (spread("doc_id", seed) < min(1.0, per_language / n)) for k, n in counts])
-    sample = known.filter(keep).select("lang", "text")
+    # rates meet rows by language, however many there are; the written table's size lets Spark broadcast it where it is small
+    sample = known.select("doc_id", "lang", "text").join(rates, "lang").filter(spread("doc_id", seed) < F.lit(float(per_language)) / F.col("count")).select("lang", "text")
     words = over_rows(sample, lambda: lambda lang, text: [(lang, p) for w in set(normal_words(text)) for p in parts(w)], "lang string, word string", many=True)
     rows = write_table(words.groupBy("word", "lang").count(), "language-words").collect()  # of the bounded sample
     place = {k: i for i, k in enumerate(languages)}
