@@ -3,7 +3,7 @@
 Every document belongs to a source. A source's target is its share by weight of
 all words, at most ``max_repeats`` times its size; what it can't use goes to
 the others by weight. The words of a source lie in shards (a seeded hash of the
-document) of bounded words and rows, and each shard is cut into blocks of ``block_words`` words. Equal
+document's id and text, so rows without an id are dealt out too, but for equal ones) of bounded words and rows, and each shard is cut into blocks of ``block_words`` words. Equal
 blocks are allotted to sources, and within a source to its shards, by the
 highest quotients target / (2 seats + 1). In a shard all blocks are taken as
 often as its quota fills it, and a seeded choice of blocks once more.
@@ -124,17 +124,18 @@ def repeat_documents(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_W
 
 def _taken(docs: DataFrame, seed: int, block_words: int, shard_words: int, max_repeats: int, keep: list[str]) -> DataFrame:
     """The columns of ``mix`` with source, shard and those in ``keep``, which also settle the order of rows with the same id."""
-    sizes = write_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep), "mix-sizes")
+    # rows without an id, or with the same one, mustn't all lie in one shard: their texts tell them apart
+    sizes = write_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_salt"), *keep), "mix-sizes")
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("_rows"))
     sources = weight_targets(by_source.withColumn("weight", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1), max_repeats)
     sources = sources.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / F.lit(shard_words)), F.ceil(F.col("_rows") / F.lit(SHARD_ROWS))).cast("long")).select("source", "source_size", "target", "shards")
 
     # a document's place in its shard: words of the shard before it, in a seeded order
     # documents without words take nothing and lie in no shard
-    located = sizes.join(sources.select(F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    located = sizes.drop("_salt").join(sources.select(F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     empty = located.filter("size = 0").withColumns({"shard": F.lit(0).cast("long"), "_taken": F.lit(0).cast("long")})
     placed = sizes.filter("size > 0").join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    placed = placed.withColumn("_mix", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod(F.col("_mix"), F.greatest("shards", F.lit(1))))
+    placed = placed.withColumn("_mix", F.xxhash64(F.lit(seed), "doc_id", "_salt")).withColumn("shard", F.pmod(F.col("_mix"), F.greatest("shards", F.lit(1))))
     in_shard = W.partitionBy("source", "shard").orderBy("_mix", "doc_id", "size", *keep).rowsBetween(W.unboundedPreceding, 0)
     placed = placed.withColumn("end", F.sum("size").over(in_shard)).select("doc_id", "source", "size", "source_size", "target", "shard", "end", *keep)
     placed = write_table(placed, "mix-placed")
