@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, per_side: int = PER_SIDE, seed: in
     """(weights, bias), or None without positives. Fits on the driver over two bounded samples."""
     positives = labelled_texts(docs, labels.filter("quality = 1"), "quality", per_side, seed).select("text", F.lit(1).alias("side"))
     share = min(1.0, per_side / max(docs.count(), 1))
-    unlabelled = write_table(docs.filter(spread("doc_id", seed + 1) < share).select("text", F.lit(0).alias("side")), "unlabelled")
+    unlabelled = write_table(docs.filter(F.when(F.col("doc_id").isNull(), spread("text", seed + 1)).otherwise(spread("doc_id", seed + 1)) < share).select("text", F.lit(0).alias("side")), "unlabelled")  # rows without an id by their text
 
     def make():
         shapes, hashes = Shapes(), WordHashes()
