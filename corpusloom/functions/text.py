@@ -102,3 +102,22 @@ def slug(c: Column, default: str = "question", most: int = 64) -> Column:
     """Letters, digits, dots and hyphens of a text; everything else in a run is one underscore."""
     name = F.regexp_replace(F.regexp_replace(F.trim(c), r"[^\p{L}\p{N}\p{M}_.-]+", "_"), r"^[._]+|[._]+$", "")
     return F.coalesce(F.nullif(F.left(name, F.lit(most)), F.lit("")), F.lit(default))
+
+
+def iso_time(ts: Column) -> Column:
+    """A time as ISO 8601 in UTC with microseconds: 2024-05-01T06:07:08.000009+00:00."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def parsed_time(c: Column) -> Column:
+    """The time in an ISO 8601 text with or without an offset (then UTC), a blank or a T between date and time; null where there is none."""
+    t = F.regexp_replace(F.trim(c), r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
+    t = F.regexp_replace(t, r"([T ]\d{2}:\d{2})(Z|[+-]\d{2}:\d{2})?$", "$1:00$2")
+    whole = F.regexp_like(t, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?$"))
+    placed = F.when(F.regexp_like(t, F.lit(r"(?:Z|[+-]\d{2}:\d{2})$")), t).otherwise(F.concat(t, F.lit("Z")))
+    return F.when(whole, placed).try_cast("timestamp")
+
+
+def elapsed_seconds(start: Column, end: Column, digits: int = 6) -> Column:
+    """Seconds from start to end, never below 0."""
+    return F.greatest(F.round((F.unix_micros(end) - F.unix_micros(start)) / 1e6, digits), F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -148,6 +148,50 @@ def prompts(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     return questions.join(contexts, "query_id", "left").select("query_id", F.when(F.coalesce("context", F.lit("")) != "", text).alias("prompt"))
 
 
+#: What an answer is made of, by words of its question; the first that fits. Our own.
+SHAPES = (
+    (r"\b(compare|difference|differences|versus|vs)\b", "a comparison, the main differences and a recommendation"),
+    (r"\b(steps|procedure|process)\b", "numbered steps, who owns them and what they depend on"),
+    (r"\b(risk|risks|threat|threats)\b", "the main risks, their effect and controls"),
+    (r"\b(should we|prioriti[sz]e)\b", "recommended actions in order, each with its reason"),
+    (r"\b(what is|define|explain)\b", "a short overview and the key concepts"),
+)
+
+
+def detailed_prompts(questions: DataFrame, contexts: DataFrame, shapes: Sequence[tuple[str, str]] = SHAPES, least_words: int | None = None, most_words: int | None = None) -> DataFrame:
+    """(query_id, prompt): as ``prompts``, asking for a structured answer of a length, and for caution where the evidence is weak.
+
+    ``contexts`` has (query_id, context, weak_evidence). The shape is that of the first pattern the question holds, else a direct answer with findings; the least
+    number of words never exceeds the most. Questions without context have no prompt.
+    """
+    text = F.lower(F.col("question"))
+    shape = F.coalesce(*[F.when(F.regexp_like(text, F.lit(pattern)), F.lit(s)) for pattern, s in shapes], F.lit("a direct answer and the findings behind it"))
+    low = least_words if most_words is None or least_words is None else min(least_words, most_words)
+    length = " ".join(x for x in (f"Write at least {low} words if the evidence carries them." if low else "", f"Write at most {most_words} words." if most_words else "") if x)
+    rules = ["Use the selected evidence only, and cite every claim and recommendation as [n].", "Say why each recommendation matters, and name what the evidence leaves open.", length]
+    caution = F.when(F.coalesce("weak_evidence", F.lit(False)), F.lit("\nAll of this evidence is weak: say so first, and advise a check of the sources.")).otherwise(F.lit(""))
+    prompt = F.concat(F.lit("\n".join(r for r in rules if r) + "\nGive "), shape, F.lit("."), caution, F.lit("\n\nSelected evidence:\n"), F.col("context"), F.lit("\n\nQuestion: "), F.col("question"))
+    return questions.join(contexts, "query_id", "left").select("query_id", F.when(F.coalesce("context", F.lit("")) != "", prompt).alias("prompt"))
+
+
+def composed_prompts(runs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(query_id, prompt, evidence_count): status, question, plan and quality of a run, and its evidence as JSON with reference ids in order of rank.
+
+    ``runs`` has (query_id, question, status, plan, quality), the last two as JSON or null; ``evidence`` has (query_id, rank, chunk_id, source, text, score), a capped list
+    for each question. A run without evidence has an empty list.
+    """
+    records = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "source", "score", "text"))), lambda x, i: F.struct((i + 1).alias("reference_id"), x["chunk_id"].alias("chunk_id"), x["source"].alias("source"), x["score"].alias("score"), x["text"].alias("content")))
+    held = evidence.groupBy("query_id").agg(records.alias("_all"))
+    out = runs.join(held, "query_id", "left")
+    shown = lambda title, c: F.concat(F.lit(f"\n\n{title}:\n"), c)
+    prompt = F.concat(
+        F.lit("Use the evidence below only and cite it as [n]. Keep what tables, figures and scans show. A status of unsupported_query or insufficient_evidence stands: don't force an answer."),
+        shown("Status", F.coalesce("status", F.lit("unknown"))), shown("Question", F.col("question")), shown("Plan", F.coalesce("plan", F.lit("{}"))), shown("Quality", F.coalesce("quality", F.lit("{}"))),
+        shown("Evidence", F.coalesce(F.to_json("_all"), F.lit("[]"))),
+    )
+    return out.select("query_id", prompt.alias("prompt"), F.coalesce(F.size("_all"), F.lit(0)).cast("long").alias("evidence_count"))
+
+
 def generate(prompted: DataFrame, model: Callable[[str], str], attempts: int = 3) -> DataFrame:
     """(query_id, answer, failed): a model on each executor; a call that raises is tried again, retrieval never is."""
 

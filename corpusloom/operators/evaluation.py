@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import collapse, fold, ratio
+from corpusloom.sources import storage
 
 # Fixed values that results depend on.
 SAFE_FAILURE_MARKERS = (
@@ -20,6 +21,8 @@ SAFE_FAILURE_MARKERS = (
     "cannot answer from",
     "not available in the",
 )
+#: Passages of one or two words that are looked for together.
+SHORT_PASSAGES = 1000
 WEIGHTS = {"accuracy": 0.55, "citation": 0.15, "safety": 0.20, "latency": 0.10}
 
 
@@ -244,15 +247,33 @@ def reranking_metrics(rows: DataFrame) -> DataFrame:
 
 
 def holders(documents: DataFrame, passages: DataFrame, key: str, window: int = 5) -> DataFrame:
-    """(key, doc_id): the documents (doc_id, text) that hold a whole passage (key, passage) of at least ``window`` + 2 words.
+    """(key, doc_id): the documents (doc_id, text) that hold a whole passage (key, passage) as a part of their text.
 
-    The words inside a passage are whole words of any text that holds it, so both are joined by the hash of the ``window`` words after
-    a passage's first one, and whole passages are compared after that. Shorter passages aren't looked for.
+    The words inside a passage are whole words of any text that holds it, so both are joined by a hash of up to ``window`` words after
+    a passage's first one, and whole passages are compared after that. Anchors are written first: where they are few, which Spark checks by their size, they are
+    broadcast, and a document's windows that are none of them end where they are made. Of passages of one or two words, which have no word inside, a bounded block at a time is
+    looked for in each text. Null and empty passages are held by nothing; a document that holds a passage twice is listed once.
     """
-    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    asked = passages.withColumn("_w", words("passage")).filter(F.size("_w") >= window + 2).select(key, "passage", F.xxhash64(F.slice("_w", 2, window)).alias("_anchor"))
-    held = documents.select("doc_id", words("text").alias("_w")).filter(F.size("_w") >= window).select(
-        "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - window + 1), lambda i: F.xxhash64(F.slice("_w", i, window))))).alias("_anchor")
-    )
-    pairs = held.join(asked, "_anchor").select("doc_id", key, "passage")
-    return pairs.join(documents, "doc_id").filter(F.contains("text", "passage")).select(key, "doc_id").distinct()
+    spark = documents.sparkSession
+    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    sized = passages.filter("passage != ''").select(key, "passage", words("passage").alias("_w"))
+    n = F.least(F.size("_w") - 2, F.lit(window))
+    asked = storage.written(sized.filter(F.size("_w") > 2).select(key, "passage", n.alias("_n"), F.xxhash64(F.slice("_w", F.lit(2), n)).alias("_anchor")), "passages")
+    lengths = sorted(r[0] for r in asked.select("_n").distinct().collect())  # at most ``window`` numbers
+    anchors = storage.written(asked.select("_n", "_anchor").distinct(), "anchors")
+    held = documents.select("doc_id", words("text").alias("_w"))
+    pairs = None
+    for m in lengths:
+        made = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - m + 1), lambda i: F.xxhash64(F.slice("_w", i, m))))  # noqa: B023
+        some = held.filter(F.size("_w") >= m).select("doc_id", F.explode(made).alias("_anchor")).join(anchors.filter(F.col("_n") == m), "_anchor").select("doc_id", "_n", "_anchor")
+        pairs = some if pairs is None else pairs.unionByName(some)
+    parts = []
+    if pairs is not None:
+        parts.append(pairs.join(asked, ["_n", "_anchor"]).select("doc_id", key, "passage").join(documents, "doc_id").filter(F.contains("text", "passage")).select(key, "doc_id"))
+    short = [r for r in sized.filter(F.size("_w") < 3).select(key, "passage").toLocalIterator()]
+    for at in range(0, len(short), SHORT_PASSAGES):
+        block = spark.createDataFrame(short[at : at + SHORT_PASSAGES], passages.select(key, "passage").schema)
+        parts.append(documents.join(F.broadcast(block), F.contains("text", "passage")).select(key, "doc_id"))  # one block of given passages
+    if not parts:
+        return passages.select(key).crossJoin(documents.select("doc_id")).limit(0)
+    return reduce(DataFrame.unionByName, parts).distinct()

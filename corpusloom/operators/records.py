@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,12 @@ def completeness(rows: DataFrame) -> DataFrame:
     return rows.withColumn("complete", there("source") & there("page_number") & there("chunk_id")).withColumn("citable", there("source") & there("chunk_id"))
 
 
+def citation_quality(citations: DataFrame) -> DataFrame:
+    """(..., metadata_complete): whether document, page_number, chunk_id, score and source_path are all given; an empty string isn't."""
+    given = [F.coalesce(F.col(c).cast("string"), F.lit("")) != "" for c in ("document", "page_number", "chunk_id", "score", "source_path")]
+    return citations.withColumn("metadata_complete", reduce(and_, given))
+
+
 def page_fragment(page: Column) -> Column:
     """Number of the first page of a page label, if it is above 0."""
     n = F.trim(F.element_at(F.split(page, ","), 1)).try_cast("int")

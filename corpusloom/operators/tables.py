@@ -141,6 +141,28 @@ def summarize_documents(docs: DataFrame, by: str) -> DataFrame:
     return docs.groupBy(by).agg(F.count("*").alias("documents"), F.sum(F.length("text")).cast("long").alias("chars"), F.round(F.avg(F.length("text")), 1).alias("avg_chars"))
 
 
+def document_report(docs: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """(dimension, value, documents, chars, avg_chars, sources): all documents, and those of each value of each dimension, in one aggregate by grouping sets.
+
+    ``docs`` has (text, source) and the dimensions; a null value is "unknown", null text has no characters. Sources are the different ones.
+    """
+    base = docs.select(F.length(F.coalesce("text", F.lit(""))).alias("_n"), F.col("source").alias("_s"), *[F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias(f"_{d}") for d in dimensions])
+    names = [f"_{d}" for d in dimensions]
+    out = base.groupingSets([[], *[[n] for n in names]], *names).agg(
+        *[F.grouping(n).alias(f"_of{n}") for n in names], F.count("*").alias("documents"), F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("chars"), F.coalesce(F.round(F.avg("_n"), 1), F.lit(0.0)).alias("avg_chars"), F.countDistinct("_s").alias("sources")
+    )
+    dimension = F.coalesce(*[F.when(F.col(f"_of_{d}") == 0, d) for d in dimensions], F.lit("all"))
+    value = F.coalesce(*[F.when(F.col(f"_of_{d}") == 0, F.col(f"_{d}")) for d in dimensions], F.lit("all"))
+    return out.select(dimension.alias("dimension"), value.alias("value"), "documents", "chars", "avg_chars", "sources")
+
+
+def final_sections(results: DataFrame, sections: DataFrame) -> DataFrame:
+    """(technique, final_sections): in how many final sections (query_id, section, chunk_ids) each technique's finds ended up, 0 included."""
+    held = sections.select("query_id", "section", F.explode("chunk_ids").alias("chunk_id"))
+    counts = results.select("query_id", "chunk_id", "technique").distinct().join(held, ["query_id", "chunk_id"]).groupBy("technique").agg(F.countDistinct("query_id", "section").alias("n"))
+    return results.select("technique").distinct().join(counts, "technique", "left").select("technique", F.coalesce("n", F.lit(0)).alias("final_sections"))
+
+
 def page_distribution(results: DataFrame, n: int = 20) -> DataFrame:
     out = results.groupBy("source", F.coalesce(F.col("page").cast("string"), F.lit("none")).alias("page")).agg(F.count("*").alias("rows"))
     return out.orderBy(F.desc("rows"), "source", "page").limit(n)

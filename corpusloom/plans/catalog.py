@@ -68,6 +68,10 @@ def stored_index(spark, d, name: str, texts: Callable[[], DataFrame], key: str)
     return lexical.Index(postings, storage.stored(spark, f"{name}-terms", at, lambda: lexical.term_stats(postings, stats), INDEXED_BY), stats)
 
 
+#: Of the collection that ``embeddings`` belongs to.
+DIMENSION = 64
+
+
 def lines_index(spark, d) -> lexical.Index:
     return stored_index(spark, d, "lines", lambda: lines(spark, d), "chunk_id")
 
@@ -225,7 +229,10 @@ def hybrid_topk(spark, d):
 
 @query(f"with {_BOTH} select 'dense' as mode, query_id, point_id as doc_id, rank from near union all select 'bm25', query_id, k, rank from ranked where rank <= 10 union all select 'hybrid', query_id, doc_id, row_number() over (partition by query_id order by rrf_score desc, seen, doc_id) as rank from fused qualify rank <= 10")
 def retrieval_modes(spark, d):
-    parts = [fusion.retrieve(m, retrievers(spark, d), 10, "doc_id").select(F.lit(m).alias("mode"), "query_id", "doc_id", F.col("rank").cast("long").alias("rank")) for m in ("dense", "bm25", "hybrid")]
+    """Each retriever searches once; all modes read its ranking."""
+    held = {n: storage.written(f(), f"mode-{n}") for n, f in retrievers(spark, d).items()}
+    shared = {n: (lambda df=df: df) for n, df in held.items()}
+    parts = [fusion.retrieve(m, shared, 10, "doc_id").select(F.lit(m).alias("mode"), "query_id", "doc_id", F.col("rank").cast("long").alias("rank")) for m in (*held, "hybrid")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -281,7 +288,7 @@ def stage_funnel(spark, d):
     return tables.funnel({"retrieved": variant_rankings(spark, d), "deduplicated": fusion.deduplicate(results(spark, d)), "seeds": s, "expanded": context.neighbor_expand(s, lines(spark, d))})
 
 
-@query("""with k as (select b.item_id, d.doc_id from (select * from benchmark where len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) >= 7) b join documents d on contains(d.text, b.text)), """ + S.index("select doc_id as k, text from documents") + ", " + S.bm25("select item_id as query_id, text as query from benchmark", ["query_id"]) + """
+@query("""with k as (select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)), """ + S.index("select doc_id as k, text from documents") + ", " + S.bm25("select item_id as query_id, text as query from benchmark", ["query_id"]) + """
 select count(*) as known, count(*) filter (r.k is not null) as found, round(count(*) filter (r.k is not null) / count(*), 6) as recall from k left join (select * from ranked where rank <= 10) r on r.query_id = k.item_id and r.k = k.doc_id""")
 def recall_at_k(spark, d):
     known = evaluation.holders(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")), "item_id")
@@ -986,7 +993,7 @@ def retrieval_diagnostics(spark, d):
 @query("select vec_id, len(embedding)::bigint as dimension from embeddings")
 def checked_dimension(spark, d):
     points = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return incremental.checked_dimension(points, "embedding", points.select(F.size("embedding")).first()[0]).select("vec_id", F.size("embedding").cast("long").alias("dimension"))
+    return incremental.checked_dimension(points, "embedding", DIMENSION).select("vec_id", F.size("embedding").cast("long").alias("dimension"))
 
 
 @query(f"with {S.RANKINGS} select source, (chunk_index // 4)::varchar as page, count(*) as rows from rankings group by 1, 2 order by rows desc, source, page limit 20")

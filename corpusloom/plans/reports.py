@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as X
 from corpusloom.functions.codec import Words
-from corpusloom.operators import context, evaluation, evidence, incremental, records, reviews, tables, variants
+from corpusloom.operators import answers, context, evaluation, evidence, incremental, records, reviews, tables, variants
 from corpusloom.plans import catalog
 from corpusloom.plans import sql as S
 from corpusloom.plans.catalog import lines, query, table
@@ -259,6 +260,71 @@ def evidence_modalities(spark, d):
     return reviews.modality_counts(catalog.top_evidence(spark, d).withColumn("modality", kind), records.MODALITIES).withColumn("sufficiency", F.round("sufficiency", 4))
 
 
+# --- documents, variants, citations, prompts -----------------------------------------------------
+
+
+@query("""with d as (select length(coalesce(text, '')) as n, source, coalesce(lang, 'unknown') as lang, coalesce((n_chars // 1000)::varchar, 'unknown') as size from documents)
+select case when grouping(lang) = 0 then 'lang' when grouping(size) = 0 then 'size' else 'all' end as dimension, coalesce(lang, size, 'all') as value, count(*) as documents, coalesce(sum(n), 0)::bigint as chars, coalesce(round(avg(n), 1), 0.0) as avg_chars, count(distinct source) as sources
+from d group by grouping sets ((), (lang), (size))""")
+def document_report(spark, d):
+    return tables.document_report(table(spark, d, "documents").withColumn("size", F.floor(F.col("n_chars") / 1000)), ["lang", "size"])
+
+
+@query(f"with {S.DEDUP}, {S.SEEDS}, {S.EXPANDED}, {S.SECTIONS}, t as (select distinct query_id, chunk_id, technique from rankings) select technique, count(distinct (query_id, source, island)) filter (island is not null) as final_sections from t left join isl using (query_id, chunk_id) group by technique")
+def variant_sections(spark, d):
+    return tables.final_sections(catalog.variant_rankings(spark, d), catalog.ranked_sections(spark, d))
+
+
+@query("select page_id, html is not null and html <> '' and page_id % 3 <> 0 and page_id % 5 <> 0 and page_id % 7 <> 0 and url is not null and url <> '' as metadata_complete from pages")
+def citation_quality(spark, d):
+    n = F.col("page_id")
+    rows = table(spark, d, "pages").select("page_id", F.col("html").alias("document"), F.when(n % 3 != 0, n % 9).alias("page_number"), F.when(n % 5 == 0, "").otherwise(n.cast("string")).alias("chunk_id"), F.when(n % 7 != 0, n / 10).alias("score"), F.col("url").alias("source_path"))
+    return records.citation_quality(rows).select("page_id", "metadata_complete")
+
+
+_shapes = " ".join(f"when regexp_matches(lower(text), {S.q(p)}) then {S.q(s)}" for p, s in answers.SHAPES)
+
+
+@query(f"""with {S.POOL}, {S.RERANKED}, e as (select query_id, any_value(question) as text, string_agg('[' || reranked_rank || '] ' || text, chr(10) order by reranked_rank) as context, bool_and(reranker_score < 0.35) as weak from reranked where reranked_rank <= 8 group by 1)
+select query_id, 'Use the selected evidence only, and cite every claim and recommendation as [n].' || chr(10) || 'Say why each recommendation matters, and name what the evidence leaves open.' || chr(10) || 'Write at least 120 words if the evidence carries them. Write at most 400 words.' || chr(10) || 'Give '
+|| case {_shapes} else 'a direct answer and the findings behind it' end || '.' || case when weak then chr(10) || 'All of this evidence is weak: say so first, and advise a check of the sources.' else '' end || chr(10) || chr(10) || 'Selected evidence:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text as prompt from e""")
+def detailed_prompts(spark, d):
+    top = catalog.top_evidence(spark, d)
+    lines_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["text"])), "\n")
+    held = top.groupBy("query_id").agg(lines_.alias("context"), F.bool_and(F.col("score") < 0.35).alias("weak_evidence"))
+    return answers.detailed_prompts(catalog.questions(spark, d), held, least_words=120, most_words=400).filter("prompt is not null")
+
+
+@query(f"""with {S.POOL}, {S.RERANKED}, e as (select query_id, count(*) as evidence_count, sum(length(text)) as chars, string_agg(chunk_id, ',' order by reranked_rank) as chunks from reranked where reranked_rank <= 8 group by 1)
+select item_id as query_id, coalesce(evidence_count, 0) as evidence_count, chunks from benchmark left join e on e.query_id = item_id""")
+def composed_prompts(spark, d):
+    """The evidence that a prompt's JSON holds, read back from it."""
+    top = catalog.top_evidence(spark, d)
+    runs = catalog.questions(spark, d).select("query_id", "question", F.lit("answered").alias("status"), F.lit(None).cast("string").alias("plan"), F.lit(None).cast("string").alias("quality"))
+    out = answers.composed_prompts(runs, top)
+    held = F.from_json(F.regexp_extract("prompt", r"(?s)\nEvidence:\n(.*)$", 1), "array<struct<reference_id:int,chunk_id:string>>")
+    return out.select("query_id", "evidence_count", F.nullif(F.array_join(held["chunk_id"], ","), F.lit("")).alias("chunks"))
+
+
+@query(rf"""with recursive {_OF_QUESTION}, c as (select query_id, sum(len(regexp_extract_all('[' || rank || '] ' || source || ' ' || text, '\S+'))) as candidate_tokens, count(*) as candidates from pool group by 1),
+f as (select s.query_id, sum(len(regexp_extract_all('[' || p.rank || '] ' || p.source || ' ' || p.text, '\S+'))) filter (selected) as final_tokens, count(*) filter (selected) as chosen from selected s join pool p on p.query_id = s.query_id and p.chunk_id = s.chunk_id group by 1)
+select query_id, candidate_tokens, coalesce(final_tokens, 0)::bigint as final_tokens, round(100.0::double * greatest(candidate_tokens - coalesce(final_tokens, 0), 0) / candidate_tokens, 2) as reduction from c join f using (query_id)""")
+def token_reduction(spark, d):
+    """Tokens of the contexts that all candidates and the chosen ones make."""
+    codec = Words()
+    shown = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("source"), F.lit(" "), F.col("text"))
+    rows = catalog.pool(spark, d).select("query_id", "chunk_id", codec.count(shown).alias("tokens")).join(catalog.select_evidence(spark, d).select("query_id", "chunk_id", "selected"), ["query_id", "chunk_id"])
+    out = rows.groupBy("query_id").agg(F.sum("tokens").alias("candidate_tokens"), F.coalesce(F.sum(F.when(F.col("selected"), F.col("tokens"))), F.lit(0)).alias("final_tokens"))
+    return out.withColumn("reduction", tables.token_efficiency(F.col("candidate_tokens"), F.col("final_tokens")))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' as shown, ts as parsed, round((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1000000.0, 6) as elapsed from events")
+def event_times(spark, d):
+    rows = table(spark, d, "events").select("event_id", X.iso_time(F.col("ts").cast("timestamp")).alias("shown"))
+    at = X.parsed_time(F.col("shown"))
+    return rows.select("event_id", "shown", at.cast("timestamp_ntz").alias("parsed"), X.elapsed_seconds(X.parsed_time(F.lit("2024-01-01")), at).alias("elapsed"))
+
+
 # --- questions over all experiments --------------------------------------------------------------
 
 _OUTCOMES = "o as (select o_custkey as question_id, o_orderpriority as experiment_id, avg(o_totalprice) > 150000 as passed from orders group by all)"

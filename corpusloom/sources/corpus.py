@@ -6,7 +6,8 @@ import csv
 import io
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,21 +24,75 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
 
     Hashing happens where a file is read. Category and collection are the first two folders.
     """
+    return _scanned(spark, root).drop("path")
+
+
+def scan_roots(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """As ``scan_corpus`` over several roots, with ``root``: each file once, under the first root that holds it.
+
+    A root inside or around another one is fine; a missing one is left out. A file is known again by its path, so a later
+    root's files are compared with the earlier roots themselves and nothing is shuffled.
+    """
+    parts: list[DataFrame] = []
+    before: list[str] = []
+    for root in roots:
+        try:
+            found = _scanned(spark, root)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        for other in before:
+            found = found.filter(~F.startswith(_plain(F.col("path")), F.lit(other)))
+        before.append(_folder(root))
+        parts.append(found.drop("path").withColumn("root", F.lit(root)))
+    if not parts:
+        raise FileNotFoundError(f"none of {', '.join(roots)} is there")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _folder(root: str) -> str:
+    return re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", root.rstrip("/")) + "/"
+
+
+def _plain(path: Column) -> Column:
+    """A path without scheme: file:/a, file:///a and /a are one."""
+    return F.regexp_replace(path, r"^[a-z][a-z0-9+.-]*:/*", "/")
+
+
+def _scanned(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = F.regexp_replace(F.col("path"), rf"^.*?{_quoted(root)}/*", "")
     folders = F.split("relative_path", "/")
     found = files.withColumn("relative_path", relative)
     return lookup(found, "relative_path").filter(~F.col("status").isin(UNSUPPORTED, LATER)).select(
-        "relative_path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("modified_time"),
+        "path", "relative_path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("modified_time"),
         suffix(F.col("relative_path")).alias("document_type"),
         F.when(F.size(folders) > 1, folders[0]).alias("category"), F.when(F.size(folders) > 2, folders[1]).alias("collection"),
         uuid5_url(F.col("relative_path")).alias("document_id"), "content",
     )
 
 
-def _quoted(root: str) -> str:
-    import re
+#: Three short texts to try things with; our own.
+SAMPLES = {
+    "shift_handover.txt": "Shift handover\n\nThe leaving team lists open work, closed routes and borrowed keys. The new team signs the list before the first round.\n",
+    "pump_inspection.txt": "Pump inspection\n\nEach pump is checked every 12 hours, and after an alarm. Record pressure, temperature and leaks; stop a pump above 80 degrees.\n",
+    "visitor_rules.txt": "Visitor rules\n\nVisitors carry a badge, stay with their host and leave by the gate they came in. Photographs need the site manager's consent.\n",
+}
+
+
+def sample_documents(spark: SparkSession) -> DataFrame:
+    """(relative_path, text): the built-in samples, for a first try without a corpus."""
+    return spark.createDataFrame(list(SAMPLES.items()), "relative_path string, text string")
 
+
+def write_samples(spark: SparkSession, root: str) -> None:
+    """Writes each sample as a folder of text under ``root`` unless one of its name is there: edits stay."""
+    for name, text in SAMPLES.items():
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("ignore").option("lineSep", "\n").text(f"{root.rstrip('/')}/{name}")
+
+
+def _quoted(root: str) -> str:
     return re.escape(root.split("://")[-1].rstrip("/"))
 
 
