@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators.fusion import deduplicate
+from corpusloom.sources import storage
 
 OVERLAP = 250
 
@@ -209,7 +210,8 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
 def build_context(results: DataFrame, chunks: DataFrame, window: int = 1, budget: int = 3000, dedup: bool = True, expand: bool = True, merge: bool = True, shorten: bool = True, k: int = 3) -> dict[str, DataFrame]:
     """The stages from (query_id, chunk_id, score, technique, pos, source, chunk_index, text) to blocks, by name; a stage switched off passes its rows on.
 
-    The first ``k`` results of a question are seeds. Without a budget blocks are whole.
+    The first ``k`` results of a question are seeds. Without a budget blocks are whole. Ranked, expanded and merged rows are written where they are made, so that
+    counting or reading a stage doesn't run those before it again.
     """
     by_place = W.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     if dedup:
@@ -217,13 +219,16 @@ def build_context(results: DataFrame, chunks: DataFrame, window: int = 1, budget
         ranked = deduplicate(results).join(carried, "chunk_id")
     else:
         ranked = results.withColumn("place", F.row_number().over(by_place))
+    ranked = storage.written(ranked, "ranked")
     seeds = ranked.filter(F.col("place") <= k)
     wide = neighbor_expand(seeds, chunks, window) if expand else seeds.select("query_id", "source", "chunk_index", "chunk_id", "text", "score")
+    wide = storage.written(wide, "expanded")
     if merge:
         sections = merge_overlapping(wide).withColumn("chunk", F.array_join("chunk_ids", " .. "))
     else:
         sections = wide.withColumn("first_index", F.col("chunk_index")).withColumn("chunk", F.col("chunk_id"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "source", "first_index", "chunk")
     sections = sections.withColumn("section", F.row_number().over(order).cast("long")).select("query_id", "section", "source", "chunk", "score", "text")
+    sections = storage.written(sections, "merged")
     blocks = compress(sections, budget if shorten else 2**31 - 1)
     return {"retrieved": results, "deduplicated": ranked, "expanded": wide, "merged": sections, "included": blocks}

@@ -103,7 +103,15 @@ def ranked_results(spark, d) -> DataFrame:
 
 
 def seeds(spark, d, k: int = 3) -> DataFrame:
-    return ranked_results(spark, d).filter(F.col("place") <= k)
+    """The first ``k`` results of each question, as a table: what follows reads it several times."""
+    return storage.written(ranked_results(spark, d).filter(F.col("place") <= k), "seeds")
+
+
+def expanded(spark, d, held: DataFrame | None = None) -> DataFrame:
+    """Seeds and their neighbours. Only documents that a seed came from are cut into lines; Spark broadcasts their names where the seeds' table is small."""
+    s = seeds(spark, d) if held is None else held
+    near = documents(spark, d).join(s.select("source").distinct(), "source", "left_semi")
+    return context.neighbor_expand(s, chunks.line_chunks(near))
 
 
 def pool(spark, d) -> DataFrame:
@@ -138,7 +146,8 @@ def postings(spark, d):
     return documents_index(spark, d).postings
 
 
-@query(f"with {S.index('select doc_id as k, text from documents')} select term, df, round(idf, 6) as idf from terms")
+@query(f"""with t as materialized (select doc_id, list_distinct({S.tokens('text')}) as l from documents), c as (select count(*) as n from t), f as materialized (select term, count(*) as df from (select unnest(l) as term from t) group by 1),
+r as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as r from f, c) select term, df, round(case when r < 0 then 0.25 * avg(r) over () else r end, 6) as idf from r""")
 def term_stats(spark, d):
     return documents_index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -285,7 +294,7 @@ def score_histogram(spark, d):
 @query(f"with {S.DEDUP}, {S.SEEDS}, {S.EXPANDED} select 0::bigint as stage_order, 'retrieved' as stage, count(*) as rows from rankings union all select 1, 'deduplicated', count(*) from dedup union all select 2, 'seeds', count(*) from seeds union all select 3, 'expanded', count(*) from expanded")
 def stage_funnel(spark, d):
     s = seeds(spark, d)
-    return tables.funnel({"retrieved": variant_rankings(spark, d), "deduplicated": fusion.deduplicate(results(spark, d)), "seeds": s, "expanded": context.neighbor_expand(s, lines(spark, d))})
+    return tables.funnel({"retrieved": variant_rankings(spark, d), "deduplicated": fusion.deduplicate(results(spark, d)), "seeds": s, "expanded": expanded(spark, d, s)})
 
 
 @query("""with k as (select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)), """ + S.index("select doc_id as k, text from documents") + ", " + S.bm25("select item_id as query_id, text as query from benchmark", ["query_id"]) + """
@@ -301,17 +310,17 @@ def recall_at_k(spark, d):
 
 @query(f"with {S.DEDUP}, {S.SEEDS}, {S.EXPANDED} select query_id, source, chunk_id, score, is_neighbor from expanded")
 def neighbor_expand(spark, d):
-    return context.neighbor_expand(seeds(spark, d), lines(spark, d)).select("query_id", "source", "chunk_id", "score", "is_neighbor")
+    return expanded(spark, d).select("query_id", "source", "chunk_id", "score", "is_neighbor")
 
 
 @query(f"with {S.DEDUP}, {S.SEEDS}, {S.EXPANDED}, {S.SECTIONS} select query_id, source, first_index, last_index, score, merged_chunk_count, text from sections")
 def merge_sections(spark, d):
-    out = context.merge_overlapping(context.neighbor_expand(seeds(spark, d), lines(spark, d)))
+    out = context.merge_overlapping(expanded(spark, d))
     return out.select("query_id", "source", "first_index", "last_index", "score", "merged_chunk_count", "text")
 
 
 def ranked_sections(spark, d) -> DataFrame:
-    merged = context.merge_overlapping(context.neighbor_expand(seeds(spark, d), lines(spark, d)))
+    merged = context.merge_overlapping(expanded(spark, d))
     ordered = tables.ranked_within(merged, "query_id", [F.desc("score"), F.col("source"), F.col("first_index")])
     return ordered.select("query_id", F.col("place").cast("long").alias("section"), "source", F.array_join("chunk_ids", " .. ").alias("chunk"), "score", "text", "chunk_ids")
 
