@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import base_name
 from corpusloom.operators.fusion import deduplicate
 from corpusloom.sources import storage
 
@@ -121,6 +122,11 @@ def compress(sections: DataFrame, budget: int) -> DataFrame:
     in order inside a query's row, which holds the ranked list of one question.
     """
     named = sections.withColumn("head", header(F.col("section"), F.col("source"), F.col("chunk"), F.col("score")))
+    return _budgeted(named, budget, F.rtrim)
+
+
+def _budgeted(named: DataFrame, budget: int, end: Callable[[Column], Column]) -> DataFrame:
+    """(query_id, section, block, truncated) of (query_id, section, head, text): heads and texts in order until the budget is used; ``end`` finishes a text that was cut."""
     held = named.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("section", "head", "text"))).alias("all"))
     empty = F.array().cast("array<struct<section:bigint,block:string,truncated:boolean>>")
     start = F.struct(F.lit(0).cast("int").alias("used"), F.lit(False).alias("full"), empty.alias("out"))
@@ -128,7 +134,7 @@ def compress(sections: DataFrame, budget: int) -> DataFrame:
     def step(s: Column, x: Column) -> Column:
         room = F.lit(budget) - s["used"] - F.length(x["head"])
         cut = F.length(x["text"]) > room
-        body = F.when(cut, F.rtrim(F.left(x["text"], F.greatest(room, F.lit(0))))).otherwise(x["text"])
+        body = F.when(cut, end(F.left(x["text"], F.greatest(room, F.lit(0))))).otherwise(x["text"])
         block = F.concat(x["head"], body)
         used = (s["used"] + F.length(block) + 2).cast("int")
         added = F.struct(used.alias("used"), (used >= budget).alias("full"), F.concat(s["out"], F.array(F.struct(x["section"].cast("bigint").alias("section"), block.alias("block"), cut.alias("truncated")))).alias("out"))
@@ -138,6 +144,31 @@ def compress(sections: DataFrame, budget: int) -> DataFrame:
     return held.select("query_id", F.explode(F.aggregate("all", start, step)["out"]).alias("x")).select("query_id", "x.*")
 
 
+def simple_context(results: DataFrame, budget: int) -> DataFrame:
+    """(query_id, context, sections): the plain context of ranked results (query_id, rank, source, page, chunk_id, score, text) within a budget of characters.
+
+    Each text is trimmed and stands under one line: its rank, its file's name, page, chunk and score. The one that doesn't fit is cut where the budget ends. A null source is "unknown", a null page or
+    chunk "n/a", a null score 0. Ranks are from 1 without ties; a question whose budget holds no line has no row.
+    """
+    if budget <= 0:
+        raise ValueError("budget must be positive")
+    page = F.coalesce(F.concat(F.lit("p. "), F.col("page").cast("string")), F.lit("page n/a"))
+    head = F.concat(
+        F.lit("["), F.col("rank").cast("string"), F.lit("] "), base_name(F.coalesce("source", F.lit("unknown"))), F.lit(" | "), page, F.lit(" | chunk "), F.coalesce("chunk_id", F.lit("n/a")),
+        F.lit(" | score "), F.format_string("%.3f", F.coalesce(F.col("score").cast("double"), F.lit(0.0))), F.lit("\n"),
+    )
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    named = results.select("query_id", F.col("rank").cast("long").alias("section"), head.alias("head"), body.alias("text"))
+    return contexts(_budgeted(named, budget, lambda c: c))
+
+
+def expansion_roles(expanded: DataFrame, seeds: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``expanded`` with ``role``: retrieved_seed where its question's ``seeds`` hold the chunk, also if it was reached as a neighbour of another one, else added_adjacent_chunk."""
+    own = seeds.select("query_id", key).distinct().withColumn("_seed", F.lit(True))
+    role = F.when(F.col("_seed"), "retrieved_seed").otherwise("added_adjacent_chunk")
+    return expanded.join(own, ["query_id", key], "left").withColumn("role", role).drop("_seed")
+
+
 def compress_tokens(sections: DataFrame, budget: int, count: Callable[[str], int]) -> DataFrame:
     """(query_id, context, used, truncated_sections, omitted_sections): as ``compress``, by the tokens of the joined text.
 

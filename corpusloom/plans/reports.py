@@ -125,6 +125,23 @@ def token_budget_words(spark, d):
     return context.compress_tokens(blocks, 400, Words().counter())
 
 
+# --- plain contexts, roles -----------------------------------------------------------------------
+
+
+@query(rf"""with {S.RANKINGS}, h as (select query_id, rank, '[' || rank || '] ' || string_split(source, '/')[-1] || ' | page n/a | chunk ' || chunk_id || ' | score ' || round(score::decimal(18, 6), 3)::varchar || chr(10) as head, regexp_replace(text, '^\s+|\s+$', '', 'g') as text from rankings where technique = 'original'),
+r as (select *, coalesce(sum(length(head) + length(text) + 2) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0)::bigint as before from h)
+select query_id, string_agg(head || left(text, 1500 - before - length(head)), chr(10) || chr(10) order by rank) as context, count(*) as sections from r where before < 1500 and before + length(head) < 1500 group by query_id""")
+def simple_context(spark, d):
+    rows = catalog.variant_rankings(spark, d).filter("technique = 'original'").withColumn("page", F.lit(None).cast("int"))
+    return context.simple_context(rows, 1500)
+
+
+@query(f"with {S.DEDUP}, {S.SEEDS}, {S.EXPANDED} select e.query_id, e.chunk_id, e.score, case when s.chunk_id is null then 'added_adjacent_chunk' else 'retrieved_seed' end as role from expanded e left join seeds s on s.query_id = e.query_id and s.chunk_id = e.chunk_id")
+def expansion_roles(spark, d):
+    s = catalog.seeds(spark, d)
+    return context.expansion_roles(catalog.expanded(spark, d, s), s).select("query_id", "chunk_id", "score", "role")
+
+
 # --- experiments ---------------------------------------------------------------------------------
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import word_tokens
 from corpusloom.operators import incremental, lexical
-from corpusloom.sources.storage import publish, published
+from corpusloom.sources.storage import publish, published, written
 
 _LOG = "version long, segments array<struct<folder:string,rows:bigint>>, documents string, live long, terms string, vocabulary long, new_documents long, changed_documents long, deleted_documents long, unchanged_documents long"
 
@@ -75,9 +75,41 @@ def apply(path: str, scan: DataFrame, rebuild: bool = False, tokens: Column | No
     tokenised. With ``rebuild`` all are, and nothing older is read.
     """
     spark, at = scan.sparkSession, None if rebuild else current(scan.sparkSession, path)
-    step = uuid.uuid4().hex
     old = _documents(spark, at) if at else spark.createDataFrame([], _DOCUMENTS)
-    plan = incremental.indexing_plan(old.select("relative_path", "sha256"), scan.select("relative_path", "sha256"))
+    return _applied(path, at, old, incremental.indexing_plan(old.select("relative_path", "sha256"), scan.select("relative_path", "sha256")), scan, tokens)
+
+
+def change(path: str, rows: DataFrame, tokens: Column | None = None) -> Row:
+    """Brings some documents of the store to ``rows`` (relative_path, sha256, text, deleted); all others stay as they are.
+
+    A path that is deleted though the store lacks it changes nothing. Doing the same change again makes a version with the same content, so a change may be repeated.
+    """
+    spark, at = rows.sparkSession, current(rows.sparkSession, path)
+    old = _documents(spark, at) if at else spark.createDataFrame([], _DOCUMENTS)
+    rows = written(rows.withColumn("deleted", F.coalesce("deleted", F.lit(False))), "changes")
+    touched = old.join(rows.select("relative_path"), "relative_path", "left_semi").select("relative_path", "sha256")
+    plan = incremental.indexing_plan(touched, rows.filter("not deleted").select("relative_path", "sha256"))
+    others = old.join(rows.select("relative_path"), "relative_path", "left_anti").select("relative_path", F.lit("unchanged").alias("change_type"))
+    return _applied(path, at, old, plan.unionByName(others), rows.filter("not deleted").select("relative_path", "sha256", "text"), tokens)
+
+
+def follow(stream: DataFrame, path: str, checkpoint: str):
+    """A writer that applies each micro-batch of a stream of changes (seq, relative_path, text, deleted) to the store: of a path's changes in a micro-batch the last by seq counts.
+
+    A micro-batch that is repeated after a crash finds its documents unchanged, or applies them as it would have.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        last = batch.groupBy("relative_path").agg(F.max_by(F.struct("text", "deleted"), "seq").alias("x")).select("relative_path", "x.*")
+        change(path, last.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def _applied(path: str, at: Row | None, old: DataFrame, plan: DataFrame, scan: DataFrame, tokens: Column | None) -> Row:
+    spark, step = scan.sparkSession, uuid.uuid4().hex
     plan_folder = f"{path}/plans/{step}"
     _written(plan, plan_folder)
     plan = spark.read.parquet(plan_folder)

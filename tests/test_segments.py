@@ -81,6 +81,30 @@ def test_two_writers(spark, tmp_path, monkeypatch):
     same_as_rebuilt(spark, path, {"z": "other"})
 
 
+def test_a_stream_of_changes(spark, tmp_path):
+    """Micro-batches of new, changed and deleted documents give what a scan of the end gives."""
+    path, source = str(tmp_path / "index"), str(tmp_path / "in")
+    schema = "seq long, relative_path string, text string, deleted boolean"
+    steps = [
+        [(1, "a", "one two", False), (2, "b", "two", False), (3, "a", "one three", None)],
+        [(4, "b", None, True), (5, "c", "four four", False), (6, "missing", None, True)],
+        [(7, "c", "four four", False), (8, "d", "", False), (9, "b", "two again", False)],
+    ]
+    for rows in steps:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for _ in range(2):  # the second finds nothing more
+        query = segments.follow(stream, path, str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    at = segments.check(spark, path)
+    assert at.version == 3 and at.live == 4
+    same_as_rebuilt(spark, path, {"a": "one three", "b": "two again", "c": "four four", "d": ""})
+    # a micro-batch that is applied twice
+    again = segments.change(path, spark.createDataFrame(steps[2], schema).withColumn("sha256", F.sha2("text", 256)).drop("seq"))
+    assert again.version == 4 and again.unchanged_documents == 4 and len(again.segments) == len(at.segments)
+    same_as_rebuilt(spark, path, {"a": "one three", "b": "two again", "c": "four four", "d": ""})
+
+
 @pytest.mark.parametrize("part", ["segments", "documents", "terms"])
 def test_missing_empty_and_short_parts_raise(spark, tmp_path, part):
     path = str(tmp_path / "index")
