@@ -165,7 +165,8 @@ def _taken(docs: DataFrame, seed: int, block_words: int, shard_words: int, max_r
     pieces = placed.select("doc_id", "source", "shard", "end", "size", F.explode(F.sequence(F.floor(begin / n), F.floor((F.col("end") - 1) / n))).alias("block"))
     overlap = F.least(F.col("end"), (F.col("block") + 1) * n) - F.greatest(begin, F.col("block") * n)
     same = (F.xxhash64("source") == F.col("_sh")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block"))
-    taken = pieces.join(blocks, same).groupBy(F.col("source").alias("_s"), F.col("shard").alias("_shard"), F.col("end").alias("_end")).agg(F.sum(overlap * F.col("times")).cast("long").alias("_taken"))
+    # Spark takes an exploded table for as small as it was before: without the hint it would broadcast all blocks
+    taken = pieces.join(blocks.hint("merge"), same).groupBy(F.col("source").alias("_s"), F.col("shard").alias("_shard"), F.col("end").alias("_end")).agg(F.sum(overlap * F.col("times")).cast("long").alias("_taken"))
     out = placed.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard")) & (F.col("end") == F.col("_end")), "left")
     columns = ["doc_id", "source", "shard", *keep, "size", "source_size", "target", "_taken"]
     out = out.select(*columns).unionByName(empty.select(*columns))
