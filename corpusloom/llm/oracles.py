@@ -46,3 +46,18 @@ item as (select doc_id, list_sort(list(distinct item_id::varchar)) as items from
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join word on word.doc_id = d.doc_id left join item on item.doc_id = d.doc_id
 """
+
+OP13 = r"""
+with recursive crc as (select list(list_reduce(list_concat([i], range(8)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) order by i) as t from range(256) r(i)),
+runs as (select doc_id, w, count(*) as n from (select doc_id, unnest(regexp_extract_all({lower}, '[a-z\x{C0}-\x{FF}]+')) as w from documents) where length(w) >= 6 group by all),
+hashed as (select w, n, hex(encode(coalesce(doc_id::varchar, 'null') || ':' || w)) as x from runs),
+summed as (select w, n, xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::bigint)), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) as h from hashed, crc),
+counted as (select case when h % 199 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, sum(n)::bigint as n from summed group by 1),
+v as (select * from counted where length(word) >= 6 and n >= 5),
+cut as (select word, n, unnest(list_concat([word], list_transform(range(length(word)), lambda i: substr(word, 1, i::int) || substr(word, i::int + 2)))) as part from v),
+near as (select distinct a.word, a.n, b.word as other, b.n as m from cut a join cut b on a.part = b.part and a.word <> b.word where levenshtein(a.word, b.word) = 1),
+best as (select word, count(*) as n_near, arg_min(other, (-m, other)) as other, max(m) as m from near group by 1),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when m >= 5 * v.n then other end as form, case when m >= 5 * v.n then m end as form_n from v left join best using (word)),
+chain(word, root, next) as (select word, word, form from f union all select chain.word, f.word, f.form from chain join f on f.word = chain.next)
+select f.word, form, root, n, n_near, form_n from f join chain on chain.word = f.word and chain.next is null
+""".replace("{lower}", _LOWER)

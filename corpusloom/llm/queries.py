@@ -73,4 +73,4 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_source_mix, op3_nearest, op4_substring, op5_near_duplicates, op6_weak_quality, op7_toxicity, op8_token_file, op9_packing, op10_quality, op11_ranked_search, op12_contamination, op13_spelling_variants)}
-ORACLES: dict[str, str] = {"op4_substring": oracles.OP4, "op5_near_duplicates": oracles.OP5, "op11_ranked_search": oracles.OP11, "op12_contamination": oracles.OP12}
+ORACLES: dict[str, str] = {"op4_substring": oracles.OP4, "op5_near_duplicates": oracles.OP5, "op11_ranked_search": oracles.OP11, "op12_contamination": oracles.OP12, "op13_spelling_variants": oracles.OP13}
