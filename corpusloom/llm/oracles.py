@@ -55,7 +55,8 @@ summed as (select w, n, xor(list_reduce(list_concat([4294967295], list_transform
 counted as (select case when h % 199 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, sum(n)::bigint as n from summed group by 1),
 v as (select * from counted where length(word) >= 6 and n >= 5),
 cut as (select word, n, unnest(list_concat([word], list_transform(range(length(word)), lambda i: substr(word, 1, i::int) || substr(word, i::int + 2)))) as part from v),
-near as (select distinct a.word, a.n, b.word as other, b.n as m from cut a join cut b on a.part = b.part and a.word <> b.word where levenshtein(a.word, b.word) = 1),
+near as (select distinct a.word, a.n, b.word as other, b.n as m from cut a join cut b on a.part = b.part and a.word <> b.word where case when length(a.word) = length(b.word) then len(list_filter(range(1, length(a.word) + 1), lambda i: substr(a.word, i::int, 1) <> substr(b.word, i::int, 1))) = 1
+else length(a.part) = least(length(a.word), length(b.word)) and abs(length(a.word) - length(b.word)) = 1 end),
 best as (select word, count(*) as n_near, arg_min(other, (-m, other)) as other, max(m) as m from near group by 1),
 f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when m >= 5 * v.n then other end as form, case when m >= 5 * v.n then m end as form_n from v left join best using (word)),
 chain(word, root, next) as (select word, word, form from f union all select chain.word, f.word, f.form from chain join f on f.word = chain.next)
