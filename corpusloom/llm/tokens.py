@@ -7,6 +7,7 @@ import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import islice
 from operator import attrgetter
 
 import numpy as np
@@ -42,7 +43,8 @@ class Encoder:
     many at a time, as one text in which a separator of one known id stands between them.
     """
 
-    ROOM, TOGETHER = 1_000_000, 2048
+    #: Pieces to remember, and how many of them stay when there are more: the first ones, as frequent pieces come early.
+    ROOM, KEPT, TOGETHER = 500_000, 250_000, 2048
 
     def __init__(self, path: str, word_ends: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
@@ -107,8 +109,8 @@ class Encoder:
         cut = [self.split(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         new = list(set().union(*cut).difference(self.known)) if self.known else list(set().union(*cut))
         if len(self.known) + len(new) > self.ROOM and self.known:
-            self.known = {}
-            new = list(set().union(*cut))
+            self.known = dict(islice(self.known.items(), self.KEPT))
+            new = list(set().union(*cut).difference(self.known))
         if new:
             self._learn(new)
         get = self.known.__getitem__

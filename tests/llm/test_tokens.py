@@ -92,3 +92,19 @@ def test_long_documents_are_many_rows(spark):
     assert encoded.selectExpr("max(length(ids))").first()[0] <= 4 * packing.CHUNK and encoded.count() > 9
     vector = packing.coordinates(np.arange(50_000), packing.HASHED)
     assert vector.max() < packing.HASHED and len(np.unique(vector)) > 0.9 * packing.HASHED
+
+
+def test_encoder_forgets_late_pieces(monkeypatch):
+    """With room for few pieces the ids are the same, and the first pieces stay."""
+    monkeypatch.setattr(Encoder, "ROOM", 40)
+    monkeypatch.setattr(Encoder, "KEPT", 10)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = Encoder(path, False), Tokenizer.from_file(path)
+    texts = [f"some words come again and again {i} number{i} été{i} {'x' * (i % 9)}" for i in range(60)]
+    first = None
+    for at in range(0, len(texts), 3):
+        got = own.many(texts[at : at + 3])
+        assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts[at : at + 3]]
+        first = first or list(own.known)[:10]
+        assert list(own.known)[:10] == first
+    assert len(own.known) < 80
