@@ -58,6 +58,34 @@ def running_metrics(spark, d):
     return live.running_metrics(table(spark, d, "events"), "user_id", "value")
 
 
+def finished_events(spark, d) -> DataFrame:
+    """Steps of runs: what an event is about, its time and a second latency in its metrics."""
+    kinds = F.create_map(*[F.lit(x) for kv in {"view": "retrieval_completed", "click": "agent_completed", "purchase": "question_completed", "error": "question_failed", "signup": "consensus_decided"}.items() for x in kv])
+    n = F.col("event_id")
+    metrics = F.when(n % 4 == 0, F.map_from_arrays(F.array(F.lit("queue_seconds"), F.lit("tokens")), F.array((F.col("value") / 2).cast("string"), F.lit("7"))))
+    return table(spark, d, "events").select(
+        kinds[F.col("event_type")].alias("event_type"), F.col("value").alias("elapsed_seconds"), metrics.alias("metrics"), F.when(n % 5 == 0, "late").alias("status"),
+        F.when(n % 3 == 0, "answered").when(n % 3 == 1, "").alias("answer_status"), F.when(n % 2 == 0, "accept").alias("decision"),
+    )
+
+
+FINISHED = """fe as (select case event_type when 'view' then 'retrieval' when 'click' then 'agent' when 'purchase' then 'total_question' when 'error' then 'total_question' end as category, value, event_id, event_type from events),
+lat as (select category, value as seconds from fe where category is not null and value is not null union all select 'queue', value / 2 from fe where event_id % 4 = 0 and value is not null)"""
+
+
+@query(f"with {FINISHED} select category, count(*) as events, round(avg(seconds), 6) as mean, round(min(seconds), 6) as least, round(max(seconds), 6) as most from lat group by 1")
+def collected_latencies(spark, d):
+    """Without the quantiles, which are estimates where a category has more rows than a sketch."""
+    return live.running_metrics(live.latencies(finished_events(spark, d)), "category", "seconds").drop("median", "p95")
+
+
+@query("""select kind, name, count(*) as events from (select 'error' as kind, 'all' as name from events where event_type = 'error'
+union all select 'answer_status', case when event_id % 3 = 0 then 'answered' when event_id % 5 = 0 then 'late' else 'unknown' end from events where event_type in ('purchase', 'error')
+union all select 'decision', case when event_id % 2 = 0 then 'accept' else 'unknown' end from events where event_type = 'signup') group by all""")
+def outcome_counts(spark, d):
+    return live.outcome_counts(finished_events(spark, d))
+
+
 # --- incremental index, fingerprint, resumable batch ---------------------------------------------
 
 _NEW = "o as (select source || '/' || doc_id as relative_path, text from documents where doc_id % 13 <> 0)"

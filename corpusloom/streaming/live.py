@@ -9,7 +9,7 @@ Events of a key are folded in the order of ``seq`` (``ts``, then ``seq``, for th
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
@@ -186,7 +186,36 @@ def running_metrics(events: DataFrame, by: str, value: str, size: int = SKETCH)
     return held.select(by, "events", "mean", "least", "most", quantile(0.5).alias("median"), quantile(0.95).alias("p95"))
 
 
-def running_counts(events: DataFrame, statuses: Sequence[str] = ("question_completed", "question_failed"), errors: Sequence[str] = ("error", "question_failed", "agent_failed")) -> DataFrame:
-    """One row (warnings, errors, finished) and so a stream's smallest state."""
+#: The latency that a finished step's event tells of.
+LATENCY_EVENTS = {
+    "retrieval_completed": "retrieval", "reranking_completed": "reranking", "evidence_selection_completed": "evidence_selection", "generation_completed": "generation",
+    "question_completed": "total_question", "question_failed": "total_question", "agent_completed": "agent", "indexing_completed": "indexing",
+}
+
+
+def latencies(events: DataFrame, of_events: Mapping[str, str] = LATENCY_EVENTS) -> DataFrame:
+    """(category, seconds): what the events (event_type, elapsed_seconds, metrics) tell of latencies, of a batch or a stream, for ``running_metrics``.
+
+    An event of a known type gives its elapsed time, and each entry of the map ``metrics`` whose name ends with _seconds its value, under the name without that end. Nulls and what is no number give nothing.
+    """
+    pairs = [F.lit(x) for kv in of_events.items() for x in kv]
+    own = F.array(F.struct(F.try_element_at(F.create_map(*pairs), F.col("event_type")).alias("category"), F.col("elapsed_seconds").cast("double").alias("seconds")))
+    given = F.transform(F.map_entries(F.coalesce("metrics", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.when(F.endswith(e["key"], F.lit("_seconds")), F.regexp_replace(e["key"], "_seconds$", "")).alias("category"), e["value"].try_cast("double").alias("seconds")))
+    return events.select(F.explode(F.concat(own, given)).alias("x")).select("x.*").filter("category is not null and seconds is not null")
+
+
+def outcome_counts(events: DataFrame, errors: Sequence[str] = ("error", "question_failed", "agent_failed")) -> DataFrame:
+    """(kind, name, events) of a batch or a stream: warnings, errors, the answer status of each finished question and each consensus decision.
+
+    ``events`` has (event_type, status, answer_status, decision). A finished question's status is its answer's, else its own, else "unknown"; a decision that isn't named is "unknown". An event counts in each kind it belongs
+    to; a stream keeps one number for each name.
+    """
     kind = F.col("event_type")
-    return events.agg(F.count_if(kind == "warning").alias("warnings"), F.count_if(kind.isin(*errors)).alias("errors"), F.count_if(kind.isin(*statuses)).alias("finished"))
+    named = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit("unknown"))
+    found = F.filter(F.array(
+        F.when(kind == "warning", F.struct(F.lit("warning").alias("kind"), F.lit("all").alias("name"))),
+        F.when(kind.isin(*errors), F.struct(F.lit("error").alias("kind"), F.lit("all").alias("name"))),
+        F.when(kind.isin("question_completed", "question_failed"), F.struct(F.lit("answer_status").alias("kind"), named("answer_status", "status").alias("name"))),
+        F.when(kind == "consensus_decided", F.struct(F.lit("decision").alias("kind"), named("decision").alias("name"))),
+    ), lambda x: x.isNotNull())
+    return events.select(F.explode(found).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("events"))

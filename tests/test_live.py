@@ -131,3 +131,19 @@ def test_running_metrics_within_the_sketch_error(spark, tmp_path):
     for r in exact:  # a sketch with room for all rows
         values = sorted(x.value for x in df.limit(900).collect() if x.kind == r.kind and x.value is not None)
         assert r.median == round(values[(len(values) - 1) // 2], 6)
+
+
+def test_collected_metrics(spark, tmp_path):
+    """A stream in update mode ends with the batch's numbers, late and odd rows included."""
+    rows = [
+        ("question_completed", 2.0, {"retrieval_latency_seconds": "0.5", "tokens": "9", "odd_seconds": "x"}, "done", "answered", None), ("question_failed", None, None, "failed", "", None), ("agent_completed", 1.0, {}, None, None, None),
+        ("agent_failed", 3.0, None, None, None, None), ("warning", None, None, None, None, None), ("consensus_decided", None, None, None, None, "accept"), ("consensus_decided", None, None, None, None, None), (None, 5.0, {"retrieval_latency_seconds": "1.5"}, None, None, None), ("question_completed", 4.0, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n long, event_type string, elapsed_seconds double, metrics map<string,string>, status string, answer_status string, decision string")
+    counts = {(r.kind, r.name): r.events for r in live.outcome_counts(df).collect()}
+    assert counts == {("warning", "all"): 1, ("error", "all"): 2, ("answer_status", "answered"): 1, ("answer_status", "failed"): 1, ("answer_status", "unknown"): 1, ("decision", "accept"): 1, ("decision", "unknown"): 1}
+    want = {r.category: tuple(r)[1:] for r in live.running_metrics(live.latencies(df), "category", "seconds").collect()}
+    assert want == {"total_question": (2, 3.0, 2.0, 4.0, 2.0, 4.0), "agent": (1, 1.0, 1.0, 1.0, 1.0, 1.0), "retrieval_latency": (2, 1.0, 0.5, 1.5, 0.5, 1.5)}
+    out = finished(spark, live.running_metrics(live.latencies(in_files(spark, df, str(tmp_path / "in"), "n", 3)), "category", "seconds"), "collected", "update", tmp_path).collect()
+    latest = {r.category: tuple(r)[1:] for r in sorted(out, key=lambda r: r.events)}
+    assert latest == want
