@@ -19,7 +19,7 @@ SOME = [
     "smoke_mode", "evaluation_join", "normalized_results", "table_rerank", "selection_diagnostics", "retrieval_diagnostics", "checked_dimension", "section_coverage", "corpus_fingerprint",
     "live_run_state", "event_throttle", "running_metrics", "incremental_postings", "incremental_terms", "corpus_tree_fingerprint", "resumed_batch", "token_codec", "token_budget_words", "experiment_aggregate", "experiment_records", "experiment_tradeoffs",
     "accuracy_heatmap", "run_report", "reranking_metrics", "critic_categories", "source_diversity", "risk_matrix", "evidence_modalities", "settled_questions", "gained_questions",
-    "document_report", "variant_sections", "citation_quality", "detailed_prompts", "composed_prompts", "token_reduction", "event_times", "retrieval_modes", "simple_context", "expansion_roles", "collected_latencies", "outcome_counts",
+    "document_report", "variant_sections", "citation_quality", "detailed_prompts", "composed_prompts", "token_reduction", "event_times", "retrieval_modes", "simple_context", "expansion_roles", "context_token_budget", "collected_latencies", "outcome_counts",
 ]
 
 
