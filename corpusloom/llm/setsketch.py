@@ -16,7 +16,9 @@ texts that agree on a band share a bucket.
    isn't settled. Its classes are compared exactly by prefix filtering: with
    shingles in order of rarity, two sets over the threshold share one of their
    first (1 - t) n + 1, at places that leave enough of both sets to come, so shingles that
-   only one group has drop out, and only classes of different groups are paired and verified.
+   only one group has drop out, and only classes of different groups are paired. Each set has a bitmap
+   of ``BITS`` parities; two sets differ in at least as many shingles as their bitmaps in bits, so
+   near misses of a template go inside the join, and what is left is verified.
 4. Groups are the connected components of the verified links.
 
 Shingles are kept as 64-bit hashes of words; verification compares whole sets
@@ -35,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WordHashes, mixed, over_rows, utf8, windows, write_table
@@ -44,6 +46,7 @@ from corpusloom.llm.components import components
 BASE, BANDS, ROWS = 1.1, 40, 7
 REGISTERS = BANDS * ROWS
 _MARGIN = 0.11  # five standard deviations of the estimate at the threshold
+BITS = 1024  # parities of a set, in 64-bit words
 
 _SEEDS = np.random.default_rng(20).integers(1, 2**32, (2, REGISTERS), dtype=np.uint64).astype(np.uint32)
 _MULTIPLY, _ADD = _SEEDS[0] | np.uint32(1), _SEEDS[1]
@@ -92,6 +95,12 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return j[0][np.where(inside, logs, -np.inf).argmax(1)]
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """``BITS`` parities of a set as 64-bit words: shingles are dealt to bits, and each turns its bit over."""
+    turned = np.bincount((mixed(shingles) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(turned.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """Written table (doc_id, n_shingles, set_a, set_b, sketch): a 128-bit name of each set beside its sketch."""
 
@@ -155,6 +164,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, on full sets; (id, shingles) in ``sets``."""
+    sets = sets.select("id", "shingles")
     a, b = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     total = F.size("set_a") + F.size("set_b") - shared
@@ -162,21 +172,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """Written table (id, shingles) for the classes in ``ids``."""
+    """Written table (id, shingles, bits) for the classes in ``ids``."""
 
     def make():
         hashes = WordHashes()
-        return lambda doc_id, text: (doc_id, shingle_hashes(text, shingle, hashes).view(np.int64))
+
+        def row(doc_id, text):
+            s = shingle_hashes(text, shingle, hashes)
+            return doc_id, s.view(np.int64), parities(s)
+
+        return row
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id")
-    rows = over_rows(texts, make, "id long, shingles array<bigint>")
+    rows = over_rows(texts, make, "id long, shingles array<bigint>, bits array<bigint>")
     return write_table(rows.filter(F.size("shingles") > 0), "sets")
 
 
 def _unsettled_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """All pairs of different groups that could be linked, by prefix filtering; ``groups`` has (id, component)."""
     # an id that several texts share has several sets
-    words = sets.join(groups, "id").select("id", "component", "shingles", F.xxhash64("shingles").alias("set"))
+    words = sets.join(groups, "id").select("id", "component", "shingles", "bits", F.xxhash64("shingles").alias("set"))
     # a shingle of one group matches nothing: it ranks first, and only the counts of the others are joined, from a
     # table of their own, so that a very common one is a skewed join that can be split
     rarity = words.select("component", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -184,19 +199,25 @@ def _unsettled_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFr
     held = words.select("id", "set", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(rarity, "s", "left")
     # rarity ranks every shingle of a set; only the first n - ceil(t n) + 1 are looked up
     ranked = F.struct(F.coalesce("often", F.lit(0)).alias("often"), "s", F.col("often").isNotNull().alias("shared"))
+    # rows that repeat an id with its text hold each shingle twice, which a set of them doesn't count
     ordered = held.groupBy("id", "set", "component", "n").agg(F.sort_array(F.collect_list(ranked)).alias("all"))
     reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     placed = F.transform(F.slice("all", F.lit(1), reach), lambda x, i: F.struct(x["s"].alias("s"), i.alias("at"), x["shared"].alias("shared")))
-    prefix = ordered.select("id", "component", "n", F.explode(F.filter(placed, lambda x: x["shared"])).alias("x")).select("id", "component", "n", F.col("x.s").alias("s"), F.col("x.at").alias("at"))
+    prefix = ordered.select("id", "set", "component", "n", F.explode(F.filter(placed, lambda x: x["shared"])).alias("x")).select("id", "set", "component", "n", F.col("x.s").alias("s"), F.col("x.at").alias("at"))
     # the full count made a shingle shared; what matters is whether prefixes of two groups hold it
     prefix = write_table(prefix, "all-prefixes")
     ends = write_table(prefix.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("s"), "shared-prefixes")
-    prefix = write_table(prefix.join(ends, "s").select("s", "id", "component", "n", "at"), "prefixes")
-    a, b = prefix.toDF("s", "a", "ca", "na", "pa"), prefix.toDF("s", "b", "cb", "nb", "pb")
+    parity = words.select("id", "set", *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64)]).dropDuplicates(["id", "set"])
+    prefix = write_table(prefix.join(ends, "s").join(parity, ["id", "set"]).drop("set"), "prefixes")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    na, nb, pa, pb = (F.col(c) for c in ("a.n", "b.n", "a.at", "b.at"))
     # at the first shingle that two sets share, what follows in the shorter rest bounds the intersection
-    enough = (100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= percent * (F.col("na") + F.col("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & enough
-    return a.join(b, "s").filter(fits).select("a", "b").distinct()
+    enough = (100 + percent) * F.least(na - pa, nb - pb) >= percent * (na + nb)
+    # sets differ in at least as many shingles as their bitmaps in bits
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"a.bits{i}").bitwiseXOR(F.col(f"b.bits{i}"))) for i in range(BITS // 64)))
+    near = (100 + percent) * differ <= (100 - percent) * (na + nb)
+    fits = (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & enough & near
+    return a.join(b, F.col("a.s") == F.col("b.s")).filter(fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
