@@ -200,7 +200,7 @@ def _unsettled_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFr
     # rarity ranks every shingle of a set; only the first n - ceil(t n) + 1 are looked up
     ranked = F.struct(F.coalesce("often", F.lit(0)).alias("often"), "s", F.col("often").isNotNull().alias("shared"))
     # rows that repeat an id with its text hold each shingle twice, which a set of them doesn't count
-    ordered = held.groupBy("id", "set", "component", "n").agg(F.sort_array(F.collect_list(ranked)).alias("all"))
+    ordered = held.groupBy("id", "set", "component", "n").agg(F.sort_array(F.collect_set(ranked)).alias("all"))
     reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     placed = F.transform(F.slice("all", F.lit(1), reach), lambda x, i: F.struct(x["s"].alias("s"), i.alias("at"), x["shared"].alias("shared")))
     prefix = ordered.select("id", "set", "component", "n", F.explode(F.filter(placed, lambda x: x["shared"])).alias("x")).select("id", "set", "component", "n", F.col("x.s").alias("s"), F.col("x.at").alias("at"))
