@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import write_table
-from corpusloom.llm.tokens import encoder
+from corpusloom.llm.tokens import encoder, portions
 
 BLOCK, COVERED, SEGMENT_IDS = 128, 0.9, 1 << 17
 #: Blocks packed or decoded in one go.
@@ -56,7 +56,7 @@ def _pack_blocks(flat: np.ndarray) -> tuple[bytes, np.ndarray]:
     diff = grid - low[:, None]
     rank = int(np.ceil(COVERED * BLOCK)) - 1
     width = _bits(np.partition(diff, rank, axis=1)[:, rank])
-    outlier = _bits(diff) > width[:, None]
+    outlier = diff > (np.uint64(1) << width.astype(np.uint64))[:, None] - np.uint64(1)
     exceptions = outlier.sum(1)
     size = _BLOCK_HEAD + BLOCK // 8 * width + 5 * exceptions
     at = np.cumsum(size) - size
@@ -65,8 +65,8 @@ def _pack_blocks(flat: np.ndarray) -> tuple[bytes, np.ndarray]:
     out[at + 4], out[at + 5] = width, exceptions
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        bits = (diff[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+        bits = np.unpackbits(diff[rows].astype("<u4").view(np.uint8), axis=1, bitorder="little").reshape(len(rows), BLOCK, 32)
+        packed = np.packbits(bits[:, :, :w].reshape(len(rows), -1), axis=1, bitorder="little")
         out[at[rows][:, None] + _BLOCK_HEAD + np.arange(packed.shape[1])] = packed
     row, column = np.nonzero(outlier)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
@@ -150,9 +150,8 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, word_ends: bool = True,
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "local_start", "n_ids", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for name, text_ids in zip(piece.column(0).to_pylist(), encode.many(piece.column(1).to_pylist()), strict=True):
+            for piece in portions(batch, 1):
+                for name, text_ids in zip(piece.column(0).to_pylist(), encode.column(piece.column(1)), strict=True):
                     ids = np.append(text_ids, np.uint32(end_id))
                     names.append(name), held.append(ids)
                     size += len(ids)

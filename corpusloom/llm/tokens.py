@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
 from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space of the Unicode property, which the byte-level vocabulary splits at.
 _WS = "\t-\r \x85\xa0  -     　"
@@ -22,6 +24,12 @@ _WORDS = re.compile(f"[{_LETTERS}]++(?={_TAIL})|{_TAIL}|[^{_WS}]++")
 #: The same with the one space before a run; then white space up to the last one before such a run, or the rest.
 _BYTE_LEVEL = re.compile(f" ?[{_LETTERS}]++(?={_TAIL})|{_TAIL}| ?[^{_WS}]++|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _PLAIN = re.compile(f" ?[{_LETTERS}]++")
+_IS_MARK = np.isin(np.arange(256), list(_MARKS.encode()))
+_IS_LETTER = np.isin(np.arange(256), [b for b in range(128) if chr(b).isalpha()])
+#: Marks at a word's end to look for; a word with more stays whole.
+_MOST_MARKS = 8
+#: Bytes of texts to encode in one go.
+PORTION = 1 << 21
 #: The space of the byte-level alphabet and the bytes of UTF-8 in it: what prints in Latin-1 stands for itself, the rest follows from U+0100 on.
 _SYMBOLS = dict(zip([b for b in range(256) if b < 33 or 127 <= b <= 160 or b == 173], map(chr, range(256, 512)), strict=False))
 
@@ -117,5 +125,72 @@ class Encoder:
         alone = {i: np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in whole}
         return [alone[i] if i in whole else np.frombuffer(b"".join(map(get, pieces)), np.uint32) for i, pieces in enumerate(cut)]
 
+    def column(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column. With ``word_ends`` a word that many of the texts hold is looked up once."""
+        if not self.lower:
+            return self.many(texts.to_pylist())
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        hinted = np.flatnonzero(pc.match_substring(texts, self.hint).to_numpy(zero_copy_only=False)).tolist()
+        whole = {i: t for i in hinted if self.special(t := texts[i].as_py())}
+        if whole:
+            texts = pc.if_else(np.isin(np.arange(len(texts)), list(whole)), "", texts)
+        words, ends = _split_words(texts)
+        coded = words.dictionary_encode()
+        found = self._found(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        flat = np.frombuffer(ids.buffers()[2] or b"", np.uint32)
+        at = (np.frombuffer(ids.buffers()[1], np.int64)[ends] // 4).tolist() if len(ids) else [0] * len(texts)
+        out = [flat[a:b] for a, b in zip([0, *at], at, strict=False)]
+        for i, text in whole.items():
+            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def _found(self, words: list[str]) -> list[bytes]:
+        """Ids of different words without ASCII white space inside; the empty one has none."""
+        found = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(found) if x is None and words[i]]
+        if len(self.known) + len(new) > self.ROOM:
+            self.known = dict(islice(self.known.items(), self.KEPT))
+        self._learn([words[i] for i in new])
+        for i in new:
+            found[i] = self.known[words[i]]
+        return [x or b"" for x in found]
+
     def __call__(self, text: str | None) -> np.ndarray:
         return self.many([text])[0]
+
+
+def _split_words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """What stands between ASCII white space, with the marks after a last letter apart, and the number of words up to each text's end.
+
+    A-Z are lower-cased, as the vocabulary does, but where a character that may combine with the letter follows.
+    """
+    lists = pc.ascii_split_whitespace(texts)
+    words, ends = lists.flatten(), lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+    if not pc.any(pc.greater(pc.binary_length(words), 0)).as_py():
+        return words, ends
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy()
+    offsets = offsets - offsets[0]
+    capital = (data >= 65) & (data <= 90)
+    capital[:-1] &= data[1:] < 0xCC  # combining characters begin with U+0300
+    data[capital] |= 32
+    begin, cut, marked = offsets[:-1], offsets[1:].copy(), np.arange(len(words))
+    for _ in range(_MOST_MARKS):
+        marked = marked[cut[marked] > begin[marked]]
+        marked = marked[_IS_MARK[data[cut[marked] - 1]]]
+        cut[marked] -= 1
+    apart = np.flatnonzero((cut < offsets[1:]) & (cut > begin))
+    last = cut[apart] - 1
+    byte = data[last]
+    # U+00C0 to U+00FF are C3 80 to C3 BF; after C3 stands its second byte, so the two lie in one word
+    apart = apart[_IS_LETTER[byte] | ((data[last - 1] == 0xC3) & (byte >= 0x80) & (byte != 0x97) & (byte != 0xB7))]
+    offsets = np.insert(offsets, apart + 1, cut[apart])
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)), ends + np.searchsorted(apart, ends)
+
+
+def portions(batch: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``PORTION`` bytes of the texts in column ``texts``, one long text with the next short ones."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begins = [0, *(np.flatnonzero(np.diff(upto // PORTION)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(begins[:-1], begins[1:], strict=True) if a < b)

@@ -2,13 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from corpusloom.llm import packing, tokenfile
-from corpusloom.llm.tokens import Encoder
+from corpusloom.llm.tokens import PORTION, Encoder, portions
 
 ROWS = [(3, "b  c\n\nd"), (1, None), (2, ""), (5, "word " * 3000), (5, "word " * 3000), (None, "no id"), (4, "x" * 5000), (9, "é ß 中"), (7, "foo <|endoftext|> bar"), (8, "w " * 9000)]
 
@@ -108,3 +109,50 @@ def test_encoder_forgets_late_pieces(monkeypatch):
         first = first or list(own.known)[:10]
         assert list(own.known)[:10] == first
     assert len(own.known) < 80
+
+
+def test_a_column_is_encoded_as_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, library = Encoder(path, True), Tokenizer.from_file(path)
+    odd = ["a", "Z", "J", "é", "É", "ß", "×", "÷", "İ", "ſ", "中", "\u0300", "\u030c", "'s", "'RE", ".", ",", "!", "?", "|", "<", "0", "7", " ", "  ", "\n", "\x1c", "\x85", "\xa0", "\u3000", "<|endoftext|>", "<|StartOfText|>"]
+    rng = np.random.default_rng(3)
+    texts = [None, "", " ", "a" + "!" * 8, "a" + "!" * 9, "!" * 40, "J\u030c a.", "É. ×. ÷! ÿ,"] + ["".join(rng.choice(odd, rng.integers(0, 40))) for _ in range(3000)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encode.column(pa.array(texts))] == want
+    assert [x.tolist() for x in encode.column(pa.array(texts).slice(5, 50))] == want[5:55]
+    for few in ([], [None], ["", " "], ["<|endoftext|>"]):
+        assert [x.tolist() for x in encode.column(pa.array(few, pa.string()))] == [library.encode(t or "", add_special_tokens=False).ids for t in few]
+
+
+def test_a_word_of_many_texts_is_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    encode = Encoder(public_tokenizers.path("word_bpe_49k.json"), True)
+    encode.known = Counted()
+    encode.column(pa.array(["Some words, some WORDS. Some words!"] * 1000))
+    assert set(encode.known) == {"some", "words", ",", ".", "!"} and encode.known.asked <= 20
+
+
+def test_portions_keep_all_rows():
+    sizes = [0, 5, PORTION, 3 * PORTION + 7, 1, 0, PORTION // 2, PORTION // 2, PORTION // 2, 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([None if i == 5 else "x" * n for i, n in enumerate(sizes)])], ["doc_id", "text"])
+    parts = list(portions(batch, 1))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(sizes))) and len(parts) >= 4
+    assert all(sum(map(len, filter(None, p.column(1).to_pylist()[1:]))) <= PORTION for p in parts)
+    assert list(portions(batch.slice(0, 0), 1)) == []
+
+
+def test_segment_bytes_stay():
+    """The file format holds: digest of a segment that the first version wrote."""
+    rng = np.random.default_rng(5)
+    ids = [rng.integers(0, 1 << int(w), 700).astype(np.uint32) for w in range(33)] + [np.array([0, 2**32 - 1] * 300, np.uint32)]
+    assert zlib.crc32(tokenfile.pack(list(range(len(ids))), ids)) == 2459839602
