@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import lexical
+from corpusloom.operators import evaluation, lexical
 from corpusloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +46,17 @@ def test_rankings_move_a_part_of_the_words(spark, tmp_path):
     moved = sum(n for stage, n in shuffled(spark).items() if stage not in before)
     words = docs.select(F.sum(F.size(F.split("text", " ")))).first()[0] * 20
     assert moved < words / 4
+
+
+def test_texts_stay_where_passages_are_looked_for(spark, tmp_path):
+    rest = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.sha2(F.concat_ws(":", "id", i), 256)))
+    some = F.when(F.col("id") < 3, "one two three four five six seven eight").otherwise("nothing")
+    spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b c d"), some, rest).alias("text")).write.parquet(str(tmp_path / "docs"))
+    passages = spark.createDataFrame([(1, "one two three four five six seven eight"), (None, "two three four five"), (2, "is in no text at all"), (1, "d one two three")], "item_id long, passage string")
+    held, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")  # the texts are larger
+    try:
+        assert sorted(evaluation.holders(spark.read.parquet(str(tmp_path / "docs")), passages, "item_id").collect(), key=str) == [(1, 0), (1, 1), (1, 2), (None, 0), (None, 1), (None, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert sum(n for stage, n in shuffled(spark).items() if stage not in before) < 1000
