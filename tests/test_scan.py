@@ -37,12 +37,14 @@ def test_scan_equals_postings(spark, monkeypatch, repeats):
     assert [(*key(r), r.chunk_id, pytest.approx(r.score, abs=2e-6)) for r in sorted(want.collect(), key=key)] == [(*key(r), r.chunk_id, r.score) for r in sorted(got.collect(), key=key)]
 
 
-def test_rankings_move_a_part_of_the_words(spark, tmp_path):
+@pytest.mark.parametrize("name", ["merge_sections", "hybrid_topk"])
+def test_rankings_move_a_part_of_the_words(spark, tmp_path, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs.crossJoin(spark.range(20)).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("id")).drop("id").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for other in ("benchmark", "embeddings"):
+        spark.read.parquet(f"{SF}/{other}.parquet").write.parquet(str(tmp_path / f"{other}.parquet"))
     before = shuffled(spark)
-    assert catalog.variant_rankings(spark, str(tmp_path)).count() > 400
+    assert catalog.QUERIES[name](spark, str(tmp_path)).count() > 80
     moved = sum(n for stage, n in shuffled(spark).items() if stage not in before)
     words = docs.select(F.sum(F.size(F.split("text", " ")))).first()[0] * 20
     assert moved < words / 4
